@@ -1,0 +1,2 @@
+"""Empty on purpose: every dataset here is a batch. A reprocessed batch that arrives
+late is settled by ``operators.dedup`` (the newest ingestion wins)."""
