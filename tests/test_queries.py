@@ -1,0 +1,52 @@
+"""Every registered query against its SQL, and rules that all of them keep."""
+
+from __future__ import annotations
+
+import oracle
+import pytest
+from conftest import SF_DIR, plan_of
+
+import __spark_entry__ as entry_file
+
+QUERIES = entry_file.queries()
+SQL = entry_file.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = oracle.connect(SF_DIR)
+    yield con
+    con.close()
+
+
+def test_only_layout_counts_go_without_sql():
+    assert set(QUERIES) - set(SQL) == {"bronze_partition_count"}
+    assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    df = QUERIES[name](spark, SF_DIR)
+    plan = plan_of(df)
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
+        assert unwanted not in plan
+    if name in SQL:
+        assert oracle.differences(df, duck, SQL[name]) is None
+    else:
+        assert df.count() > 0
+
+
+def test_entry(spark):
+    df = entry_file.entry(spark)
+    assert df.columns == [
+        "merchant_key",
+        "market_key",
+        "campaign_id",
+        "date",
+        "spend",
+        "impressions",
+        "clicks",
+        "ctr",
+        "cost_per_click",
+    ]
+    assert df.count() > 0
