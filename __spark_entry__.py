@@ -19,7 +19,7 @@ from adtally.functions.metrics import cost_per_click, ctr  # noqa: E402
 from adtally.functions.rules import DEFAULT_RULES, STRICT_RULES, Rule  # noqa: E402
 from adtally.operators import checks, dedup, dimensions, summaries, validation  # noqa: E402
 from adtally.operators.conform import conform, fill_required, silver_defaults  # noqa: E402
-from adtally.operators.fact import attach_key  # noqa: E402
+from adtally.operators.fact import attach_key, join_side  # noqa: E402
 from adtally.operators.validation import clean, flag, rejected  # noqa: E402
 from adtally.plans import gold, sql_models  # noqa: E402
 from adtally.plans.bronze import ingest  # noqa: E402
@@ -30,7 +30,7 @@ from adtally.plans.publish import (  # noqa: E402
     publish_gold,
 )
 from adtally.plans.silver import refine  # noqa: E402
-from adtally.session import shared_folder, written  # noqa: E402
+from adtally.session import shared_folder  # noqa: E402
 from adtally.sources.contracts import BRONZE, EVENT_GRAIN, REASON, SILVER, SOURCE  # noqa: E402
 from adtally.sources.given import (  # noqa: E402
     MISSING_VALUES,
@@ -41,6 +41,7 @@ from adtally.sources.given import (  # noqa: E402
     shipped_lines,
 )
 from adtally.sources.sinks import balanced, overwrite_table, read_rejected, write_rejected  # noqa: E402
+from adtally.sources.sized import written  # noqa: E402
 from adtally.sources.tables import read_table, typed_scan  # noqa: E402
 from oracle_sql import ORACLES  # noqa: E402
 
@@ -285,18 +286,16 @@ def metric_cpc(spark, sf_dir):
 
 @query
 def fact_join_merchant(spark, sf_dir):
-    events = written(_silver(spark, sf_dir), "events")
-    return attach_key(
-        events, written(gold.merchants(events, RUN_DATE), "dim"), "merchant_id", "merchant_key"
-    )
+    events = written(_silver(spark, sf_dir), "events").table
+    dim = written(gold.merchants(events, RUN_DATE), "dim_merchant")
+    return attach_key(events, join_side(dim), "merchant_id", "merchant_key")
 
 
 @query
 def fact_join_market(spark, sf_dir):
-    events = written(_silver(spark, sf_dir), "events")
-    return attach_key(
-        events, written(gold.markets(events, RUN_DATE), "dim"), "market", "market_key"
-    )
+    events = written(_silver(spark, sf_dir), "events").table
+    dim = written(gold.markets(events, RUN_DATE), "dim_market")
+    return attach_key(events, join_side(dim), "market", "market_key")
 
 
 @query
@@ -333,7 +332,7 @@ def _gold_tables(spark, sf_dir) -> dict[str, DataFrame]:
     """The star over events with missing measures, so that ratios can be null."""
     events = refine(campaign_events(spark, sf_dir, MISSING_VALUES), RUN_TS).events
     tables = gold.star(events, RUN_DATE)._asdict()
-    return tables | {"fact_campaign_daily": written(tables["fact_campaign_daily"], "fact")}
+    return tables | {"fact_campaign_daily": written(tables["fact_campaign_daily"], "fact").table}
 
 
 @query

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adtally.session import written
+from adtally.sources.sized import written
 
 # monotonically_increasing_id() puts the task number above this bit and the row's
 # position inside the task below it.
@@ -36,7 +36,7 @@ def dense_keys(members: DataFrame, natural_key: str, key_name: str) -> DataFrame
         .sortWithinPartitions(order)
         .withColumn(_SEAT, F.monotonically_increasing_id()),
         "seated_members",
-    )
+    ).table
     block = F.shiftright(_SEAT, _POSITION_BITS)
     earlier = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, so at most as many as there are shuffle partitions: small

@@ -3,24 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from adtally.functions.metrics import cost_per_click, ctr
+from adtally.sources.sized import Size, Sized
 
+#: A dimension up to this size, as its write observed it, is sent to every executor.
+BROADCAST_LIMIT = 128 * 1024 * 1024
 
-def attach_key(events: DataFrame, dim: DataFrame, natural_key: str, key_name: str) -> DataFrame:
-    """Inner equi-join that brings in a surrogate key.
 
-    No hint: pass a dimension that has been written, and Catalyst broadcasts it only if
-    its size on disk is under ``spark.sql.autoBroadcastJoinThreshold``. Beyond that the
-    join is shuffled, and adaptive execution splits a member that holds many rows.
+def fits_broadcast(size: Size, limit: int = BROADCAST_LIMIT) -> bool:
+    return size.bytes <= limit
+
+
+def join_side(dim: Sized, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """The dimension, marked for broadcast if its measured size allows it.
+
+    A larger one is joined by a shuffle, where adaptive execution splits a member that
+    holds many rows (``spark.sql.adaptive.skewJoin``).
     """
+    return F.broadcast(dim.table) if fits_broadcast(dim.size, limit) else dim.table
+
+
+def attach_key(events: DataFrame, dim: DataFrame, natural_key: str, key_name: str) -> DataFrame:
+    """Inner equi-join that brings in a surrogate key."""
     return events.join(dim.select(natural_key, key_name), natural_key)
 
 
-def build_fact(events: DataFrame, merchants: DataFrame, markets: DataFrame) -> DataFrame:
+def build_fact(
+    events: DataFrame, merchants: Sized, markets: Sized, limit: int = BROADCAST_LIMIT
+) -> DataFrame:
     """Surrogate keys in place of natural ones, the measures, and the two ratios."""
-    keyed = attach_key(events, merchants, "merchant_id", "merchant_key")
-    keyed = attach_key(keyed, markets, "market", "market_key")
+    keyed = attach_key(events, join_side(merchants, limit), "merchant_id", "merchant_key")
+    keyed = attach_key(keyed, join_side(markets, limit), "market", "market_key")
     return keyed.select(
         "merchant_key",
         "market_key",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from adtally.operators.dimensions import build_dim
 from adtally.operators.fact import build_fact
-from adtally.session import written
+from adtally.sources.sized import written
 
 
 class Star(NamedTuple):
@@ -32,7 +32,8 @@ def star(events: DataFrame, run_date: date) -> Star:
     Three steps read the events; computed from the raw source each would repeat the
     dedup's shuffle. Keys are rebuilt with every run, so the fact is too.
     """
-    events = written(events, "events")
+    events = written(events, "events").table
     by_merchant = written(merchants(events, run_date), "dim_merchant")
     by_market = written(markets(events, run_date), "dim_market")
-    return Star(by_merchant, by_market, build_fact(events, by_merchant, by_market))
+    fact = build_fact(events, by_merchant, by_market)
+    return Star(by_merchant.table, by_market.table, fact)

@@ -9,12 +9,13 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from adtally.functions.rules import DEFAULT_RULES, Rule
-from adtally.operators.fact import build_fact
+from adtally.operators.fact import BROADCAST_LIMIT, build_fact, fits_broadcast
 from adtally.plans.bronze import ingest
 from adtally.plans.gold import markets, merchants
 from adtally.plans.silver import refine
 from adtally.sources.contracts import BRONZE, EVENT_KEY, SILVER
 from adtally.sources.sinks import overwrite_table, write_rejected
+from adtally.sources.sized import Sized
 from adtally.sources.tables import ensure_schema, qualified, read_table
 
 
@@ -51,7 +52,7 @@ class Lake(NamedTuple):
 def publish_bronze(source: DataFrame, lake: Lake, run_ts: datetime) -> int:
     return overwrite_table(
         ingest(source, run_ts), lake.bronze_events, ["market"], BRONZE, lake.fmt
-    )
+    ).rows
 
 
 def publish_silver(
@@ -68,26 +69,39 @@ def publish_silver(
     previous silver table in place and no reject lost.
     """
     silver = refine(read_table(spark, lake.bronze_events, BRONZE), run_ts, rules, keys)
-    n_rejected = write_rejected(silver.rejected, lake.rejected_path, run_id)
-    n_events = overwrite_table(
+    rejected = write_rejected(silver.rejected, lake.rejected_path, run_id)
+    events = overwrite_table(
         silver.events, lake.silver_events, ["market", "date"], SILVER, lake.fmt
     )
-    return n_events, n_rejected
+    return events.rows, rejected.rows
+
 
+def publish_gold(
+    spark: SparkSession, lake: Lake, run_date: date, limit: int = BROADCAST_LIMIT
+) -> dict[str, int]:
+    """Rows of the dimensions and the fact; the fact joins the written dimensions.
 
-def publish_gold(spark: SparkSession, lake: Lake, run_date: date) -> dict[str, int]:
-    """Rows of the dimensions and the fact; the fact joins the written dimensions."""
+    The market's key follows from the market, so silver's directories map one to one to
+    the fact's. With both dimensions small enough to broadcast, rows stay with the files
+    they came in and the fact is written without any shuffle: at most one file for each
+    piece of a silver file. A shuffled join scatters them, and they are laid out anew.
+    """
     events = read_table(spark, lake.silver_events, SILVER)
-    who, place, fact = map(lake.gold_table, ("dim_merchant", "dim_market", "fact_campaign_daily"))
+    dims = []
+    for name, frame in (("dim_merchant", merchants), ("dim_market", markets)):
+        size = overwrite_table(frame(events, run_date), lake.gold_table(name), fmt=lake.fmt)
+        dims.append(Sized(spark.table(lake.gold_table(name)), size))
+    fact = overwrite_table(
+        build_fact(events, *dims, limit),
+        lake.gold_table("fact_campaign_daily"),
+        ["market_key", "date"],
+        fmt=lake.fmt,
+        laid_out=all(fits_broadcast(dim.size, limit) for dim in dims),
+    )
     return {
-        "dim_merchant": overwrite_table(merchants(events, run_date), who, fmt=lake.fmt),
-        "dim_market": overwrite_table(markets(events, run_date), place, fmt=lake.fmt),
-        "fact_campaign_daily": overwrite_table(
-            build_fact(events, spark.table(who), spark.table(place)),
-            fact,
-            ["market_key", "date"],
-            fmt=lake.fmt,
-        ),
+        "dim_merchant": dims[0].size.rows,
+        "dim_market": dims[1].size.rows,
+        "fact_campaign_daily": fact.rows,
     }
 
 

@@ -7,8 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame
 
 from adtally.operators.dimensions import dense_keys
+from adtally.operators.fact import join_side
 from adtally.plans.gold import Star
-from adtally.session import written
+from adtally.sources.sized import written
 
 MEMBERS = "SELECT DISTINCT {column} FROM {events}"
 
@@ -53,8 +54,10 @@ def dimension(events: DataFrame, column: str, key: str, effective: date) -> Data
 
 def star(events: DataFrame, run_date: date) -> Star:
     """The same star as ``plans.gold.star``, from SQL text."""
-    events = written(events, "events")
+    events = written(events, "events").table
     merchants = written(dimension(events, "merchant_id", "merchant_key", run_date), "dim_merchant")
     markets = written(dimension(events, "market", "market_key", run_date), "dim_market")
-    fact = events.sparkSession.sql(FACT, events=events, merchants=merchants, markets=markets)
-    return Star(merchants, markets, fact)
+    fact = events.sparkSession.sql(
+        FACT, events=events, merchants=join_side(merchants), markets=join_side(markets)
+    )
+    return Star(merchants.table, markets.table, fact)

@@ -1,4 +1,4 @@
-"""Session settings, and the shared folder for tables that cut lineage."""
+"""Session settings, and the folder that the whole cluster shares."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 from functools import cache
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # What a cluster session should carry too. Adaptive execution coalesces small shuffle
 # partitions, splits skewed ones (joins and rebalanced writes alike) and sizes files.
@@ -50,15 +50,3 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
         root = _local_root()
     return f"{root.rstrip('/')}/adtally-{uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and continue from the files.
-
-    Used where several later steps need the same result: they read it instead of
-    repeating its shuffles, a lost executor costs a re-read instead of a recomputation,
-    and Catalyst knows the true size when it picks a join.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from adtally.operators.conform import require_schema
 from adtally.sources.contracts import UNKNOWN_PARTITION
+from adtally.sources.sized import Size, observed
 
 
 def balanced(df: DataFrame, *columns: str) -> DataFrame:
@@ -37,46 +38,42 @@ def overwrite_table(
     partition_by: Sequence[str] = (),
     contract: StructType | None = None,
     fmt: str = "parquet",
-) -> int:
-    """Replace a catalog table and return the rows written.
+    laid_out: bool = False,
+) -> Size:
+    """Replace a catalog table and return the size of what was written.
 
-    With a ``contract`` the schema must match exactly, or nothing is written. The count
-    is observed on the way to the files, in the last stage, and costs no second pass.
+    With a ``contract`` the schema must match exactly, or nothing is written. Rows that
+    are ``laid_out`` already, because they come unshuffled from a table with the same
+    directories, are not shuffled again.
     """
     if contract is not None:
         require_schema(df, contract)
-    rows = Observation()
+    rows = _directory_safe(df, partition_by)
+    watched, size = observed(rows if laid_out else balanced(rows, *partition_by))
     (
-        balanced(_directory_safe(df, partition_by), *partition_by)
-        .observe(rows, F.count(F.lit(1)).alias("rows"))
-        .write.format(fmt)
+        watched.write.format(fmt)
         .mode("overwrite")
         .partitionBy(*partition_by)
         .saveAsTable(name)
     )
-    return rows.get.get("rows", 0)
+    return size()
 
 
 # A leading letter keeps a run id from being read back as a number or a date.
 _RUN_ID = re.compile(r"[A-Za-z][A-Za-z0-9_-]*")
 
 
-def write_rejected(df: DataFrame, path: str, run_id: str) -> int:
-    """Add one run's rejects to the quarantine at ``path``; return the rows written.
+def write_rejected(df: DataFrame, path: str, run_id: str) -> Size:
+    """Add one run's rejects to the quarantine at ``path``; return what was written.
 
     Each run owns a directory and replaces only that one, so the quarantine grows by run
     and a repeated run does not add its rows twice. Columns may differ between runs.
     """
     if not _RUN_ID.fullmatch(run_id):
         raise ValueError(f"run id {run_id!r} must be a letter, then letters, digits, _ or -")
-    rows = Observation()
-    (
-        balanced(df)
-        .observe(rows, F.count(F.lit(1)).alias("rows"))
-        .write.mode("overwrite")
-        .parquet(f"{path.rstrip('/')}/run_id={run_id}")
-    )
-    return rows.get.get("rows", 0)
+    watched, size = observed(balanced(df))
+    watched.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")
+    return size()
 
 
 def read_rejected(spark: SparkSession, path: str) -> DataFrame:

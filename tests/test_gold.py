@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from adtally.functions.metrics import cost_per_click, ctr
 from adtally.operators.checks import GOLD_CHECKS, Check, null_counts, orphans, run_checks
 from adtally.operators.dimensions import build_dim, dense_keys, distinct_members
-from adtally.operators.fact import build_fact
+from adtally.operators.fact import attach_key, build_fact, fits_broadcast
 from adtally.plans import gold, sql_models
 from adtally.plans.silver import refine
-from adtally.session import written
+from adtally.sources.sized import Size, written
 from adtally.sources.contracts import EVENT_GRAIN
 from adtally.sources.given import MISSING_VALUES, campaign_events, shipped_lines
 
@@ -84,15 +84,29 @@ def test_fact_keeps_every_event(spark):
     assert gold.star(events, RUN_DATE).fact_campaign_daily.count() == events.count()
 
 
-def test_written_dimensions_are_broadcast_by_size(spark, conf):
-    star = gold.star(_silver(spark), RUN_DATE)
-    assert plan_of(star.fact_campaign_daily).count("BroadcastHashJoin") == 2
-    events = written(_silver(spark), "events")
+def test_only_dimensions_of_a_measured_size_are_broadcast(spark, conf):
     conf(spark__sql__autoBroadcastJoinThreshold="-1")
-    shuffled = build_fact(events, star.dim_merchant, star.dim_market)
-    assert "Broadcast" not in plan_of(shuffled)
-    conf(spark__sql__autoBroadcastJoinThreshold="10MB")
-    assert shuffled.exceptAll(star.fact_campaign_daily).isEmpty()
+    events = written(_silver(spark), "events").table
+    merchants = written(gold.merchants(events, RUN_DATE), "dim_merchant")
+    markets = written(gold.markets(events, RUN_DATE), "dim_market")
+    assert merchants.size.rows == merchants.table.count() > markets.size.rows > 0
+    small = build_fact(events, merchants, markets)
+    assert plan_of(small).count("BroadcastHashJoin") == 2
+    between = (merchants.size.bytes + markets.size.bytes) // 2
+    mixed = build_fact(events, merchants, markets, limit=between)
+    assert plan_of(mixed).count("BroadcastHashJoin") == plan_of(mixed).count("SortMergeJoin") == 1
+    large = build_fact(events, merchants, markets, limit=0)
+    assert "Broadcast" not in plan_of(large)
+    for other in (mixed, large):
+        assert other.exceptAll(small).isEmpty() and small.exceptAll(other).isEmpty()
+
+
+def test_size_of_a_write(spark):
+    df = spark.createDataFrame([("ab", 1), (None, 2), ("ä", None)], "t STRING, n INT")
+    sized = written(df, "t")
+    assert sized.size == Size(3, 3 * 16 + 2 + 2)
+    assert written(df.limit(0), "none").size == Size(0, 0)
+    assert fits_broadcast(sized.size) and not fits_broadcast(sized.size, 10)
 
 
 def test_hot_merchant_is_split_at_the_join(spark, conf):
@@ -113,9 +127,9 @@ def test_hot_merchant_is_split_at_the_join(spark, conf):
         F.lit(10).cast("bigint").alias("impressions"),
         (F.col("id") % 5).alias("clicks"),
     )
-    events = written(rows, "events")
-    merchants = written(gold.merchants(events, RUN_DATE), "dim")
-    fact = events.join(merchants.select("merchant_id", "merchant_key"), "merchant_id")
+    events = written(rows, "events").table
+    merchants = written(gold.merchants(events, RUN_DATE), "dim").table
+    fact = attach_key(events, merchants, "merchant_id", "merchant_key")
     assert "skew=true" in final_plan_of(fact)
     assert fact.count() == 60_000
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from adtally.operators.conform import SchemaMismatch, conform, silver_defaults
 from adtally.operators.summaries import distinct_counts, partitions_in_use, preview, rows_by
 from adtally.operators.validation import rejected
-from adtally.plans.publish import publish, publish_silver
+from adtally.plans.publish import publish, publish_gold, publish_silver
 from adtally.session import shared_folder
 from adtally.sources.contracts import REASON, SILVER, UNKNOWN_PARTITION
 from adtally.sources.given import campaign_events
@@ -22,14 +22,14 @@ def fit(df):
 
 
 def test_overwrite_replaces_and_counts(spark, lake, events):
-    assert overwrite_table(fit(events({}, {"clicks": 1})), lake.silver_events, contract=SILVER) == 2
-    assert overwrite_table(fit(events({})), lake.silver_events, contract=SILVER) == 1
+    assert overwrite_table(fit(events({}, {"clicks": 1})), lake.silver_events, contract=SILVER).rows == 2
+    assert overwrite_table(fit(events({})), lake.silver_events, contract=SILVER).rows == 1
     assert read_table(spark, lake.silver_events).count() == 1
 
 
 def test_empty_write_counts_nothing(spark, lake, events):
     none = fit(events({})).where("spend < 0")
-    assert overwrite_table(none, lake.silver_events, ["market", "date"], SILVER) == 0
+    assert overwrite_table(none, lake.silver_events, ["market", "date"], SILVER).rows == 0
     back = read_table(spark, lake.silver_events, SILVER)
     assert back.isEmpty() and back.columns == SILVER.names
 
@@ -85,7 +85,7 @@ def test_hot_market_is_written_by_many_tasks(spark, lake, conf):
         F.sha2(F.col("id").cast("string"), 256).alias("payload"),
     )
     name = lake.gold_table("hot")
-    assert overwrite_table(rows, name, ["market"]) == 100_000
+    assert overwrite_table(rows, name, ["market"]).rows == 100_000
     assert len(glob.glob(f"{lake.root}/{lake.gold}/hot/market=DE/*.parquet")) > 4
     assert rows_by(spark.table(name), "market").count() == 2
     assert spark.table(name).count() == 100_000
@@ -94,14 +94,14 @@ def test_hot_market_is_written_by_many_tasks(spark, lake, conf):
 def test_repeated_run_does_not_grow_the_quarantine(spark, events):
     path = f"{shared_folder(spark)}/rejected"
     bad = rejected(events({"spend": None}, {"spend": -1.0}), RUN_TS)
-    assert write_rejected(bad, path, "run-1") == 2
-    assert write_rejected(bad, path, "run-1") == 2
+    assert write_rejected(bad, path, "run-1").rows == 2
+    assert write_rejected(bad, path, "run-1").rows == 2
     assert read_rejected(spark, path).count() == 2
-    assert write_rejected(bad.withColumn("note", F.lit("n")), path, "run-2") == 2
+    assert write_rejected(bad.withColumn("note", F.lit("n")), path, "run-2").rows == 2
     both = read_rejected(spark, path)
     assert both.count() == 4 and {"note", "run_id", REASON} <= set(both.columns)
     assert both.where("note IS NULL").count() == 2
-    assert write_rejected(bad.limit(0), path, "run-1") == 0
+    assert write_rejected(bad.limit(0), path, "run-1").rows == 0
     assert read_rejected(spark, path).count() == 2
 
 
@@ -142,6 +142,19 @@ def test_publish_counts_match_the_tables(spark, lake):
     assert read_rejected(spark, lake.rejected_path).count() == 2 * counts["rejected"]
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_fact_follows_the_layout_of_its_source(spark, lake, limit):
+    """One file per market and day either way; a shuffle only if a join scattered the rows."""
+    publish(campaign_events(spark, SF_DIR), lake, RUN_TS, RUN_DATE, "run-a")
+    publish_gold(spark, lake, RUN_DATE, limit)
+    base = f"{lake.root}/{lake.gold}/fact_campaign_daily"
+    folders = glob.glob(f"{base}/market_key=*/date=*")
+    assert len(glob.glob(f"{base}/market_key=*/date=*/*.parquet")) == len(folders) > 100
+    assert spark.table(lake.gold_table("fact_campaign_daily")).count() == (
+        spark.table(lake.silver_events).count()
+    )
+
+
 def test_summaries(spark, events):
     df = events({}, {"market": "FR", "merchant_id": None}, {"market": "FR"})
     assert dict(map(tuple, rows_by(df, "market").collect())) == {"DE": 1, "FR": 2}
