@@ -250,6 +250,12 @@ def silver_events(spark, sf_dir):
     return refine(campaign_events(spark, sf_dir, MISSING_VALUES), RUN_TS).events
 
 
+@query
+def silver_events_strict(spark, sf_dir):
+    events = campaign_events(spark, sf_dir, STRICT_FAULTS)
+    return refine(events, RUN_TS, STRICT_RULES, EVENT_GRAIN).events
+
+
 # --- Gold -----------------------------------------------------------------------------
 
 

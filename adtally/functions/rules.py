@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from adtally.sources.contracts import UNKNOWN_PARTITION, UNKNOWN_TEXT
+
 
 class Rule(NamedTuple):
     reason: str
@@ -34,7 +36,10 @@ DEFAULT_RULES = (
 #: Faults the default rules let pass; strict mode rejects them too.
 STRICT_RULES = (
     *DEFAULT_RULES,
-    Rule("missing_market", "market IS NULL OR market = ''"),
+    Rule(
+        "missing_market",
+        f"market IS NULL OR market IN ('{UNKNOWN_TEXT}', '{UNKNOWN_PARTITION}')",
+    ),
     Rule("missing_ingestion_ts", "ingestion_ts IS NULL"),
     Rule("spend_not_a_number", "isnan(spend)"),
     Rule("negative_impressions", "impressions < 0"),

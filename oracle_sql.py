@@ -83,7 +83,7 @@ REASONS = {
     "clicks_exceed_impressions": "clicks > impressions",
 }
 STRICT_REASONS = REASONS | {
-    "missing_market": "market IS NULL OR market = ''",
+    "missing_market": "market IS NULL OR market IN ('', '__unknown__')",
     "missing_ingestion_ts": "ingestion_ts IS NULL",
     "spend_not_a_number": "isnan(spend)",
     "negative_impressions": "impressions < 0",
@@ -264,6 +264,10 @@ SELECT CAST(sum(copies) AS BIGINT) AS row_count, count(*) AS key_count,
     "coalesce_required": f"{_TYPED_MISSING} {FILLED} FROM typed",
     "schema_conform": f"{_TYPED_MISSING} {FILLED} FROM typed",
     "silver_events": _SILVER_MISSING,
+    "silver_events_strict": f"""WITH {STRICT}{TYPED}{_checked(STRICT_REASONS)}{_latest(
+        "merchant_id, campaign_id, date, market",
+        _desc("ingestion_ts", "spend", "impressions", "clicks"),
+    )} SELECT * FROM latest""",
     "distinct_members": f"{_TYPED} SELECT DISTINCT merchant_id FROM typed",
     "dim_merchant": _DIM_MERCHANT,
     "dim_market": _DIM_MARKET,

@@ -43,6 +43,7 @@ def test_default_reasons(events, change, expected):
     [
         ({"market": None}, "missing_market"),
         ({"market": ""}, "missing_market"),
+        ({"market": "__unknown__"}, "missing_market"),
         ({"ingestion_ts": None}, "missing_ingestion_ts"),
         ({"spend": NAN}, "spend_not_a_number"),
         ({"impressions": -3, "clicks": -4}, "negative_impressions,negative_clicks"),

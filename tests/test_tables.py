@@ -6,12 +6,13 @@ import pytest
 from conftest import RUN_DATE, RUN_TS, SF_DIR, plan_of
 from pyspark.sql import functions as F
 
+from adtally.__main__ import parse, run
 from adtally.operators.conform import SchemaMismatch, conform, silver_defaults
 from adtally.operators.summaries import distinct_counts, partitions_in_use, preview, rows_by
 from adtally.operators.validation import rejected
 from adtally.plans.publish import publish, publish_gold, publish_silver
 from adtally.session import shared_folder
-from adtally.sources.contracts import REASON, SILVER, UNKNOWN_PARTITION
+from adtally.sources.contracts import REASON, SILVER, SOURCE, UNKNOWN_PARTITION
 from adtally.sources.given import campaign_events
 from adtally.sources.sinks import balanced, overwrite_table, read_rejected, write_rejected
 from adtally.sources.tables import ensure_schema, qualified, read_table
@@ -182,3 +183,30 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
     assert shared_folder(Session).startswith("hdfs://ckpt/adtally-")
     Session.conf = Conf({"spark.master": "local[2]"})
     assert shared_folder(Session).startswith("/tmp/run-")
+
+
+def test_job_runs_layer_by_layer(spark, lake, events):
+    """The command line: each layer on its own gives what one run of all gives."""
+    landed = f"{lake.root}/landing"
+    rows = events({}, {"market": "FR"}, {"spend": -1.0}, {"campaign_id": "c2", "market": ""})
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in SOURCE]).write.parquet(landed)
+    names = ["--bronze", lake.bronze, "--silver", lake.silver, "--gold", lake.gold]
+    common = ["--root", lake.root, *names, "--run-ts", "2026-03-01T06:00:00", "--run-id", "r1"]
+    at_once = run(spark, parse(["all", "--source", landed, *common]))
+    assert at_once == {
+        "bronze": 4,
+        "silver": 2,
+        "rejected": 1,
+        "dim_merchant": 1,
+        "dim_market": 2,
+        "fact_campaign_daily": 2,
+    }
+    one_by_one = {}
+    for layer in ("bronze", "silver", "gold"):
+        source = ["--source", landed] if layer == "bronze" else []
+        one_by_one |= run(spark, parse([layer, *source, *common]))
+    assert one_by_one == at_once
+    by_grain = run(spark, parse(["silver", "--by-grain", "--strict", *common]))
+    assert by_grain == {"silver": 2, "rejected": 2}  # the nameless market goes too
+    with pytest.raises(SystemExit):
+        parse(["bronze", *common])
