@@ -189,6 +189,13 @@ def rejects_by_reason_strict(spark, sf_dir):
     return validation.rejects_by_reason(rejected(events, RUN_TS, STRICT_RULES))
 
 
+@query
+def rejects_by_reason_shipped(spark, sf_dir):
+    """No planted faults: line items whose number exceeds their quantity."""
+    lines = cast_to(ingest(shipped_lines(spark, sf_dir), RUN_TS), SILVER)
+    return validation.rejects_by_reason(rejected(lines, RUN_TS))
+
+
 @query
 def split_is_partition(spark, sf_dir):
     """Rows of the input and of both halves."""
@@ -227,6 +234,13 @@ def dedup_latest_tied(spark, sf_dir):
     return dedup.dedup_latest(batch, ["merchant_id", "date"])
 
 
+@query
+def dedup_latest_shipped(spark, sf_dir):
+    """The last shipment per supplier and day out of one tied batch."""
+    lines = cast_to(ingest(shipped_lines(spark, sf_dir), RUN_TS), SILVER)
+    return dedup.dedup_latest(clean(lines), ["merchant_id", "date"])
+
+
 @query
 def dedup_stats(spark, sf_dir):
     return dedup.dedup_stats(clean(_typed(spark, sf_dir)))

@@ -1,4 +1,4 @@
-"""Publish the layers as a Spark job: ``spark-submit ... -m adtally`` or ``python -m adtally``.
+"""Publish the layers, or check the published gold tables, as a Spark job.
 
     python -m adtally all --root s3://lake/ads --source s3://landing/2026-03-01 \\
         --run-ts 2026-03-01T06:00:00 --run-id run-20260301
@@ -13,14 +13,21 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 
 from adtally.functions.rules import DEFAULT_RULES, STRICT_RULES
-from adtally.plans.publish import Lake, publish, publish_bronze, publish_gold, publish_silver
+from adtally.plans.publish import (
+    Lake,
+    gold_report,
+    publish,
+    publish_bronze,
+    publish_gold,
+    publish_silver,
+)
 from adtally.sources.contracts import EVENT_GRAIN, EVENT_KEY
 from adtally.sources.tables import typed_scan
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="adtally", description=__doc__)
-    parser.add_argument("layer", choices=["bronze", "silver", "gold", "all"])
+    parser.add_argument("step", choices=["bronze", "silver", "gold", "all", "check"])
     parser.add_argument("--root", required=True, help="folder of the schemas and the quarantine")
     parser.add_argument("--source", help="landed files under the source contract")
     parser.add_argument("--source-format", default="parquet")
@@ -34,34 +41,40 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--strict", action="store_true", help="also apply the strict rules")
     parser.add_argument("--by-grain", action="store_true", help="keep one row per market too")
     args = parser.parse_args(argv)
-    if args.layer in ("bronze", "all") and not args.source:
-        parser.error(f"{args.layer} needs --source")
+    if args.step in ("bronze", "all") and not args.source:
+        parser.error(f"{args.step} needs --source")
     return args
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
-    """Rows written per table."""
+    """Rows written per table; for a check, the failures of each failed test."""
     lake = Lake(args.root, args.catalog, args.bronze, args.silver, args.gold, args.format)
     rules = STRICT_RULES if args.strict else DEFAULT_RULES
     keys = EVENT_GRAIN if args.by_grain else EVENT_KEY
     run_date = args.run_ts.date()
-    if args.layer == "all":
+    if args.step == "all":
         source = typed_scan(spark, args.source, fmt=args.source_format)
         return publish(source, lake, args.run_ts, run_date, args.run_id, rules, keys)
     lake.prepare(spark)
-    if args.layer == "bronze":
+    if args.step == "bronze":
         source = typed_scan(spark, args.source, fmt=args.source_format)
         return {"bronze": publish_bronze(source, lake, args.run_ts)}
-    if args.layer == "silver":
+    if args.step == "silver":
         counts = publish_silver(spark, lake, args.run_ts, args.run_id, rules, keys)
         return dict(zip(("silver", "rejected"), counts, strict=True))
+    if args.step == "check":
+        failed = gold_report(spark, lake).where("failures > 0").collect()
+        return {f"{r.check} {r.table_name}.{r.column_name}": r.failures for r in failed}
     return publish_gold(spark, lake, run_date)
 
 
 def main() -> None:
     args = parse()
-    spark = SparkSession.builder.appName(f"adtally {args.layer}").getOrCreate()
-    print(json.dumps(run(spark, args)))
+    spark = SparkSession.builder.appName(f"adtally {args.step}").getOrCreate()
+    counts = run(spark, args)
+    print(json.dumps(counts))
+    if args.step == "check" and counts:
+        raise SystemExit(1)
 
 
 if __name__ == "__main__":

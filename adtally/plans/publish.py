@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from adtally.functions.rules import DEFAULT_RULES, Rule
+from adtally.operators.checks import GOLD_CHECKS, run_checks
 from adtally.operators.fact import BROADCAST_LIMIT, build_fact, fits_broadcast
 from adtally.plans.bronze import ingest
 from adtally.plans.gold import markets, merchants
@@ -120,3 +121,9 @@ def publish(
     counts = {"bronze": publish_bronze(source, lake, run_ts)}
     counts["silver"], counts["rejected"] = publish_silver(spark, lake, run_ts, run_id, rules, keys)
     return counts | publish_gold(spark, lake, run_date)
+
+
+def gold_report(spark: SparkSession, lake: Lake) -> DataFrame:
+    """The declared tests on the published gold tables: failures per check."""
+    tables = {c.table: spark.table(lake.gold_table(c.table)) for c in GOLD_CHECKS}
+    return run_checks(tables, GOLD_CHECKS)

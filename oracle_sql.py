@@ -235,6 +235,9 @@ SELECT _rejection_reason, count(*) AS row_count FROM checked
 WHERE _rejection_reason <> '' GROUP BY _rejection_reason""",
     "rejects_by_reason_strict": f"""WITH {STRICT}{TYPED}{_checked(STRICT_REASONS)}
 SELECT _rejection_reason, count(*) AS row_count FROM checked
+WHERE _rejection_reason <> '' GROUP BY _rejection_reason""",
+    "rejects_by_reason_shipped": f"""WITH {LINES}{TYPED}{_checked()}
+SELECT _rejection_reason, count(*) AS row_count FROM checked
 WHERE _rejection_reason <> '' GROUP BY _rejection_reason""",
     "split_is_partition": f"""{_TYPED_MISSING}{_checked()}
 SELECT 'input' AS part, count(*) AS row_count FROM checked
@@ -255,6 +258,10 @@ stamped AS (SELECT * REPLACE ({RUN_TS} AS ingestion_ts) FROM src){_latest(
         _desc("campaign_id", "market", "spend", "impressions", "clicks"),
         "stamped",
     )} SELECT * FROM latest""",
+    "dedup_latest_shipped": f"""WITH {LINES}{TYPED}{_checked()}{_latest(
+        "merchant_id, date",
+        _desc("ingestion_ts", "campaign_id", "market", "spend", "impressions", "clicks"),
+    )} SELECT * FROM latest""",
     "dedup_stats": f"""{_TYPED}{_checked()},
 per_key AS (
   SELECT count(*) AS copies FROM checked WHERE _rejection_reason = ''

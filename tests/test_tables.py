@@ -156,6 +156,16 @@ def test_fact_follows_the_layout_of_its_source(spark, lake, limit):
     )
 
 
+def test_check_reports_what_failed(spark, lake, events):
+    """A good event without clicks has no ctr."""
+    silver = fit(events({}, {"clicks": None, "campaign_id": "c2"}))
+    overwrite_table(silver, lake.silver_events, ["market", "date"], SILVER)
+    publish_gold(spark, lake, RUN_DATE)
+    names = ["--bronze", lake.bronze, "--silver", lake.silver, "--gold", lake.gold]
+    common = ["--root", lake.root, *names, "--run-ts", "2026-03-01T06:00:00", "--run-id", "r1"]
+    assert run(spark, parse(["check", *common])) == {"not_null fact_campaign_daily.ctr": 1}
+
+
 def test_summaries(spark, events):
     df = events({}, {"market": "FR", "merchant_id": None}, {"market": "FR"})
     assert dict(map(tuple, rows_by(df, "market").collect())) == {"DE": 1, "FR": 2}
@@ -206,6 +216,7 @@ def test_job_runs_layer_by_layer(spark, lake, events):
         source = ["--source", landed] if layer == "bronze" else []
         one_by_one |= run(spark, parse([layer, *source, *common]))
     assert one_by_one == at_once
+    assert run(spark, parse(["check", *common])) == {}
     by_grain = run(spark, parse(["silver", "--by-grain", "--strict", *common]))
     assert by_grain == {"silver": 2, "rejected": 2}  # the nameless market goes too
     with pytest.raises(SystemExit):
