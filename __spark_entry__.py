@@ -280,18 +280,19 @@ def distinct_members(spark, sf_dir):
 
 @query
 def dim_merchant(spark, sf_dir):
-    return gold.merchants(_silver(spark, sf_dir), RUN_DATE)
+    return gold.merchants(_silver(spark, sf_dir), RUN_DATE).table
 
 
 @query
 def dim_market(spark, sf_dir):
-    return gold.markets(_silver(spark, sf_dir), RUN_DATE)
+    return gold.markets(_silver(spark, sf_dir), RUN_DATE).table
 
 
 @query
 def dim_campaign_part(spark, sf_dir):
     """A wide dimension: every part that was shipped."""
-    return gold.build_dim(shipped_lines(spark, sf_dir), "campaign_id", "campaign_key", RUN_DATE)
+    lines = shipped_lines(spark, sf_dir)
+    return dimensions.build_dim(lines, "campaign_id", "campaign_key", RUN_DATE).table
 
 
 @query
@@ -307,14 +308,14 @@ def metric_cpc(spark, sf_dir):
 @query
 def fact_join_merchant(spark, sf_dir):
     events = written(_silver(spark, sf_dir), "events").table
-    dim = written(gold.merchants(events, RUN_DATE), "dim_merchant")
+    dim = gold.merchants(events, RUN_DATE)
     return attach_key(events, join_side(dim), "merchant_id", "merchant_key")
 
 
 @query
 def fact_join_market(spark, sf_dir):
     events = written(_silver(spark, sf_dir), "events").table
-    dim = written(gold.markets(events, RUN_DATE), "dim_market")
+    dim = gold.markets(events, RUN_DATE)
     return attach_key(events, join_side(dim), "market", "market_key")
 
 
@@ -332,12 +333,13 @@ def fact_campaign_daily_shipped(spark, sf_dir):
 
 @query
 def dim_merchant_sql(spark, sf_dir):
-    return sql_models.dimension(_silver(spark, sf_dir), "merchant_id", "merchant_key", RUN_DATE)
+    events = _silver(spark, sf_dir)
+    return sql_models.dimension(events, "merchant_id", "merchant_key", RUN_DATE).table
 
 
 @query
 def dim_market_sql(spark, sf_dir):
-    return sql_models.dimension(_silver(spark, sf_dir), "market", "market_key", RUN_DATE)
+    return sql_models.dimension(_silver(spark, sf_dir), "market", "market_key", RUN_DATE).table
 
 
 @query
@@ -420,7 +422,7 @@ def sink_rejected_roundtrip(spark, sf_dir):
 def sink_dim_roundtrip(spark, sf_dir):
     lake = _lake(spark)
     name = lake.gold_table("dim_merchant")
-    overwrite_table(gold.merchants(_silver(spark, sf_dir), RUN_DATE), name)
+    overwrite_table(gold.merchants(_silver(spark, sf_dir), RUN_DATE).table, name)
     return read_table(spark, name)
 
 

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adtally.sources.sized import written
+from adtally.sources.sized import Sized, written
 
 # monotonically_increasing_id() puts the task number above this bit and the row's
 # position inside the task below it.
@@ -22,21 +22,22 @@ def distinct_members(df: DataFrame, natural_key: str) -> DataFrame:
     return df.select(natural_key).distinct()
 
 
-def dense_keys(members: DataFrame, natural_key: str, key_name: str) -> DataFrame:
+def dense_keys(members: DataFrame, natural_key: str, key_name: str) -> Sized:
     """Number distinct members 1..n in the order of ``natural_key``, nulls last.
 
     Equal to ``row_number() OVER (ORDER BY natural_key)`` without its single task:
     members are split into ordered ranges, each row's seat in its range is written down
     once, and a key is the seat plus the members in all earlier ranges. The written table
     freezes the ranges, whose bounds come from a sample and could move if computed twice.
+    Its observed size is that of the result: two columns, the members and a number.
     """
     order = F.col(natural_key).asc_nulls_last()
-    seated = written(
+    seated, size = written(
         members.repartitionByRange(order)
         .sortWithinPartitions(order)
         .withColumn(_SEAT, F.monotonically_increasing_id()),
         "seated_members",
-    ).table
+    )
     block = F.shiftright(_SEAT, _POSITION_BITS)
     earlier = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, so at most as many as there are shuffle partitions: small
@@ -47,15 +48,16 @@ def dense_keys(members: DataFrame, natural_key: str, key_name: str) -> DataFrame
         .select(_BLOCK, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias(_BEFORE))
     )
     position = F.col(_SEAT).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    return (
+    numbered = (
         seated.withColumn(_BLOCK, block)
         .join(F.broadcast(blocks), _BLOCK)
         .select((F.col(_BEFORE) + position + 1).alias(key_name), natural_key)
     )
+    return Sized(numbered, size)
 
 
-def build_dim(df: DataFrame, natural_key: str, key_name: str, effective: date) -> DataFrame:
+def build_dim(df: DataFrame, natural_key: str, key_name: str, effective: date) -> Sized:
     """Surrogate key, natural key and effective date, one row per member of ``df``."""
-    return dense_keys(distinct_members(df, natural_key), natural_key, key_name).select(
-        key_name, natural_key, F.lit(effective).alias("effective_date")
-    )
+    numbered, size = dense_keys(distinct_members(df, natural_key), natural_key, key_name)
+    dim = numbered.select(key_name, natural_key, F.lit(effective).alias("effective_date"))
+    return Sized(dim, size)

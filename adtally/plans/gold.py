@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from adtally.operators.dimensions import build_dim
 from adtally.operators.fact import build_fact
-from adtally.sources.sized import written
+from adtally.sources.sized import Sized, written
 
 
 class Star(NamedTuple):
@@ -18,11 +18,11 @@ class Star(NamedTuple):
     fact_campaign_daily: DataFrame
 
 
-def merchants(events: DataFrame, run_date: date) -> DataFrame:
+def merchants(events: DataFrame, run_date: date) -> Sized:
     return build_dim(events, "merchant_id", "merchant_key", run_date)
 
 
-def markets(events: DataFrame, run_date: date) -> DataFrame:
+def markets(events: DataFrame, run_date: date) -> Sized:
     return build_dim(events, "market", "market_key", run_date)
 
 
@@ -33,7 +33,6 @@ def star(events: DataFrame, run_date: date) -> Star:
     dedup's shuffle. Keys are rebuilt with every run, so the fact is too.
     """
     events = written(events, "events").table
-    by_merchant = written(merchants(events, run_date), "dim_merchant")
-    by_market = written(markets(events, run_date), "dim_market")
+    by_merchant, by_market = merchants(events, run_date), markets(events, run_date)
     fact = build_fact(events, by_merchant, by_market)
     return Star(by_merchant.table, by_market.table, fact)

@@ -89,8 +89,9 @@ def publish_gold(
     """
     events = read_table(spark, lake.silver_events, SILVER)
     dims = []
-    for name, frame in (("dim_merchant", merchants), ("dim_market", markets)):
-        size = overwrite_table(frame(events, run_date), lake.gold_table(name), fmt=lake.fmt)
+    for name, dim in (("dim_merchant", merchants), ("dim_market", markets)):
+        frame = dim(events, run_date).table
+        size = overwrite_table(frame, lake.gold_table(name), fmt=lake.fmt)
         dims.append(Sized(spark.table(lake.gold_table(name)), size))
     fact = overwrite_table(
         build_fact(events, *dims, limit),

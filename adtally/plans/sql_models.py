@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from adtally.operators.dimensions import dense_keys
 from adtally.operators.fact import join_side
 from adtally.plans.gold import Star
-from adtally.sources.sized import written
+from adtally.sources.sized import Sized, written
 
 MEMBERS = "SELECT DISTINCT {column} FROM {events}"
 
@@ -37,26 +37,27 @@ JOIN place USING (market)
 """
 
 
-def dimension(events: DataFrame, column: str, key: str, effective: date) -> DataFrame:
+def dimension(events: DataFrame, column: str, key: str, effective: date) -> Sized:
     """A dimension by SQL; the numbering in between runs over ordered ranges, since
     ``row_number() OVER (ORDER BY ...)`` would put all members into one task."""
     spark = events.sparkSession
     members = spark.sql(MEMBERS, events=events, column=events[column])
-    numbered = dense_keys(members, column, key)
-    return spark.sql(
+    numbered, size = dense_keys(members, column, key)
+    dim = spark.sql(
         DIMENSION,
         args={"effective": effective},
         members=numbered,
         key=numbered[key],
         column=numbered[column],
     )
+    return Sized(dim, size)
 
 
 def star(events: DataFrame, run_date: date) -> Star:
     """The same star as ``plans.gold.star``, from SQL text."""
     events = written(events, "events").table
-    merchants = written(dimension(events, "merchant_id", "merchant_key", run_date), "dim_merchant")
-    markets = written(dimension(events, "market", "market_key", run_date), "dim_market")
+    merchants = dimension(events, "merchant_id", "merchant_key", run_date)
+    markets = dimension(events, "market", "market_key", run_date)
     fact = events.sparkSession.sql(
         FACT, events=events, merchants=join_side(merchants), markets=join_side(markets)
     )

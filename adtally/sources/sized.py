@@ -20,7 +20,7 @@ class Size(NamedTuple):
 
 
 class Sized(NamedTuple):
-    """A table on disk and what the write that made it observed."""
+    """A frame over a table on disk, and what the write of that table observed."""
 
     table: DataFrame
     size: Size
