@@ -353,8 +353,7 @@ def fact_campaign_daily_sql(spark, sf_dir):
 def _gold_tables(spark, sf_dir) -> dict[str, DataFrame]:
     """The star over events with missing measures, so that ratios can be null."""
     events = refine(campaign_events(spark, sf_dir, MISSING_VALUES), RUN_TS).events
-    tables = gold.star(events, RUN_DATE)._asdict()
-    return tables | {"fact_campaign_daily": written(tables["fact_campaign_daily"], "fact").table}
+    return {name: written(t, name).table for name, t in gold.star(events, RUN_DATE)._asdict().items()}
 
 
 @query
