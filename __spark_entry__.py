@@ -353,7 +353,8 @@ def fact_campaign_daily_sql(spark, sf_dir):
 def _gold_tables(spark, sf_dir) -> dict[str, DataFrame]:
     """The star over events with missing measures, so that ratios can be null."""
     events = refine(campaign_events(spark, sf_dir, MISSING_VALUES), RUN_TS).events
-    return {name: written(t, name).table for name, t in gold.star(events, RUN_DATE)._asdict().items()}
+    tables = gold.star(events, RUN_DATE)._asdict()
+    return {name: written(table, name).table for name, table in tables.items()}
 
 
 @query

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -19,7 +21,7 @@ class Rule(NamedTuple):
         """The reason where the rule is broken, else null."""
         return F.when(F.expr(self.broken), F.lit(self.reason)).alias(f"_fail_{self.reason}")
 
-    def holds(self) -> Column:
+    def kept(self) -> Column:
         return ~F.coalesce(F.expr(self.broken), F.lit(False))
 
 
@@ -56,12 +58,17 @@ def reason(rules: Sequence[Rule]) -> Column:
     return F.concat_ws(",", *[rule.flag() for rule in rules])
 
 
-def all_hold(rules: Sequence[Rule]) -> Column:
+def all_kept(rules: Sequence[Rule]) -> Column:
     """True exactly where ``reason`` is empty, without building the text.
 
     As plain predicates the null checks reach the Parquet reader.
     """
-    verdict = F.lit(True)
-    for rule in rules:
-        verdict = verdict & rule.holds()
-    return verdict
+    return reduce(and_, [rule.kept() for rule in rules], F.lit(True))
+
+
+def any_broken(rules: Sequence[Rule]) -> Column:
+    """A filter for the rows ``all_kept`` leaves out: null where no rule is surely broken.
+
+    Reaches the Parquet reader whole if each rule compares a column with a constant.
+    """
+    return reduce(or_, [F.expr(rule.broken) for rule in rules], F.lit(False))

@@ -85,11 +85,11 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
         parts.append(labelled("not_null", table, null_counts(tables[table], columns)))
     for c in checks:
         if c.kind == "unique":
-            bad = repeated_values(tables[c.table], c.column).agg(F.count(F.lit(1)).alias("failures"))
+            bad = repeated_values(tables[c.table], c.column)
+            bad = bad.agg(F.count(F.lit(1)).alias("failures"))
         elif c.kind == "relationships":
-            bad = orphans(tables[c.table], c.column, tables[c.parent], c.parent_column).agg(
-                F.coalesce(F.sum("row_count"), F.lit(0)).alias("failures")
-            )
+            bad = orphans(tables[c.table], c.column, tables[c.parent], c.parent_column)
+            bad = bad.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("failures"))
         elif c.kind == "not_null":
             continue
         else:

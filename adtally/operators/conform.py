@@ -52,8 +52,10 @@ def require_schema(df: DataFrame, schema: StructType) -> DataFrame:
     have = [(f.name, f.dataType, f.nullable) for f in df.schema.fields]
     want = [(f.name, f.dataType, f.nullable) for f in schema.fields]
     if have != want:
+        surplus = [h for h in have if h not in want]
+        lacking = [w for w in want if w not in have]
         raise SchemaMismatch(
             f"expected {schema.simpleString()}, got {df.schema.simpleString()}; "
-            f"differing: {[h for h in have if h not in want]} / {[w for w in want if w not in have]}"
+            f"not declared: {surplus}, not found: {lacking}"
         )
     return df

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adtally.functions.literals import timestamp
-from adtally.functions.rules import DEFAULT_RULES, Rule, all_hold, reason
+from adtally.functions.rules import DEFAULT_RULES, Rule, all_kept, any_broken, reason
 from adtally.sources.contracts import QUARANTINED_AT, REASON
 
 
@@ -20,14 +20,14 @@ def flag(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
 
 def clean(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Rows that break no rule, with the columns they came with."""
-    return df.where(all_hold(rules))
+    return df.where(all_kept(rules))
 
 
 def rejected(
     df: DataFrame, quarantined_at: datetime, rules: Sequence[Rule] = DEFAULT_RULES
 ) -> DataFrame:
     """Rows that break a rule, with their reason and the time of quarantine."""
-    return df.where(~all_hold(rules)).select(
+    return df.where(any_broken(rules)).select(
         "*", reason(rules).alias(REASON), timestamp(quarantined_at).alias(QUARANTINED_AT)
     )
 

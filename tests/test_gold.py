@@ -128,7 +128,7 @@ def test_hot_merchant_is_split_at_the_join(spark, conf):
         spark__sql__adaptive__advisoryPartitionSizeInBytes="32KB",
     )
     rows = spark.range(0, 60_000, 1, 12).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("m"), "id")).alias("merchant_id"),
+        F.expr("IF(id % 3 = 0, 'hot', concat('m', id))").alias("merchant_id"),
         F.lit("DE").alias("market"),
         F.concat(F.lit("c"), "id").alias("campaign_id"),
         F.lit(RUN_DATE).alias("date"),
@@ -144,7 +144,9 @@ def test_hot_merchant_is_split_at_the_join(spark, conf):
 
 
 def test_checks_count_failures(spark):
-    parent = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (3, "b")], "key INT, name STRING")
+    parent = spark.createDataFrame(
+        [(1, "a"), (2, "a"), (3, None), (3, "b")], "key INT, name STRING"
+    )
     child = spark.createDataFrame([(1,), (9,), (9,), (None,)], "key INT")
     got = run_checks(
         {"parent": parent, "child": child},
@@ -186,7 +188,8 @@ def test_null_counts_take_one_pass(spark, events, tmp_path):
 
 def test_orphans_of_a_hot_key_are_counted_first(spark, conf):
     conf(spark__sql__autoBroadcastJoinThreshold="-1")
-    child = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    hot_third = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    child = spark.range(9000).select(hot_third.alias("k"))
     parent = spark.range(1, 9000).withColumnRenamed("id", "k")
     found = orphans(child, "k", parent, "k")
     assert [tuple(r) for r in found.collect()] == [(0, 3000)]

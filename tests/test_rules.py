@@ -7,7 +7,7 @@ from adtally.functions.casting import cast_to
 from adtally.functions.rules import DEFAULT_RULES, STRICT_RULES, Rule
 from adtally.operators.validation import clean, flag, rejected, rejects_by_reason, split
 from adtally.sources.contracts import REASON, SILVER
-from adtally.sources.given import STRICT_FAULTS, campaign_events
+from adtally.sources.given import STRICT_FAULTS, campaign_events, read_given
 
 NAN = float("nan")
 
@@ -104,6 +104,18 @@ def test_null_checks_reach_the_reader(spark, events, tmp_path):
     assert "Exchange" not in plan
 
 
+def test_rejects_skip_row_groups_without_any(spark):
+    overdrawn = rejected(
+        read_given(spark, SF_DIR, "customer"), RUN_TS, [Rule("overdrawn", "c_acctbal < 0")]
+    )
+    assert "LessThan(c_acctbal,0.0)" in plan_of(overdrawn)
+
+
+def test_no_rules_reject_nothing(events):
+    good, bad = split(events({"spend": None}), RUN_TS, [])
+    assert good.count() == 1 and bad.isEmpty()
+
+
 def test_rules_on_any_table(spark):
     df = spark.createDataFrame([(1, 5), (2, -5), (3, None)], "id INT, balance INT")
     bad = rejected(df, RUN_TS, [Rule("overdrawn", "balance < 0")])
