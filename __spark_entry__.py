@@ -466,6 +466,21 @@ def layer_counts(spark, sf_dir):
     return spark.createDataFrame(list(counts.items()), "layer STRING, row_count BIGINT")
 
 
+# --- Training data: present only with its subpackage and the pipeline ---------------------
+
+try:
+    import corpus_pipeline
+    from adtally.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "adtally.llm"):
+        raise
+else:
+    QUERIES |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    ORACLES |= llm_queries.ORACLES
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The daily fact, from raw events to the star."""
     return QUERIES["fact_campaign_daily"](spark, "/root/testdata/sf0.001")
