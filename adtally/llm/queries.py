@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from adtally.llm.ball_tree import op8_ball_tree_top_k
 from adtally.llm.packed_ids import op10_packed_ids
+from adtally.llm.sketches import op9_document_fingerprints
+from adtally.llm.url_rules import op7_url_rules
 
-QUERIES = {f.__name__: f for f in (op10_packed_ids,)}
+REGISTERED = (
+    op7_url_rules,
+    op8_ball_tree_top_k,
+    op9_document_fingerprints,
+    op10_packed_ids,
+)
+
+QUERIES = {f.__name__: f for f in REGISTERED}
 
 ORACLES: dict[str, str] = {}

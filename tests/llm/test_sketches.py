@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from adtally.llm import ordered, sketches
+from adtally.llm.queries import QUERIES
+from adtally.llm.sketches import containment, from_text, likeness, merged, sketch, to_text
+from conftest import SF_DIR
+from llm_fixtures import documents, saved  # noqa: F401
+
+
+def expected(rows):
+    """By plain Python over the sorted rows."""
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    out = []
+    for i, (doc_id, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        kept, changed = sketch(text), sketch(edited)
+        out.append(
+            (
+                doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), to_text(kept),
+                to_text(changed), likeness(kept, changed), likeness(kept, sketch(after)),
+            )
+        )
+    return sorted(out, key=repr)
+
+
+def result(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_given_documents(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    got = result(QUERIES["op9_document_fingerprints"](spark, SF_DIR))
+    assert got == expected(rows)
+
+
+@pytest.mark.parametrize("rows_per_range", [1, 3, 100])
+def test_many_ranges(spark, documents, rows_per_range, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(ordered, "RANGE_ROWS", rows_per_range)
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(40).tolist()
+    rows = [(i, "ab cd ef " * int(rng.integers(0, 30)) + str(i)) for i in ids]
+    rows += [(7, "tied"), (7, None), (None, "no id"), (None, "a"), (20, "x" * 100_000)]
+    df = documents(*rows).selectExpr("*", "1 AS range_no", "true AS ghost")
+    monkeypatch.setattr(ordered.in_ranges, "__defaults__", (rows_per_range,))
+    assert result(sketches.compare_edited(df)) == expected(rows)
+
+
+def test_one_row_is_its_own_follower(spark, documents):  # noqa: F811
+    (row,) = sketches.compare_edited(documents((5, "abcdef"))).collect()
+    assert row.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and row.near_next == 1.0
+
+
+def test_empty_table(spark, documents, saved):  # noqa: F811
+    folder = saved(documents=documents((1, "x")).where("false"))
+    assert QUERIES["op9_document_fingerprints"](spark, folder).collect() == []
+
+
+@given(st.text(max_size=200), st.text(max_size=200))
+@settings(max_examples=100, deadline=None)
+def test_likeness_is_a_share(a, b):
+    x, y = sketch(a), sketch(b)
+    assert 0 <= likeness(x, y) <= 1 and likeness(x, x) == 1.0
+    assert (len(x) > 0) == (len(a) > 0)
+    assert from_text(to_text(x)).tolist() == x.tolist()
+    assert merged(x, y).tolist() == merged(y, x).tolist()
+
+
+def test_containment_of_unequal_texts():
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(6000)]
+    whole, part = " ".join(words), " ".join(words[1000:1600])
+    assert containment(sketch(part), sketch(whole)) > 0.97
+    assert containment(sketch(whole), sketch(part)) == pytest.approx(0.1, abs=0.02)
+    first, second = " ".join(words[:3000]), " ".join(words[3000:])
+    both = merged(sketch(first), sketch(second))
+    assert len(np.setdiff1d(sketch(whole), both)) <= 8  # shingles over the seam
+    assert len(sketch(whole)) == pytest.approx(len(whole) / sketches.SCALE, rel=0.1)
