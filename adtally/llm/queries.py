@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from adtally.llm.ball_tree import op8_ball_tree_top_k
+from adtally.llm.merge_dropout import op3_merge_dropout
 from adtally.llm.packed_ids import op10_packed_ids
 from adtally.llm.sketches import op9_document_fingerprints
 from adtally.llm.url_rules import op7_url_rules
 
 REGISTERED = (
+    op3_merge_dropout,
     op7_url_rules,
     op8_ball_tree_top_k,
     op9_document_fingerprints,
