@@ -15,6 +15,7 @@ and no row. Only doc_id and text are read; other columns do not matter.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from adtally.llm.common import importable, open_shared, stored, table
 from adtally.session import shared_folder
@@ -37,8 +38,10 @@ HEAD = struct.Struct("<8sIIQQ")
 BLOCK_IDS = 4096
 #: Ids after which a file is closed; a document is never split between files.
 FILE_IDS = 4_000_000
-#: Pieces of text kept per worker with their ids; emptied when it is full.
-PIECE_CACHE = 500_000
+#: Pieces of text kept per worker with their ids, twice over.
+PIECE_CACHE = 450_000
+#: Where a piece may be cut: the signs leave out those of contractions and special tokens.
+SEAM = re.compile(rb"""[.,;:!?#$%&*()"/=+_~-](?<=[A-Za-z0-9].)""")
 MANIFEST = "part INT, seq INT, path STRING, n_docs BIGINT, n_ids BIGINT"
 
 
@@ -119,34 +122,70 @@ class PackedFile:
 class PieceEncoder:
     """The tokenizer's ids of whole texts, put together from those of their pieces.
 
-    Only for tokenizers that drop white space and never join tokens over it: the ids of a
-    text are then those of its pieces between ASCII white space (what other white space a
-    piece holds is left to the tokenizer). Pieces recur, so most come from a bounded table.
+    Only for tokenizers that lower-case, drop white space, and never join letters or digits
+    with signs. The ids of a text are then those of its pieces between ASCII white space,
+    also where that is put between a letter and a sign; and ASCII letters may be lower-cased
+    before, unless combining marks could join them or a special token be made. Pieces recur,
+    so most come from a table of bounded size. New ones of Latin letters go straight to the
+    tokenizer's model, which they would reach unchanged; all others go to the tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        # How the tokenizer spells the bytes of Latin letters for its model.
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.signs = {c: spell(chr(c))[0][0] for c in range(0x80, 0x100)}
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        texts = [p.decode() for p in pieces]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        self.known.update(
-            (p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(pieces, found)
-        )
+        self.old: dict[bytes, bytes] = {}  # those met before the known ones
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        for piece in pieces.intersection(self.old):
+            self.known[piece] = self.old.pop(piece)
+        other = {}
+        for piece in pieces.difference(self.known):
+            text = piece.decode()
+            if text.isalpha() and _latin(text):
+                found = self.model.tokenize(text.lower().translate(self.signs))
+                self.known[piece] = np.array([t.id for t in found], "<u4").tobytes()
+            else:
+                other[piece] = text
+        made = self.tokenizer.encode_batch(list(other.values()), add_special_tokens=False)
+        for piece, found in zip(other, made):
+            self.known[piece] = np.array(found.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if len(self.known) > PIECE_CACHE:
-            self.known.clear()
-        known, out = self.known, []
-        for text in texts:
-            pieces = text.encode().split()  # bytes split at ASCII white space alone
-            missing = set(pieces).difference(known)
-            if missing:
-                self._learn(list(missing))
-            out.append(b"".join(map(known.__getitem__, pieces)))
-        return out
+            self.known, self.old = {}, self.known
+        out, late = [], {}
+        for k, text in enumerate(texts):
+            cut = _pieces(text)
+            ids = list(map(self.known.get, cut))
+            if None in ids:
+                late[k] = [(i, piece) for i, piece in enumerate(cut) if ids[i] is None]
+            out.append(ids)
+        if late:
+            self._learn({piece for gaps in late.values() for _, piece in gaps})
+        for k, gaps in late.items():
+            for i, piece in gaps:
+                out[k][i] = self.known[piece]
+        return [b"".join(ids) for ids in out]
+
+
+def _pieces(text: str) -> list[bytes]:
+    data = text.encode()
+    if b"<|" not in data and (text.isascii() or _latin(text)):
+        data = data.lower()
+    return SEAM.sub(rb" \g<0>", data).split()
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _encoders: dict[str, PieceEncoder] = {}

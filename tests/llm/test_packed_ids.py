@@ -62,7 +62,7 @@ def test_random_access(bits):
     assert held.ids(4095, 4098).tolist() == ids[4095:4098].tolist()
 
 
-@given(st.text(max_size=80))
+@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=80))
 @settings(max_examples=150, deadline=None)
 def test_pieces_give_the_ids_of_the_whole_text(text):
     got = np.frombuffer(packed_ids.encoder(PATH)([text])[0], "<u4").tolist()
@@ -78,6 +78,17 @@ def test_odd_texts(text):
     assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("size", [1, 30])
+def test_small_tables_give_the_same_ids(monkeypatch, size):
+    monkeypatch.setattr(packed_ids, "PIECE_CACHE", size)
+    encode = packed_ids.PieceEncoder(PATH)
+    for i in range(60):
+        texts = [f"word{i} again, word{i % 7}. The end{i}!", "the word again"]
+        for text, ids in zip(texts, encode(texts)):
+            want = TOKENIZER.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want
+
+
 def test_given_documents(spark):
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
     got = result(QUERIES["op10_packed_ids"](spark, SF_DIR))
