@@ -64,7 +64,7 @@ def test_empty_table(spark, documents, saved):  # noqa: F811
     assert QUERIES["op9_document_fingerprints"](spark, folder).collect() == []
 
 
-@given(st.text(max_size=200), st.text(max_size=200))
+@given(*[st.text(alphabet=st.characters(codec="utf-8"), max_size=200)] * 2)
 @settings(max_examples=100, deadline=None)
 def test_likeness_is_a_share(a, b):
     x, y = sketch(a), sketch(b)
