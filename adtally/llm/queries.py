@@ -5,11 +5,15 @@ from __future__ import annotations
 from adtally.llm.ball_tree import op8_ball_tree_top_k
 from adtally.llm.merge_dropout import op3_merge_dropout
 from adtally.llm.packed_ids import op10_packed_ids
+from adtally.llm.private_data import op2_private_data
 from adtally.llm.sketches import op9_document_fingerprints
+from adtally.llm.toxicity import op4_toxicity
 from adtally.llm.url_rules import op7_url_rules
 
 REGISTERED = (
+    op2_private_data,
     op3_merge_dropout,
+    op4_toxicity,
     op7_url_rules,
     op8_ball_tree_top_k,
     op9_document_fingerprints,
