@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from adtally.llm import mixing
 from adtally.llm.ball_tree import op8_ball_tree_top_k
 from adtally.llm.merge_dropout import op3_merge_dropout
+from adtally.llm.mixing import op1_mixing
 from adtally.llm.packed_ids import op10_packed_ids
 from adtally.llm.private_data import op2_private_data
 from adtally.llm.sketches import op9_document_fingerprints
@@ -11,6 +13,7 @@ from adtally.llm.toxicity import op4_toxicity
 from adtally.llm.url_rules import op7_url_rules
 
 REGISTERED = (
+    op1_mixing,
     op2_private_data,
     op3_merge_dropout,
     op4_toxicity,
@@ -22,4 +25,4 @@ REGISTERED = (
 
 QUERIES = {f.__name__: f for f in REGISTERED}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_mixing": mixing.ORACLE}

@@ -1,0 +1,130 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+import oracle
+from adtally.llm import mixing
+from adtally.llm.mixing import DIMENSIONS, copies, draw, mix, placed, rake
+from adtally.llm.queries import ORACLES, QUERIES
+from conftest import SF_DIR, plan_of
+from llm_fixtures import documents, saved  # noqa: F401
+from pyspark.sql import functions as F
+
+
+def test_given_documents_match_their_sql(spark):
+    df = QUERIES["op1_mixing"](spark, SF_DIR)
+    assert oracle.differences(df, oracle.connect(SF_DIR), ORACLES["op1_mixing"]) is None
+
+
+@pytest.fixture
+def cells(spark):
+    rng = np.random.default_rng(0)
+    rows = [
+        (f"s{i}", f"l{j}", f"t{k}", int(rng.integers(1, 900)))
+        for i in range(5) for j in range(3) for k in range(4)
+    ]
+    return spark.createDataFrame(rows, "source STRING, lang STRING, topic STRING, mass BIGINT")
+
+
+def shares(spark, dimension, values):
+    rows = list(values.items())
+    return spark.createDataFrame(rows, f"{dimension} STRING, target DOUBLE")
+
+
+def test_raking_meets_its_targets(spark, cells):
+    wanted = {
+        "source": dict(zip((f"s{i}" for i in range(5)), (0.4, 0.3, 0.1, 0.1, 0.1))),
+        "lang": {"l0": 0.2, "l1": 0.5, "l2": 0.3},
+        "topic": {"t0": 0.25, "t1": 0.25, "t2": 0.4, "t3": 0.1},
+    }
+    raked = rake(cells, {d: shares(spark, d, v) for d, v in wanted.items()}, sweeps=8).toPandas()
+    for d in DIMENSIONS:
+        assert raked.groupby(d).weight.sum().to_dict() == pytest.approx(wanted[d], rel=1e-4)
+    # Raking keeps the cross ratios of the masses.
+    def ratio(column):
+        at = raked.set_index(list(DIMENSIONS))[column]
+        one = at["s0", "l0", "t0"] * at["s1", "l1", "t0"]
+        return one / (at["s0", "l1", "t0"] * at["s1", "l0", "t0"])
+
+    assert ratio("weight") == pytest.approx(ratio("mass"))
+
+
+def test_raking_against_plain_numpy(spark, cells):
+    frame = cells.toPandas()
+    cube = frame.mass.to_numpy(float).reshape(5, 3, 4)
+    weight = cube / cube.sum()
+    goals = [np.sqrt(cube.sum(axis=ax)) for ax in ((1, 2), (0, 2))]
+    goals.append(cube.sum(axis=(0, 1)) ** 0.7)
+    for _ in range(3):
+        for axis, goal in enumerate(goals):
+            other = tuple(a for a in range(3) if a != axis)
+            shape = [1, 1, 1]
+            shape[axis] = -1
+            weight = weight * (goal / goal.sum() / weight.sum(axis=other)).reshape(shape)
+    targets = {d: mixing.tempered(cells, d, p) for d, p in mixing.TEMPER.items()}
+    got = rake(cells, targets, sweeps=3).orderBy(*DIMENSIONS).toPandas()
+    assert got.weight.to_numpy() == pytest.approx(weight.ravel())
+
+
+def test_copies_follow_the_expectation(spark):
+    rows = spark.range(20_000).select("id", F.lit(1.3).alias("e"))
+    made = rows.select(copies(F.col("e"), F.col("id"), 5).alias("c")).groupBy("c").count()
+    got = {r.c: r["count"] for r in made.collect()}
+    assert set(got) == {1, 2} and got[2] == pytest.approx(6000, rel=0.05)
+    low, high = spark.range(1000).agg(
+        F.min(draw(F.col("id"))), F.max(draw(F.col("id")))
+    ).first()
+    assert 0 <= low < 0.02 and 0.98 < high < 1
+
+
+def test_sampled_tokens_meet_the_budget(spark):
+    df = QUERIES["op1_mixing"](spark, "/root/testdata/sf0.01")
+    all_, due = df.agg(
+        F.sum("n_tokens"), F.sum(F.col("expected_copies") * F.col("n_tokens"))
+    ).first()
+    assert due == pytest.approx(mixing.BUDGET * all_, rel=1e-3)
+
+
+def test_no_python_in_the_plans(spark):
+    df = QUERIES["op1_mixing"](spark, SF_DIR)
+    plan = plan_of(mix(spark.read.parquet(f"{SF_DIR}/documents.parquet")).union(
+        spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("copies", F.lit(1))
+    )) + plan_of(df)
+    assert not [w for w in ("Python", "Pandas", "Arrow", "CartesianProduct") if w in plan]
+
+
+def test_odd_rows_match_the_sql(spark, documents, saved):  # noqa: F811
+    rows = [
+        (1, None, None, None, None), (2, "", "", "", 0), (None, "a b", "en", None, 3),
+        (3, "x " * 50_000, "en", "hot", 100_000), (3, "licensed text", "de", "hot", 13),
+        (4, "| | |", None, "", 5), (4, "| | |", None, "", 5), (5, "a@b +1", "fr", "s", 6),
+    ]
+    folder = saved(documents=documents(*rows).coalesce(1))
+    df = QUERIES["op1_mixing"](spark, folder)
+    con = oracle.connect(SF_DIR)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{_only(folder)}'")
+    assert oracle.differences(df, con, ORACLES["op1_mixing"]) is None
+    odd = documents(*rows).selectExpr("*", "1 AS COPIES", "2 AS cell", "3 AS own", "4 AS expected")
+    out = mix(odd, sweeps=2)
+    assert out.columns[:-1] == odd.columns and out.count() == len(rows)
+
+
+def _only(folder):
+    import glob
+
+    (path,) = glob.glob(f"{folder}/documents.parquet/*.parquet")
+    return path
+
+
+def test_topics(spark, documents):  # noqa: F811
+    texts = ["Licensed work", "a | b | c", "mail a@b.c", "x## y** z$$", "plain words", "", None]
+    rows = placed(documents(*enumerate(texts))).select("doc_id", "cell.topic").collect()
+    assert [t for _, t in sorted(rows)] == [
+        "legal", "table", "contact", "symbols", "prose", "prose", "prose"
+    ]
+
+
+def test_empty_table(spark, documents, saved):  # noqa: F811
+    folder = saved(documents=documents((1, "x")).where("false"))
+    assert QUERIES["op1_mixing"](spark, folder).collect() == []
