@@ -6,6 +6,7 @@ from adtally.llm import mixing
 from adtally.llm.ball_tree import op8_ball_tree_top_k
 from adtally.llm.merge_dropout import op3_merge_dropout
 from adtally.llm.mixing import op1_mixing
+from adtally.llm.near_dedup import op5_near_dedup
 from adtally.llm.packed_ids import op10_packed_ids
 from adtally.llm.private_data import op2_private_data
 from adtally.llm.sketches import op9_document_fingerprints
@@ -17,6 +18,7 @@ REGISTERED = (
     op2_private_data,
     op3_merge_dropout,
     op4_toxicity,
+    op5_near_dedup,
     op7_url_rules,
     op8_ball_tree_top_k,
     op9_document_fingerprints,
