@@ -9,6 +9,7 @@ from adtally.llm.mixing import op1_mixing
 from adtally.llm.near_dedup import op5_near_dedup
 from adtally.llm.packed_ids import op10_packed_ids
 from adtally.llm.private_data import op2_private_data
+from adtally.llm.repeats import op6_repeated_passages
 from adtally.llm.sketches import op9_document_fingerprints
 from adtally.llm.toxicity import op4_toxicity
 from adtally.llm.url_rules import op7_url_rules
@@ -19,6 +20,7 @@ REGISTERED = (
     op3_merge_dropout,
     op4_toxicity,
     op5_near_dedup,
+    op6_repeated_passages,
     op7_url_rules,
     op8_ball_tree_top_k,
     op9_document_fingerprints,
