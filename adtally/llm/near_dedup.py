@@ -34,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from adtally.llm.common import importable, mixed, stored, table, word_hashes
+from adtally.llm.common import importable, mixed, new_name, stored, table, word_hashes
 from adtally.llm.graph import components
 
 WORDS = 5
@@ -353,8 +354,10 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("cluster", "of", "i", "j").applyInArrow(run, "u BIGINT, v BIGINT")
 
 
-def linked(docs: DataFrame, percent: int) -> DataFrame:
-    """``(doc_id, n_shingles, digest, component_id)`` for every row of ``docs``."""
+def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, n_shingles, digest)`` of every row of ``docs``, and of every set
+    ``(digest, first_id, component_id)``: the smallest doc_ids of its own and of all it
+    reaches."""
     rows = stored(sketched(docs, percent), "sketched")
     nodes = stored(
         rows.where("digest IS NOT NULL")
@@ -406,21 +409,94 @@ def linked(docs: DataFrame, percent: int) -> DataFrame:
     )
     named = stored(named, "named")
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_digest = stored(named.join(ids, "component").select("digest", "component_id"), "ids")
-    return rows.join(by_digest, "digest", "left").select(
-        "doc_id",
-        "n_shingles",
-        "digest",
-        F.when(F.col("digest").isNull(), F.col("doc_id"))
-        .otherwise(F.col("component_id"))
-        .alias("component_id"),
+    sets_ = stored(
+        named.join(ids, "component").select("digest", "component", "first_id", "component_id"),
+        "ids",
     )
+    return rows, sets_
 
 
 def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``."""
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return linked(docs, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    rows, sets = linked(docs, percent)
+    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return (
+        rows.join(sets.select("digest", "component_id"), "digest", "left")
+        .withColumn("component_id", own)
+        .select(
+            "doc_id",
+            "n_shingles",
+            "component_id",
+            F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        )
+    )
+
+
+def with_digest(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the digest of each text's set (null without words)."""
+    importable(docs.sparkSession)
+    text_at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text in batch.column(text_at).to_pylist():
+                own = shingles(text.encode() if text else None)
+                made.append(
+                    hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+                )
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(made, pa.binary())],
+                names=[*batch.schema.names, name],
+            )
+
+    return docs.mapInArrow(
+        run, StructType([*docs.schema.fields, StructField(name, BinaryType())])
+    )
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, and all rows without words.
+
+    The row kept has the component's smallest doc_id; of rows that are the same in id and
+    set, any one. Only sets that lose a row meet the texts' digests in a join, broadcast if
+    they are few.
+    """
+    rows, sets = linked(docs, percent)
+    counts = rows.where("digest IS NOT NULL").groupBy("digest", "doc_id").agg(
+        F.count(F.lit(1)).alias("times")
+    )
+    chosen = sets.groupBy("component").agg(
+        F.min_by("digest", F.struct(F.col("first_id").isNull(), "first_id", "digest")).alias("best")
+    )
+    by_set = counts.groupBy("digest").agg(
+        F.sum("times").alias("rows"), F.min_by("times", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("same")
+    )
+    decided = (
+        sets.join(chosen, "component")
+        .join(by_set, "digest")
+        .select(
+            "digest", (F.col("digest") == F.col("best")).alias("stays"), "first_id", "rows", "same"
+        )
+        .where("NOT stays OR rows > 1")
+    )
+    decided = stored(decided, "decided")
+    name, keep = new_name(docs.columns, "digest"), new_name(docs.columns, "decision")
+    few = decided.count() <= BROADCAST_IDS
+    repeated = decided.where("stays AND same > 1").limit(1).count() > 0
+    decided = decided.select(
+        F.col("digest").alias(name),
+        F.struct("stays", "first_id", (F.col("same") > 1).alias("again")).alias(keep),
+    )
+    met = with_digest(docs, name).join(F.broadcast(decided) if few else decided, name, "left")
+    left = met.where(
+        F.col(keep).isNull()
+        | (F.col(f"{keep}.stays") & F.col("doc_id").eqNullSafe(F.col(f"{keep}.first_id")))
+    )
+    if repeated:  # rows that are the same in id and set: those few alone are shuffled
+        again = F.coalesce(F.col(f"{keep}.again"), F.lit(False))
+        left = left.where(~again).unionAll(left.where(again).dropDuplicates([name]))
+    return left.select(*docs.columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
