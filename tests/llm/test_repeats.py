@@ -1,0 +1,112 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from adtally.llm import repeats
+from adtally.llm.queries import QUERIES
+from adtally.llm.repeats import LEAST, anchors, common_words, repeated_passages
+from conftest import SF_DIR
+from llm_fixtures import documents, saved  # noqa: F401
+
+
+def brute(rows):
+    """``{doc_id: covered words}``: every run of LEAST words that another doc_id holds too."""
+    words = [(d, (t or "").encode().lower().split()) for d, t in rows]
+    holders = {}
+    for d, own in words:
+        for i in range(len(own) - LEAST + 1):
+            holders.setdefault(tuple(own[i : i + LEAST]), set()).add(d)
+    out = {}
+    for d, own in words:
+        for i in range(len(own) - LEAST + 1):
+            if len(holders[tuple(own[i : i + LEAST])] - {d}):
+                out.setdefault(d, set()).update(range(i, i + LEAST))
+    return out
+
+
+def covered(df):
+    out = {}
+    for r in df.collect():
+        assert r.end_word - r.first_word == r.n_words >= LEAST and r.partner_id != r.doc_id
+        out.setdefault(r.doc_id, set()).update(range(r.first_word, r.end_word))
+    return out
+
+
+def test_given_documents(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    assert covered(QUERIES["op6_repeated_passages"](spark, SF_DIR)) == brute(rows)
+
+
+def text(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 5000, n)]
+
+
+@pytest.mark.parametrize("partitions", ["2", "40"])
+def test_planted_passages(spark, documents, conf, partitions):  # noqa: F811
+    """Passages of 45 to 300 words in two to thirty texts, one of them very common."""
+    conf(spark__sql__shuffle__partitions=partitions)
+    rng = np.random.default_rng(7)
+    common, rows = text(rng, 70), []
+    for length in (45, 49, 50, 51, 60, 90, 300):
+        passage = text(rng, length)
+        for _ in range(2 + length % 3):
+            own = text(rng, rng.integers(0, 200)) + passage + text(rng, rng.integers(0, 200))
+            rows.append((len(rows), " ".join(own)))
+    for _ in range(30):
+        own = text(rng, rng.integers(0, 90)) + common + text(rng, 30)
+        rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, " ".join(text(rng, 200))) for i in range(20)]
+    want = brute(rows)
+    assert covered(repeated_passages(documents(*rows))) == want
+    assert len(want) > 40
+
+
+def test_partners_hold_the_passage(spark, documents):  # noqa: F811
+    rng = np.random.default_rng(8)
+    passage = text(rng, 80)
+    rows = [(i, " ".join(text(rng, 30) + passage + text(rng, 20))) for i in range(4)]
+    out = repeated_passages(documents(*rows)).collect()
+    assert {(r.doc_id, r.first_word, r.end_word) for r in out} == {(i, 30, 110) for i in range(4)}
+
+
+def test_odd_rows(spark, documents, saved):  # noqa: F811
+    rng = np.random.default_rng(9)
+    long, other = " ".join(text(rng, 30_000)), " ".join(text(rng, 60))
+    same = " ".join(["same"] * 400)
+    rows = [
+        (1, None), (2, ""), (3, "short text"), (4, "short text"), (5, long), (6, long.upper()),
+        (7, other), (7, other), (None, other), (10, same), (11, same + " x"),
+        (12, " ".join(text(rng, 10)) + " " + long[: len(long) // 2]), (13, long),
+    ]
+    df = documents(*rows).selectExpr("*", "1 AS NODE", "2 AS place", "3 AS gram")
+    got = covered(QUERIES["op6_repeated_passages"](spark, saved(documents=df)))
+    want = brute([r for r in rows if r[0] is not None])
+    assert {d: got[d] for d in want} == want
+    assert set(got) <= {*want, None}
+
+
+def test_empty_table(spark, documents, saved):  # noqa: F811
+    folder = saved(documents=documents((1, "x")).where("false"))
+    assert QUERIES["op6_repeated_passages"](spark, folder).collect() == []
+
+
+def test_equal_passages_keep_equal_suffixes():
+    rng = np.random.default_rng(0)
+    passage = rng.integers(0, 2**63, 200).astype(np.uint64)
+    def around(n):
+        return np.concatenate([rng.integers(0, 2**63, n).astype(np.uint64), passage])
+    a, b = anchors(around(37)), anchors(around(151))
+    inside = [set((at[at >= n] - n).tolist()) for (at, _), n in ((a, 37), (b, 151))]
+    first = repeats.WINDOW
+    assert {x for x in inside[0] if x >= first} == {x for x in inside[1] if x >= first}
+    assert np.diff(a[0]).max() <= repeats.WINDOW
+
+
+def test_common_words():
+    a = np.arange(30, dtype=">u4")
+    b = a.copy()
+    assert common_words(a.tobytes(), b.tobytes()) == 30
+    b[7] = 99
+    assert common_words(a.tobytes(), b.tobytes()) == 7
+    assert common_words(a.tobytes(), a[:5].tobytes()) == 5 and common_words(b"", b"") == 0
