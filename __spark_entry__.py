@@ -31,7 +31,15 @@ from adtally.plans.publish import (  # noqa: E402
 )
 from adtally.plans.silver import refine  # noqa: E402
 from adtally.session import shared_folder  # noqa: E402
-from adtally.sources.contracts import BRONZE, EVENT_GRAIN, REASON, SILVER, SOURCE  # noqa: E402
+from adtally.sources.contracts import (  # noqa: E402
+    BRONZE,
+    DIM_MERCHANT,
+    EVENT_GRAIN,
+    FACT_CAMPAIGN_DAILY,
+    REASON,
+    SILVER,
+    SOURCE,
+)
 from adtally.sources.given import (  # noqa: E402
     MISSING_VALUES,
     STRICT_FAULTS,
@@ -39,8 +47,15 @@ from adtally.sources.given import (  # noqa: E402
     campaign_events,
     read_given,
     shipped_lines,
+    shipped_parts,
+)
+from adtally.sources.sinks import (  # noqa: E402
+    balanced,
+    declared,
+    overwrite_table,
+    read_rejected,
+    write_rejected,
 )
-from adtally.sources.sinks import balanced, overwrite_table, read_rejected, write_rejected  # noqa: E402
 from adtally.sources.sized import written  # noqa: E402
 from adtally.sources.tables import read_table, typed_scan  # noqa: E402
 from oracle_sql import ORACLES  # noqa: E402
@@ -109,6 +124,13 @@ def bronze_partition_count(spark, sf_dir):
     return summaries.partitions_in_use(balanced(campaign_events(spark, sf_dir), "market"))
 
 
+@query
+def market_layout(spark, sf_dir):
+    """After an explicit shuffle by market, each market's rows are in one task."""
+    events = campaign_events(spark, sf_dir).repartition(8, "market")
+    return summaries.kept_together(events, "market")
+
+
 @query
 def events_by_market(spark, sf_dir):
     return summaries.rows_by(campaign_events(spark, sf_dir), "market")
@@ -246,6 +268,16 @@ def dedup_stats(spark, sf_dir):
     return dedup.dedup_stats(clean(_typed(spark, sf_dir)))
 
 
+@query
+def dedup_audit(spark, sf_dir):
+    return dedup.dedup_audit(clean(_typed_missing(spark, sf_dir)), ["merchant_id", "date"])
+
+
+@query
+def reject_rates(spark, sf_dir):
+    return summaries.reject_rates(flag(_typed_missing(spark, sf_dir)))
+
+
 @query
 def coalesce_required(spark, sf_dir):
     return fill_required(_typed_missing(spark, sf_dir), silver_defaults(RUN_TS))
@@ -291,7 +323,7 @@ def dim_market(spark, sf_dir):
 @query
 def dim_campaign_part(spark, sf_dir):
     """A wide dimension: every part that was shipped."""
-    lines = shipped_lines(spark, sf_dir)
+    lines = shipped_parts(spark, sf_dir)
     return dimensions.build_dim(lines, "campaign_id", "campaign_key", RUN_DATE).table
 
 
@@ -331,6 +363,18 @@ def fact_campaign_daily_shipped(spark, sf_dir):
     return gold.star(events, RUN_DATE).fact_campaign_daily
 
 
+@query
+def fact_campaign_daily_nan(spark, sf_dir):
+    """Spend that is not a number passes the default rules, and so do its ratios."""
+    events = cast_to(campaign_events(spark, sf_dir, STRICT_FAULTS), SILVER)
+    return gold.star(refine(events, RUN_TS).events, RUN_DATE).fact_campaign_daily
+
+
+@query
+def daily_rollup(spark, sf_dir):
+    return summaries.daily_rollup(_silver(spark, sf_dir), "market")
+
+
 @query
 def dim_merchant_sql(spark, sf_dir):
     events = _silver(spark, sf_dir)
@@ -370,12 +414,29 @@ def dq_unique(spark, sf_dir):
 
 @query
 def dq_relationships(spark, sf_dir):
-    """Campaigns in the events that no part stands for: parts start at 1, campaigns at 0."""
+    """Campaigns in the events that no part stands for: none in the given tables."""
     events = _typed_missing(spark, sf_dir)
-    shipped = dimensions.distinct_members(shipped_lines(spark, sf_dir), "campaign_id")
+    shipped = dimensions.distinct_members(shipped_parts(spark, sf_dir), "campaign_id")
     return checks.orphans(events, "campaign_id", shipped, "campaign_id")
 
 
+@query
+def dq_orphan_parts(spark, sf_dir):
+    """Shipped parts without a campaign in the events: many."""
+    campaigns = dimensions.distinct_members(_typed_missing(spark, sf_dir), "campaign_id")
+    return checks.orphans(shipped_parts(spark, sf_dir), "campaign_id", campaigns, "campaign_id")
+
+
+@query
+def dq_report_with_failures(spark, sf_dir):
+    """The declared tests on a star whose markets lost a member and whose merchants repeat."""
+    tables = _gold_tables(spark, sf_dir)
+    merchants, markets = tables["dim_merchant"], tables["dim_market"]
+    tables["dim_merchant"] = merchants.unionAll(merchants.where("merchant_key <= 3"))
+    tables["dim_market"] = markets.where("market_key <> 2")
+    return checks.run_checks(tables, checks.GOLD_CHECKS)
+
+
 @query
 def dq_report(spark, sf_dir):
     return checks.run_checks(_gold_tables(spark, sf_dir), checks.GOLD_CHECKS)
@@ -395,13 +456,13 @@ def silver_scan(spark, sf_dir):
 @query
 def sink_bronze_roundtrip(spark, sf_dir):
     lake = _lake(spark)
-    publish_bronze(campaign_events(spark, sf_dir), lake, RUN_TS)
+    publish_bronze(campaign_events(spark, sf_dir), lake, RUN_TS, keep_stamp=True)
     return read_table(spark, lake.bronze_events, BRONZE)
 
 
 @query
 def sink_silver_roundtrip(spark, sf_dir):
-    """Includes rows without a market, which an empty directory name would lose."""
+    """Includes rows without a market, which have a stand-in as their directory's name."""
     lake = _lake(spark)
     events = refine(campaign_events(spark, sf_dir, MISSING_VALUES), RUN_TS).events
     overwrite_table(events, lake.silver_events, ["market", "date"], SILVER)
@@ -418,14 +479,52 @@ def sink_rejected_roundtrip(spark, sf_dir):
     return read_rejected(spark, lake.rejected_path)
 
 
+@query
+def quarantine_by_name(spark, sf_dir):
+    """Rejects per reason, read from the quarantine's catalog table."""
+    lake = _lake(spark)
+    rejects = refine(campaign_events(spark, sf_dir), RUN_TS).rejected
+    write_rejected(rejects, lake.rejected_path, RUN_ID, lake.fmt, lake.rejected_table)
+    return validation.rejects_by_reason(read_table(spark, lake.rejected_table))
+
+
+@query
+def sink_failed_overwrite(spark, sf_dir):
+    """A replacement that fails in its tasks: the table still has its rows."""
+    lake = _lake(spark)
+    events = _silver(spark, sf_dir)
+    overwrite_table(events, lake.silver_events, ["market", "date"], SILVER)
+    failing = F.when(F.col("clicks") >= 0, F.raise_error(F.lit("planned")).cast("double"))
+    try:
+        overwrite_table(
+            events.withColumn("spend", failing), lake.silver_events, ["market", "date"], SILVER
+        )
+    except Exception as failure:
+        if "planned" not in str(failure):
+            raise
+        return read_table(spark, lake.silver_events, SILVER)
+    raise AssertionError("the overwrite did not fail")
+
+
 @query
 def sink_dim_roundtrip(spark, sf_dir):
     lake = _lake(spark)
     name = lake.gold_table("dim_merchant")
-    overwrite_table(gold.merchants(_silver(spark, sf_dir), RUN_DATE).table, name)
+    dim = declared(gold.merchants(_silver(spark, sf_dir), RUN_DATE).table, DIM_MERCHANT)
+    overwrite_table(dim, name, contract=DIM_MERCHANT)
     return read_table(spark, name)
 
 
+@query
+def sink_fact_unknown_market(spark, sf_dir):
+    """Events without a market, as tables: the same keys as in the frames."""
+    lake = _lake(spark)
+    events = refine(campaign_events(spark, sf_dir, MISSING_VALUES), RUN_TS).events
+    overwrite_table(events, lake.silver_events, ["market", "date"], SILVER)
+    publish_gold(spark, lake, RUN_DATE)
+    return read_table(spark, lake.gold_table("fact_campaign_daily"))
+
+
 @query
 def sink_fact_roundtrip(spark, sf_dir):
     lake = _lake(spark)
@@ -440,7 +539,8 @@ def sink_sql_model_roundtrip(spark, sf_dir):
     lake = _lake(spark)
     name = lake.gold_table("fact_campaign_daily")
     for _ in range(2):
-        overwrite_table(sql_models.star(_silver(spark, sf_dir), RUN_DATE)[2], name)
+        fact = declared(sql_models.star(_silver(spark, sf_dir), RUN_DATE)[2], FACT_CAMPAIGN_DAILY)
+        overwrite_table(fact, name, contract=FACT_CAMPAIGN_DAILY)
     return read_table(spark, name)
 
 
@@ -466,6 +566,9 @@ def layer_counts(spark, sf_dir):
     return spark.createDataFrame(list(counts.items()), "layer STRING, row_count BIGINT")
 
 
+#: The queries of the library itself.
+LIBRARY = frozenset(QUERIES)
+
 # --- Training data: present only with its subpackage and the pipeline ---------------------
 
 try:

@@ -1,6 +1,6 @@
 """Publish the layers, or check the published gold tables, as a Spark job.
 
-    python -m adtally all --root s3://lake/ads --source s3://landing/2026-03-01 \\
+    python -m adtally all --root /lake/ads --source /landing/2026-03-01 \\
         --run-ts 2026-03-01T06:00:00 --run-id run-20260301
 """
 
@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import argparse
 import json
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 
 from adtally.functions.rules import DEFAULT_RULES, STRICT_RULES
+from adtally.operators.fact import BROADCAST_LIMIT
 from adtally.plans.publish import (
     Lake,
     gold_report,
@@ -21,10 +22,17 @@ from adtally.plans.publish import (
     publish_gold,
     publish_silver,
 )
+from adtally.session import SETTINGS
 from adtally.sources.contracts import EVENT_GRAIN, EVENT_KEY
 from adtally.sources.tables import typed_scan
 
 
+def clock(text: str) -> datetime:
+    """A time that no session's zone can move."""
+    value = datetime.fromisoformat(text)
+    return value if value.tzinfo else value.replace(tzinfo=UTC)
+
+
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="adtally", description=__doc__)
     parser.add_argument("step", choices=["bronze", "silver", "gold", "all", "check"])
@@ -36,7 +44,11 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--bronze", default="bronze")
     parser.add_argument("--silver", default="silver")
     parser.add_argument("--gold", default="gold")
-    parser.add_argument("--run-ts", required=True, type=datetime.fromisoformat)
+    parser.add_argument("--run-ts", required=True, type=clock, help="UTC if without an offset")
+    parser.add_argument(
+        "--broadcast-limit", type=int, default=BROADCAST_LIMIT,
+        help="bytes up to which a dimension is broadcast",
+    )
     parser.add_argument("--run-id", required=True)
     parser.add_argument("--strict", action="store_true", help="also apply the strict rules")
     parser.add_argument("--by-grain", action="store_true", help="keep one row per market too")
@@ -54,7 +66,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
     run_date = args.run_ts.date()
     if args.step == "all":
         source = typed_scan(spark, args.source, fmt=args.source_format)
-        return publish(source, lake, args.run_ts, run_date, args.run_id, rules, keys)
+        return publish(
+            source, lake, args.run_ts, run_date, args.run_id, rules, keys, args.broadcast_limit
+        )
     lake.prepare(spark)
     if args.step == "bronze":
         source = typed_scan(spark, args.source, fmt=args.source_format)
@@ -65,12 +79,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
     if args.step == "check":
         failed = gold_report(spark, lake).where("failures > 0").collect()
         return {f"{r.check} {r.table_name}.{r.column_name}": r.failures for r in failed}
-    return publish_gold(spark, lake, run_date)
+    return publish_gold(spark, lake, run_date, args.broadcast_limit)
 
 
 def main() -> None:
     args = parse()
-    spark = SparkSession.builder.appName(f"adtally {args.step}").getOrCreate()
+    builder = SparkSession.builder.appName(f"adtally {args.step}")
+    spark = builder.config(map=SETTINGS).getOrCreate()
     counts = run(spark, args)
     print(json.dumps(counts))
     if args.step == "check" and counts:

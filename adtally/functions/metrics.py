@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The ratio as SQL, for frames and for SQL models.
+GUARDED_RATIO = "CASE WHEN {whole} > 0 THEN {part} / {whole} ELSE CAST(0 AS DOUBLE) END"
+CTR = GUARDED_RATIO.format(part="clicks", whole="impressions")
+COST_PER_CLICK = GUARDED_RATIO.format(part="spend", whole="clicks")
+
+
 def guarded_ratio(part: str, whole: str) -> Column:
     """``part / whole`` where ``whole`` is positive, else 0.0.
 
@@ -13,12 +19,12 @@ def guarded_ratio(part: str, whole: str) -> Column:
     ``whole`` stays null. Under ANSI mode the guard is what keeps a zero from failing
     the job.
     """
-    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
+    return F.expr(GUARDED_RATIO.format(part=part, whole=whole))
 
 
 def ctr() -> Column:
-    return guarded_ratio("clicks", "impressions").alias("ctr")
+    return F.expr(CTR).alias("ctr")
 
 
 def cost_per_click() -> Column:
-    return guarded_ratio("spend", "clicks").alias("cost_per_click")
+    return F.expr(COST_PER_CLICK).alias("cost_per_click")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from adtally.functions.literals import timestamp
-from adtally.sources.contracts import SILVER, UNKNOWN_DATE, UNKNOWN_TEXT
+from adtally.sources.contracts import SILVER, UNKNOWN_DATE, UNKNOWN_PARTITION, UNKNOWN_TEXT
 
 
 class SchemaMismatch(ValueError):
@@ -36,6 +36,14 @@ def fill_required(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
     return df.withColumns({name: F.coalesce(F.col(name), v) for name, v in defaults.items()})
 
 
+def named_market(df: DataFrame) -> DataFrame:
+    """An empty market under the name of a missing one; a null stays one."""
+    market = F.col("market")
+    return df.withColumn(
+        "market", F.when(market == UNKNOWN_TEXT, UNKNOWN_PARTITION).otherwise(market)
+    )
+
+
 def conform(
     df: DataFrame, defaults: Mapping[str, Column], schema: StructType = SILVER
 ) -> DataFrame:
@@ -43,14 +51,16 @@ def conform(
     return fill_required(df, defaults).to(schema)
 
 
-def require_schema(df: DataFrame, schema: StructType) -> DataFrame:
-    """``df`` itself if names, order, types and null flags equal ``schema``.
+def require_schema(df: DataFrame, schema: StructType, nulls: bool = True) -> DataFrame:
+    """``df`` itself if names, order, types and (with ``nulls``) null flags equal ``schema``.
 
     Parquet does not refuse a changed schema on overwrite, so strict tables are guarded
     here, before a byte is written.
     """
-    have = [(f.name, f.dataType, f.nullable) for f in df.schema.fields]
-    want = [(f.name, f.dataType, f.nullable) for f in schema.fields]
+    have, want = (
+        [(f.name, f.dataType, f.nullable if nulls else None) for f in s.fields]
+        for s in (df.schema, schema)
+    )
     if have != want:
         surplus = [h for h in have if h not in want]
         lacking = [w for w in want if w not in have]

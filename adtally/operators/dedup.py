@@ -41,6 +41,17 @@ def dedup_latest(
     )
 
 
+def dedup_audit(
+    df: DataFrame, keys: Sequence[str] = EVENT_KEY, newest_by: str = INGESTED_AT.name
+) -> DataFrame:
+    """``(keys, copies, won_by)`` of each key that has several rows: the time that wins."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("copies"), F.max(newest_by).alias("won_by"))
+        .where("copies > 1")
+    )
+
+
 def dedup_stats(df: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
     """Rows, distinct keys and the duplicates a dedup would drop, in one pass.
 

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtally.functions.metrics import cost_per_click, ctr
 from adtally.sources.sized import Size, Sized
 
-#: A dimension up to this size, as its write observed it, is sent to every executor.
+#: A dimension whose hash table takes up to this many bytes is sent to every executor.
 BROADCAST_LIMIT = 128 * 1024 * 1024
 
+#: What the fact needs of the events.
+EVENT_COLUMNS = (
+    "merchant_id", "campaign_id", "market", "date", "spend", "impressions", "clicks"
+)
+
+# A row of a broadcast's hash table beside its values: two row headers, a record's lengths
+# and pointer, and up to four words in an array that is kept at most half full.
+_ROW_BYTES = 128
+
+
+def broadcast_bytes(size: Size) -> int:
+    """Upper estimate of a broadcast's size: the key is held once more beside its row."""
+    return _ROW_BYTES * size.rows + 2 * size.bytes
+
 
 def fits_broadcast(size: Size, limit: int = BROADCAST_LIMIT) -> bool:
-    return size.bytes <= limit
+    return broadcast_bytes(size) <= limit
+
+
+def broadcast_limit(spark: SparkSession, limit: int = BROADCAST_LIMIT) -> int:
+    """``limit``, or -1 in a session that has broadcast joins switched off."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    return -1 if threshold.strip().startswith("-") else limit
 
 
 def join_side(dim: Sized, limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -22,6 +42,7 @@ def join_side(dim: Sized, limit: int = BROADCAST_LIMIT) -> DataFrame:
     A larger one is joined by a shuffle, where adaptive execution splits a member that
     holds many rows (``spark.sql.adaptive.skewJoin``).
     """
+    limit = broadcast_limit(dim.table.sparkSession, limit)
     return F.broadcast(dim.table) if fits_broadcast(dim.size, limit) else dim.table
 
 

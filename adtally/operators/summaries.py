@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adtally.functions.metrics import cost_per_click, ctr
+from adtally.sources.contracts import REASON
+
 
 def rows_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count"))
@@ -24,6 +27,45 @@ def partitions_in_use(df: DataFrame) -> DataFrame:
     )
 
 
+def kept_together(df: DataFrame, column: str) -> DataFrame:
+    """``(column, row_count, partition_count)``: over how many tasks each value is spread."""
+    placed = df.select(column, F.spark_partition_id().alias("_task"))
+    return placed.groupBy(column).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_distinct("_task").alias("partition_count"),
+    )
+
+
+def reject_rates(flagged: DataFrame, day: str = "date") -> DataFrame:
+    """Rows per day and reason, and their share of the day; no reason is a reason too.
+
+    Counts are joined to counts: nothing wider than a day's reasons meets in one place.
+    """
+    counts = flagged.groupBy(day, REASON).agg(F.count(F.lit(1)).alias("row_count"))
+    totals = counts.groupBy(F.col(day).alias("_day")).agg(F.sum("row_count").alias("_rows"))
+    return counts.join(totals, F.col(day).eqNullSafe(F.col("_day"))).select(
+        day, REASON, "row_count", F.round(F.col("row_count") / F.col("_rows"), 6).alias("share")
+    )
+
+
+def daily_rollup(events: DataFrame, *by: str) -> DataFrame:
+    """Measures summed per day and ``by``, with the ratios of the sums."""
+    sums = events.groupBy("date", *by).agg(
+        F.sum("spend").alias("spend"),
+        F.sum("impressions").alias("impressions"),
+        F.sum("clicks").alias("clicks"),
+    )
+    return sums.select(
+        "date",
+        *by,
+        F.round("spend", 4).alias("spend"),
+        "impressions",
+        "clicks",
+        F.round(ctr(), 6).alias("ctr"),
+        F.round(cost_per_click(), 4).alias("cost_per_click"),
+    )
+
+
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     """The first ``n`` rows in a total order; each task keeps only its own ``n``."""
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in order_by]).limit(n)

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from adtally.operators.dimensions import build_dim
-from adtally.operators.fact import build_fact
+from adtally.operators.fact import BROADCAST_LIMIT, EVENT_COLUMNS, build_fact
 from adtally.sources.sized import Sized, written
 
 
@@ -26,13 +26,13 @@ def markets(events: DataFrame, run_date: date) -> Sized:
     return build_dim(events, "market", "market_key", run_date)
 
 
-def star(events: DataFrame, run_date: date) -> Star:
-    """The star over ``events``, which are written first.
+def star(events: DataFrame, run_date: date, limit: int = BROADCAST_LIMIT) -> Star:
+    """The star over ``events``, of which the fact's columns are written first.
 
     Three steps read the events; computed from the raw source each would repeat the
     dedup's shuffle. Keys are rebuilt with every run, so the fact is too.
     """
-    events = written(events, "events").table
+    events = written(events.select(*EVENT_COLUMNS), "events").table
     by_merchant, by_market = merchants(events, run_date), markets(events, run_date)
-    fact = build_fact(events, by_merchant, by_market)
+    fact = build_fact(events, by_merchant, by_market, limit)
     return Star(by_merchant.table, by_market.table, fact)

@@ -10,12 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adtally.functions.rules import DEFAULT_RULES, Rule
 from adtally.operators.checks import GOLD_CHECKS, run_checks
-from adtally.operators.fact import BROADCAST_LIMIT, build_fact, fits_broadcast
+from adtally.operators.conform import named_market
+from adtally.operators.fact import (
+    BROADCAST_LIMIT,
+    broadcast_limit,
+    build_fact,
+    fits_broadcast,
+)
 from adtally.plans.bronze import ingest
 from adtally.plans.gold import markets, merchants
 from adtally.plans.silver import refine
-from adtally.sources.contracts import BRONZE, EVENT_KEY, SILVER
-from adtally.sources.sinks import overwrite_table, write_rejected
+from adtally.sources.contracts import (
+    BRONZE,
+    DIM_MARKET,
+    DIM_MERCHANT,
+    EVENT_KEY,
+    FACT_CAMPAIGN_DAILY,
+    SILVER,
+)
+from adtally.sources.sinks import declared, overwrite_table, write_rejected
 from adtally.sources.sized import Sized
 from adtally.sources.tables import ensure_schema, qualified, read_table
 
@@ -46,14 +59,19 @@ class Lake(NamedTuple):
     def rejected_path(self) -> str:
         return f"{self.root}/{self.silver}_rejected"
 
+    @property
+    def rejected_table(self) -> str:
+        return qualified(self.catalog, self.silver, "campaign_events_rejected")
+
     def gold_table(self, table: str) -> str:
         return qualified(self.catalog, self.gold, table)
 
 
-def publish_bronze(source: DataFrame, lake: Lake, run_ts: datetime) -> int:
-    return overwrite_table(
-        ingest(source, run_ts), lake.bronze_events, ["market"], BRONZE, lake.fmt
-    ).rows
+def publish_bronze(
+    source: DataFrame, lake: Lake, run_ts: datetime, keep_stamp: bool = False
+) -> int:
+    events = named_market(ingest(source, run_ts, keep_stamp=keep_stamp))
+    return overwrite_table(events, lake.bronze_events, ["market"], BRONZE, lake.fmt).rows
 
 
 def publish_silver(
@@ -66,11 +84,13 @@ def publish_silver(
 ) -> tuple[int, int]:
     """Rows of silver and of this run's quarantine.
 
-    The quarantine goes first: it can be repeated, so a failure in between leaves the
-    previous silver table in place and no reject lost.
+    The quarantine goes first: it can be repeated, so a failure in or before the second
+    write leaves the previous silver table in place and no reject lost.
     """
     silver = refine(read_table(spark, lake.bronze_events, BRONZE), run_ts, rules, keys)
-    rejected = write_rejected(silver.rejected, lake.rejected_path, run_id)
+    rejected = write_rejected(
+        silver.rejected, lake.rejected_path, run_id, lake.fmt, lake.rejected_table
+    )
     events = overwrite_table(
         silver.events, lake.silver_events, ["market", "date"], SILVER, lake.fmt
     )
@@ -88,15 +108,20 @@ def publish_gold(
     piece of a silver file. A shuffled join scatters them, and they are laid out anew.
     """
     events = read_table(spark, lake.silver_events, SILVER)
+    limit = broadcast_limit(spark, limit)
     dims = []
-    for name, dim in (("dim_merchant", merchants), ("dim_market", markets)):
-        frame = dim(events, run_date).table
-        size = overwrite_table(frame, lake.gold_table(name), fmt=lake.fmt)
+    for name, dim, contract in (
+        ("dim_merchant", merchants, DIM_MERCHANT),
+        ("dim_market", markets, DIM_MARKET),
+    ):
+        frame = declared(dim(events, run_date).table, contract)
+        size = overwrite_table(frame, lake.gold_table(name), contract=contract, fmt=lake.fmt)
         dims.append(Sized(spark.table(lake.gold_table(name)), size))
     fact = overwrite_table(
-        build_fact(events, *dims, limit),
+        declared(build_fact(events, *dims, limit), FACT_CAMPAIGN_DAILY),
         lake.gold_table("fact_campaign_daily"),
         ["market_key", "date"],
+        FACT_CAMPAIGN_DAILY,
         fmt=lake.fmt,
         laid_out=all(fits_broadcast(dim.size, limit) for dim in dims),
     )
@@ -115,13 +140,15 @@ def publish(
     run_id: str,
     rules: Sequence[Rule] = DEFAULT_RULES,
     keys: Sequence[str] = EVENT_KEY,
+    limit: int = BROADCAST_LIMIT,
+    keep_stamp: bool = False,
 ) -> dict[str, int]:
     """Write every layer and return the rows written to each, without a counting pass."""
     spark = source.sparkSession
     lake.prepare(spark)
-    counts = {"bronze": publish_bronze(source, lake, run_ts)}
+    counts = {"bronze": publish_bronze(source, lake, run_ts, keep_stamp)}
     counts["silver"], counts["rejected"] = publish_silver(spark, lake, run_ts, run_id, rules, keys)
-    return counts | publish_gold(spark, lake, run_date)
+    return counts | publish_gold(spark, lake, run_date, limit)
 
 
 def gold_report(spark: SparkSession, lake: Lake) -> DataFrame:

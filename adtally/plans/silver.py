@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 
 from adtally.functions.casting import cast_to
 from adtally.functions.rules import DEFAULT_RULES, Rule
-from adtally.operators.conform import conform, silver_defaults
+from adtally.operators.conform import conform, named_market, silver_defaults
 from adtally.operators.dedup import dedup_latest
 from adtally.operators.validation import split
-from adtally.sources.contracts import EVENT_KEY, SILVER
+from adtally.sources.contracts import EVENT_KEY, SILVER, UNKNOWN_PARTITION
 
 
 class Silver(NamedTuple):
@@ -30,7 +30,9 @@ def refine(
     """Clean, deduplicated events under the strict contract, and the rejects.
 
     Rows are validated before they are deduplicated: a newer row that is invalid does
-    not displace an older valid one, and rejects keep all their copies.
+    not displace an older valid one, and rejects keep all their copies. A missing or empty
+    market gets its stand-in here, for frames and tables alike.
     """
     good, bad = split(cast_to(bronze, SILVER), run_ts, rules)
-    return Silver(conform(dedup_latest(good, keys), silver_defaults(run_ts)), bad)
+    latest = named_market(dedup_latest(good, keys))
+    return Silver(conform(latest, silver_defaults(run_ts, UNKNOWN_PARTITION)), bad)

@@ -6,8 +6,9 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
+from adtally.functions.metrics import COST_PER_CLICK, CTR
 from adtally.operators.dimensions import dense_keys
-from adtally.operators.fact import join_side
+from adtally.operators.fact import BROADCAST_LIMIT, EVENT_COLUMNS, join_side
 from adtally.plans.gold import Star
 from adtally.sources.sized import Sized, written
 
@@ -18,22 +19,13 @@ SELECT {key}, {column}, :effective AS effective_date
 FROM {members}
 """
 
-FACT = """
-WITH spent AS (SELECT * FROM {events}),
-     who   AS (SELECT * FROM {merchants}),
-     place AS (SELECT * FROM {markets})
-SELECT merchant_key,
-       market_key,
-       campaign_id,
-       `date`,
-       spend,
-       impressions,
-       clicks,
-       CASE WHEN impressions > 0 THEN clicks / impressions ELSE 0.0 END AS ctr,
-       CASE WHEN clicks > 0 THEN spend / clicks ELSE 0.0 END AS cost_per_click
-FROM spent
-JOIN who USING (merchant_id)
-JOIN place USING (market)
+FACT = f"""
+WITH keyed AS (
+  SELECT * FROM {{events}} JOIN {{merchants}} USING (merchant_id) JOIN {{markets}} USING (market)
+)
+SELECT merchant_key, market_key, campaign_id, `date`, spend, impressions, clicks,
+       {CTR} AS ctr, {COST_PER_CLICK} AS cost_per_click
+FROM keyed
 """
 
 
@@ -53,12 +45,15 @@ def dimension(events: DataFrame, column: str, key: str, effective: date) -> Size
     return Sized(dim, size)
 
 
-def star(events: DataFrame, run_date: date) -> Star:
+def star(events: DataFrame, run_date: date, limit: int = BROADCAST_LIMIT) -> Star:
     """The same star as ``plans.gold.star``, from SQL text."""
-    events = written(events, "events").table
+    events = written(events.select(*EVENT_COLUMNS), "events").table
     merchants = dimension(events, "merchant_id", "merchant_key", run_date)
     markets = dimension(events, "market", "market_key", run_date)
     fact = events.sparkSession.sql(
-        FACT, events=events, merchants=join_side(merchants), markets=join_side(markets)
+        FACT,
+        events=events,
+        merchants=join_side(merchants, limit),
+        markets=join_side(markets, limit),
     )
     return Star(merchants.table, markets.table, fact)

@@ -17,7 +17,7 @@ from pyspark.sql.types import (
 
 # --- Fixed values: column names, types and null flags of the layers -------------------
 
-#: What upstream sends.
+#: The columns that every landed batch must have.
 SOURCE = StructType(
     [
         StructField("merchant_id", StringType(), False),
@@ -30,7 +30,7 @@ SOURCE = StructType(
     ]
 )
 
-#: The time a batch crossed into the lake; stamped here, never sent by upstream.
+#: When a batch was taken in. ``ingest`` sets it, over any value that is there already.
 INGESTED_AT = StructField("ingestion_ts", TimestampType(), False)
 
 BRONZE = StructType([*SOURCE.fields, INGESTED_AT])
@@ -49,6 +49,35 @@ SILVER = StructType(
     ]
 )
 
+#: The star. Keys are always there; a ratio is null where its measure is.
+DIM_MERCHANT = StructType(
+    [
+        StructField("merchant_key", LongType(), False),
+        StructField("merchant_id", StringType(), False),
+        StructField("effective_date", DateType(), False),
+    ]
+)
+DIM_MARKET = StructType(
+    [
+        StructField("market_key", LongType(), False),
+        StructField("market", StringType(), False),
+        StructField("effective_date", DateType(), False),
+    ]
+)
+FACT_CAMPAIGN_DAILY = StructType(
+    [
+        StructField("merchant_key", LongType(), False),
+        StructField("market_key", LongType(), False),
+        StructField("campaign_id", StringType(), False),
+        StructField("date", DateType(), False),
+        StructField("spend", DoubleType(), True),
+        StructField("impressions", LongType(), True),
+        StructField("clicks", LongType(), True),
+        StructField("ctr", DoubleType(), True),
+        StructField("cost_per_click", DoubleType(), True),
+    ]
+)
+
 #: Columns the quarantine adds to the silver ones.
 REASON = "_rejection_reason"
 QUARANTINED_AT = "_quarantined_at"
@@ -61,6 +90,6 @@ EVENT_GRAIN = (*EVENT_KEY, "market")
 UNKNOWN_TEXT = ""
 UNKNOWN_DATE = date(1970, 1, 1)
 
-#: Stand-in for a null or empty market where the market names a directory: an empty
-#: partition value reads back as null, and an inner join would then lose the row.
+#: The market of events that have none: the market names directories, where an empty value
+#: would read back as null, and an inner join would then lose the row.
 UNKNOWN_PARTITION = "__unknown__"

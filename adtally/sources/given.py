@@ -96,6 +96,12 @@ def campaign_events(
     return _project(read_given(spark, sf_dir, "events"), columns)
 
 
+def shipped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The campaign of each line item alone, which needs no other table."""
+    lines = read_given(spark, sf_dir, "lineitem")
+    return _project(lines, {"campaign_id": LINEITEM_COLUMNS["campaign_id"]})
+
+
 def shipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line item as a campaign event; the join sides are left to Catalyst."""
     places = (

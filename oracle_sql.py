@@ -123,8 +123,10 @@ FILLED = f"""
          coalesce(market, '') AS market, coalesce(date, DATE '1970-01-01') AS date,
          spend, impressions, clicks, coalesce(ingestion_ts, {RUN_TS}) AS ingestion_ts"""
 
+NAMED = FILLED.replace("coalesce(market, '')", "coalesce(nullif(market, ''), '__unknown__')")
+
 STAR = f""",
-silver AS ({FILLED} FROM latest),
+silver AS ({NAMED} FROM latest),
 dim_merchant AS (
   SELECT row_number() OVER (ORDER BY merchant_id NULLS LAST) AS merchant_key, merchant_id,
          {RUN_DATE} AS effective_date
@@ -187,6 +189,24 @@ _DIM_MERCHANT = f"{_STAR} SELECT * FROM dim_merchant"
 _DIM_MARKET = f"{_STAR} SELECT * FROM dim_market"
 _SILVER_MISSING = f"{_STAR_MISSING} SELECT * FROM silver"
 
+_REPORT = "\nUNION ALL\n".join(
+    [
+        _not_null("dim_merchant", "merchant_key", "merchant_id"),
+        _not_null("dim_market", "market_key", "market"),
+        _not_null(
+            "fact", "merchant_key", "market_key", "ctr", "cost_per_click"
+        ).replace("'fact'", "'fact_campaign_daily'"),
+        _unique("dim_merchant", "merchant_key", "merchant_id"),
+        _unique("dim_market", "market_key", "market"),
+        _relationships("fact", "merchant_key", "dim_merchant", "merchant_key").replace(
+            "'fact'", "'fact_campaign_daily'"
+        ),
+        _relationships("fact", "market_key", "dim_market", "market_key").replace(
+            "'fact'", "'fact_campaign_daily'"
+        ),
+    ]
+)
+
 ORACLES = {
     "bronze_typed_scan": f"""WITH {SRC}
 SELECT merchant_id, campaign_id, market, date, spend, impressions, clicks FROM src""",
@@ -313,29 +333,45 @@ SELECT campaign_id AS value, count(*) AS row_count FROM typed
 WHERE campaign_id IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM lineitem WHERE CAST(l_partkey AS VARCHAR) = typed.campaign_id)
 GROUP BY campaign_id""",
-    "dq_report": f"{_STAR_MISSING}\n"
-    + "\nUNION ALL\n".join(
-        [
-            _not_null("dim_merchant", "merchant_key", "merchant_id"),
-            _not_null("dim_market", "market_key", "market"),
-            _not_null(
-                "fact", "merchant_key", "market_key", "ctr", "cost_per_click"
-            ).replace("'fact'", "'fact_campaign_daily'"),
-            _unique("dim_merchant", "merchant_key", "merchant_id"),
-            _unique("dim_market", "market_key", "market"),
-            _relationships("fact", "merchant_key", "dim_merchant", "merchant_key").replace(
-                "'fact'", "'fact_campaign_daily'"
-            ),
-            _relationships("fact", "market_key", "dim_market", "market_key").replace(
-                "'fact'", "'fact_campaign_daily'"
-            ),
-        ]
-    ),
+    "dq_report": f"{_STAR_MISSING}\n{_REPORT}",
+    "dq_report_with_failures": f"""{_STAR_MISSING.replace("dim_merchant AS (", "all_merchants AS (").replace("dim_market AS (", "all_markets AS (").replace("JOIN dim_merchant m", "JOIN all_merchants m").replace("JOIN dim_market k", "JOIN all_markets k")},
+dim_merchant AS (
+  SELECT * FROM all_merchants UNION ALL SELECT * FROM all_merchants WHERE merchant_key <= 3),
+dim_market AS (SELECT * FROM all_markets WHERE market_key <> 2)
+{_REPORT}""",
     "silver_scan": f"{_STAR} SELECT * FROM silver",
     "sink_bronze_roundtrip": f"WITH {SRC} SELECT {SILVER} FROM src",
-    "sink_silver_roundtrip": f"""{_STAR_MISSING}
-SELECT * REPLACE (CASE WHEN market = '' THEN '__unknown__' ELSE market END AS market)
-FROM silver""",
+    "sink_silver_roundtrip": _SILVER_MISSING,
+    "sink_failed_overwrite": f"{_STAR} SELECT * FROM silver",
+    "sink_fact_unknown_market": f"{_STAR_MISSING} SELECT * FROM fact",
+    "quarantine_by_name": f"""{_TYPED}{_checked()}
+SELECT _rejection_reason, count(*) AS row_count FROM checked
+WHERE _rejection_reason <> '' GROUP BY _rejection_reason""",
+    "market_layout": f"""WITH {SRC}
+SELECT market, count(*) AS row_count, CAST(1 AS BIGINT) AS partition_count
+FROM src GROUP BY market""",
+    "dedup_audit": f"""{_TYPED_MISSING}{_checked()}
+SELECT merchant_id, date, count(*) AS copies, max(ingestion_ts) AS won_by
+FROM checked WHERE _rejection_reason = '' GROUP BY merchant_id, date HAVING count(*) > 1""",
+    "reject_rates": f"""{_TYPED_MISSING}{_checked()}
+SELECT date, _rejection_reason, count(*) AS row_count,
+       round(count(*) / sum(count(*)) OVER (PARTITION BY date), 6) AS share
+FROM checked GROUP BY date, _rejection_reason""",
+    "fact_campaign_daily_nan": f"""WITH {STRICT}{TYPED}{_checked()}{BY_KEY}{STAR}
+SELECT * FROM fact""",
+    "daily_rollup": f"""{_STAR}
+SELECT date, market, round(sum(spend), 4) AS spend,
+       CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks,
+       round(CASE WHEN sum(impressions) > 0 THEN sum(clicks)::DOUBLE / sum(impressions)
+                  ELSE 0.0::DOUBLE END, 6) AS ctr,
+       round(CASE WHEN sum(clicks) > 0 THEN sum(spend) / sum(clicks)
+                  ELSE 0.0::DOUBLE END, 4) AS cost_per_click
+FROM silver GROUP BY date, market""",
+    "dq_orphan_parts": f"""{_TYPED_MISSING}
+SELECT CAST(l_partkey AS VARCHAR) AS value, count(*) AS row_count FROM lineitem
+WHERE l_partkey IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM typed WHERE campaign_id = CAST(l_partkey AS VARCHAR))
+GROUP BY l_partkey""",
     "sink_rejected_roundtrip": f"""{_TYPED}{_checked()}
 SELECT {SILVER}, _rejection_reason, {RUN_TS} AS _quarantined_at, '{RUN_ID}' AS run_id
 FROM checked WHERE _rejection_reason <> ''""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+from datetime import datetime
 
 import duckdb
 import pandas as pd
@@ -25,21 +26,19 @@ def rows(frame: pd.DataFrame) -> pd.Series:
         if value is None or value is pd.NaT:
             return "NULL"
         if isinstance(value, float):
-            return "NULL" if value != value else repr(value)
-        if isinstance(value, pd.Timestamp):
+            return repr(value)
+        if isinstance(value, datetime):
             return value.isoformat().removesuffix("T00:00:00")
         return str(value)
 
-    lines = ["|".join(map(text, r)) for r in frame.astype(object).itertuples(index=False)]
+    lines = ["|".join(map(text, r)) for r in frame.itertuples(index=False)]
     return pd.Series(sorted(lines))
 
 
 def arrow_rows(table) -> pd.Series:
-    return rows(
-        table.to_pandas(
-            integer_object_nulls=True, timestamp_as_object=True, date_as_object=True
-        )
-    )
+    """By way of Python values: a frame of floats would not tell null from NaN."""
+    columns = {name: pd.Series(table[name].to_pylist(), dtype=object) for name in table.column_names}
+    return rows(pd.DataFrame(columns))
 
 
 def differences(spark_df, con, sql: str) -> str | None:

@@ -6,7 +6,10 @@ import pytest
 from conftest import EVENT_TEXT, RUN_TS
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from adtally.__main__ import clock
+from adtally.functions.literals import timestamp
 from adtally.operators.conform import (
     SchemaMismatch,
     conform,
@@ -86,8 +89,29 @@ def test_ingest_stamps_the_batch_once(events):
     sent = events({}).select(*[F.col(f.name).cast(f.dataType) for f in SOURCE])
     stamped = ingest(sent, RUN_TS)
     assert stamped.schema == BRONZE and stamped.first().ingestion_ts == RUN_TS
-    again = ingest(stamped, RUN_TS.replace(year=2030))
-    assert again.first().ingestion_ts == RUN_TS
+    later = RUN_TS.replace(year=2030)
+    assert ingest(stamped, later).first().ingestion_ts == later
+    kept = ingest(stamped, later, keep_stamp=True)
+    assert kept.schema == BRONZE and kept.first().ingestion_ts == RUN_TS
+
+
+def test_ingest_keeps_the_columns_of_its_contract(events):
+    wide = StructType([*SOURCE.fields, StructField("channel", StringType())])
+    sent = events({}).select(*[F.col(f.name).cast(f.dataType) for f in SOURCE])
+    sent = sent.withColumns({"channel": F.lit("web"), "other": F.lit(1)})
+    for df in (sent, sent.withColumn("ingestion_ts", F.lit(None).cast("timestamp"))):
+        assert ingest(df, RUN_TS, wide).columns == [*wide.names, "ingestion_ts"]
+        assert ingest(df, RUN_TS, wide).first().ingestion_ts == RUN_TS
+
+
+def test_the_job_s_clock_has_a_zone(spark, conf):
+    moments = set()
+    for zone in ("UTC", "America/New_York"):
+        conf(spark__sql__session__timeZone=zone)
+        row = spark.range(1).select(timestamp(clock("2024-02-01T06:00:00")).cast("long"))
+        moments.add(row.first()[0])
+    assert moments == {1706767200}
+    assert clock("2024-02-01T06:00:00+02:00").utcoffset().total_seconds() == 7200
 
 
 def test_columns_of_the_contract(events):

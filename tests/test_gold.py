@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from adtally.functions.metrics import cost_per_click, ctr
 from adtally.operators.checks import GOLD_CHECKS, Check, null_counts, orphans, run_checks
 from adtally.operators.dimensions import build_dim, dense_keys, distinct_members
-from adtally.operators.fact import attach_key, build_fact, fits_broadcast
+from adtally.operators.fact import attach_key, broadcast_bytes, build_fact, fits_broadcast
 from adtally.plans import gold, sql_models
 from adtally.plans.silver import refine
 from adtally.sources.sized import Size, written
@@ -95,21 +95,47 @@ def joins(fact) -> list[str]:
 
 
 def test_only_dimensions_of_a_measured_size_are_broadcast(spark, conf):
-    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    conf(spark__sql__autoBroadcastJoinThreshold="1")  # Catalyst by itself broadcasts nothing
     events = written(_silver(spark), "events").table
     merchants, markets = gold.merchants(events, RUN_DATE), gold.markets(events, RUN_DATE)
     assert merchants.size.rows == merchants.table.count() > markets.size.rows > 0
     small = build_fact(events, merchants, markets)
     assert joins(small) == ["BroadcastHashJoin", "BroadcastHashJoin"]
-    between = (merchants.size.bytes + markets.size.bytes) // 2
+    between = (broadcast_bytes(merchants.size) + broadcast_bytes(markets.size)) // 2
     mixed = build_fact(events, merchants, markets, limit=between)
     assert sorted(joins(mixed)) == ["BroadcastHashJoin", "SortMergeJoin"]
     large = build_fact(events, merchants, markets, limit=0)
     assert joins(large) == ["SortMergeJoin", "SortMergeJoin"]
-    for other in (mixed, large):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")  # switched off: no hint either
+    off = build_fact(events, merchants, markets)
+    assert joins(off) == ["SortMergeJoin", "SortMergeJoin"]
+    for other in (mixed, large, off):
         assert other.exceptAll(small).isEmpty() and small.exceptAll(other).isEmpty()
 
 
+def test_the_estimate_is_not_below_the_real_broadcast(spark):
+    """A million members: the size of the exchange as Spark reports it."""
+    members = spark.range(1_000_000).select(
+        F.col("id").alias("merchant_key"), F.format_string("m%07d", "id").alias("merchant_id")
+    )
+    dim = written(members, "members")
+    events = spark.range(10).select(F.format_string("m%07d", "id").alias("merchant_id"))
+    joined = attach_key(events, F.broadcast(dim.table), "merchant_id", "merchant_key")
+    assert joined.count() == 10
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    sizes, stack = [], [plan]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "BroadcastExchange":
+            sizes.append(node.metrics().apply("dataSize").value())
+        if node.nodeName().startswith("BroadcastQueryStage"):
+            stack.append(node.plan())
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    assert sizes and max(sizes) <= broadcast_bytes(dim.size) <= 2 * max(sizes)
+
+
 def test_size_of_a_write(spark):
     df = spark.createDataFrame([("ab", 1), (None, 2), ("ä", None)], "t STRING, n INT")
     sized = written(df, "t")

@@ -8,8 +8,8 @@ from conftest import SF_DIR, plan_of
 
 import __spark_entry__ as entry_file
 
-QUERIES = entry_file.queries()
-SQL = entry_file.oracle_sql()
+QUERIES = {n: q for n, q in entry_file.queries().items() if n in entry_file.LIBRARY}
+SQL = {n: q for n, q in entry_file.oracle_sql().items() if n in entry_file.LIBRARY}
 
 
 @pytest.fixture(scope="module")

@@ -10,11 +10,28 @@ from adtally.__main__ import parse, run
 from adtally.operators.conform import SchemaMismatch, conform, silver_defaults
 from adtally.operators.summaries import distinct_counts, partitions_in_use, preview, rows_by
 from adtally.operators.validation import rejected
+from adtally.plans import gold
 from adtally.plans.publish import publish, publish_gold, publish_silver
+from adtally.plans.silver import refine
 from adtally.session import shared_folder
-from adtally.sources.contracts import REASON, SILVER, SOURCE, UNKNOWN_PARTITION
+from adtally.sources.contracts import (
+    DIM_MARKET,
+    DIM_MERCHANT,
+    FACT_CAMPAIGN_DAILY,
+    REASON,
+    SILVER,
+    SOURCE,
+    UNKNOWN_PARTITION,
+)
 from adtally.sources.given import campaign_events
-from adtally.sources.sinks import balanced, overwrite_table, read_rejected, write_rejected
+from adtally.sources.sinks import (
+    OtherBatch,
+    balanced,
+    declared,
+    overwrite_table,
+    read_rejected,
+    write_rejected,
+)
 from adtally.sources.tables import ensure_schema, qualified, read_table
 
 
@@ -45,10 +62,93 @@ def test_strict_table_keeps_its_rows_when_the_schema_is_wrong(spark, lake, event
 
 
 def test_empty_market_survives_as_a_directory(spark, lake, events):
-    df = fit(events({"market": None}, {"market": "DE"}))
-    overwrite_table(df, lake.silver_events, ["market", "date"], SILVER)
+    df = events({"market": None}, {"market": "", "campaign_id": "c2"}, {"campaign_id": "c3"})
+    overwrite_table(refine(df, RUN_TS).events, lake.silver_events, ["market", "date"], SILVER)
     back = read_table(spark, lake.silver_events, SILVER)
-    assert {r.market for r in back.collect()} == {UNKNOWN_PARTITION, "DE"}
+    assert sorted(r.market for r in back.collect()) == ["DE", UNKNOWN_PARTITION, UNKNOWN_PARTITION]
+    with pytest.raises(Exception, match="empty directory value in market"):
+        overwrite_table(fit(events({"market": ""})), lake.silver_events, ["market"], SILVER)
+    assert read_table(spark, lake.silver_events).count() == 3
+
+
+def failing(df):
+    """``df`` with a column that raises when its rows are computed."""
+    name = df.columns[-1]
+    bad = F.raise_error(F.lit("planned")).cast(df.schema[name].dataType)
+    return df.withColumn(name, F.when(F.lit(True), bad).otherwise(F.col(name)))
+
+
+@pytest.mark.parametrize("partition_by", [(), ("market",), ("market", "date")])
+def test_a_failed_overwrite_leaves_the_table(spark, lake, events, partition_by):
+    name = lake.silver_events
+    overwrite_table(fit(events({}, {"market": "FR"})), name, partition_by)
+    for _ in range(2):
+        with pytest.raises(Exception, match="planned"):
+            overwrite_table(failing(fit(events({}))), name, partition_by)
+        assert read_table(spark, name).count() == 2
+    folder = f"{lake.root}/{lake.silver}/campaign_events-versions"
+    assert len(glob.glob(f"{folder}/*")) == 1  # nothing is left of the failed ones
+    overwrite_table(fit(events({})), name, partition_by)
+    assert read_table(spark, name).count() == 1 and len(glob.glob(f"{folder}/*")) == 1
+    assert spark.catalog.listTables(f"spark_catalog.{lake.silver}")[0].name == "campaign_events"
+
+
+def test_gold_tables_refuse_another_schema(spark, lake, events):
+    overwrite_table(fit(events({})), lake.silver_events, ["market", "date"], SILVER)
+    publish_gold(spark, lake, RUN_DATE)
+    for table, contract in (
+        ("dim_market", DIM_MARKET), ("dim_merchant", DIM_MERCHANT),
+        ("fact_campaign_daily", FACT_CAMPAIGN_DAILY),
+    ):
+        name = lake.gold_table(table)
+        before = read_table(spark, name, contract)
+        for other in (
+            before.withColumn("extra", F.lit(1)),
+            before.withColumn(contract.names[0], F.lit("text")),
+        ):
+            with pytest.raises(SchemaMismatch):
+                overwrite_table(declared(other, contract), name, contract=contract)
+        missing = before.withColumn(contract.names[0], F.lit(None).cast("bigint"))
+        with pytest.raises(Exception, match="null in required column"):
+            overwrite_table(declared(missing, contract), name, contract=contract)
+        assert spark.table(name).count() == before.count() == 1
+
+
+def test_the_quarantine_keeps_what_it_has(spark, lake, events):
+    path, name = lake.rejected_path, lake.rejected_table
+    bad = rejected(events({"spend": None}, {"spend": -1.0}), RUN_TS)
+    write_rejected(bad, path, "run-1", table=name)
+    later = rejected(events({"spend": None}), RUN_TS.replace(year=2027))
+    with pytest.raises(OtherBatch):
+        write_rejected(later, path, "run-1", table=name)
+    with pytest.raises(SchemaMismatch):
+        write_rejected(later.withColumn("spend", F.lit("x")), path, "run-2", table=name)
+    assert spark.table(name).count() == read_rejected(spark, path).count() == 2
+    write_rejected(later.withColumn("note", F.lit("n")), path, "run-2", table=name)
+    write_rejected(bad, path, "run-1", table=name)
+    whole = spark.table(name)
+    assert whole.count() == 3 and {"note", "run_id"} <= set(whole.columns)
+    assert {r.run_id for r in whole.collect()} == {"run-1", "run-2"}
+
+
+def test_the_quarantine_takes_other_formats(spark, lake, events):
+    bad = rejected(events({"spend": None}), RUN_TS)
+    write_rejected(bad, lake.rejected_path, "run-1", "orc", lake.rejected_table)
+    assert glob.glob(f"{lake.rejected_path}/run_id=run-1/*.orc")
+    assert spark.table(lake.rejected_table).count() == 1
+
+
+def test_frames_and_tables_number_the_same_members(spark, lake, events):
+    """Missing and empty markets, and names that sort around the stand-in."""
+    rows = [{"market": m, "campaign_id": f"c{i}"} for i, m in enumerate(["a", "Z", None, "", "_"])]
+    silver = refine(events(*rows), RUN_TS).events
+    star = gold.star(silver, RUN_DATE)
+    overwrite_table(silver, lake.silver_events, ["market", "date"], SILVER)
+    publish_gold(spark, lake, RUN_DATE)
+    for name, frame in star._asdict().items():
+        table = spark.table(lake.gold_table(name)).select(*frame.columns)
+        assert sorted(map(repr, table.collect())) == sorted(map(repr, frame.collect()))
+    assert star.dim_market.count() == 4
 
 
 def test_number_like_partition_values_stay_text(spark, lake, events):
@@ -73,8 +173,8 @@ def test_one_file_per_directory(spark, lake):
     """Rows arrive spread over many tasks and leave in one file per market and day."""
     events = fit(campaign_events(spark, SF_DIR)).repartition(12)
     overwrite_table(events, lake.silver_events, ["market", "date"], SILVER)
-    folders = glob.glob(f"{lake.root}/{lake.silver}/campaign_events/market=*/date=*")
-    files = glob.glob(f"{lake.root}/{lake.silver}/campaign_events/market=*/date=*/*.parquet")
+    folders = glob.glob(f"{lake.root}/{lake.silver}/campaign_events-versions/*/market=*/date=*")
+    files = glob.glob(f"{lake.root}/{lake.silver}/campaign_events-versions/*/market=*/date=*/*.parquet")
     assert len(files) == len(folders) > 100
 
 
@@ -87,7 +187,7 @@ def test_hot_market_is_written_by_many_tasks(spark, lake, conf):
     )
     name = lake.gold_table("hot")
     assert overwrite_table(rows, name, ["market"]).rows == 100_000
-    assert len(glob.glob(f"{lake.root}/{lake.gold}/hot/market=DE/*.parquet")) > 4
+    assert len(glob.glob(f"{lake.root}/{lake.gold}/hot-versions/*/market=DE/*.parquet")) > 4
     assert rows_by(spark.table(name), "market").count() == 2
     assert spark.table(name).count() == 100_000
 
@@ -148,7 +248,7 @@ def test_fact_follows_the_layout_of_its_source(spark, lake, limit):
     """One file per market and day either way; a shuffle only if a join scattered the rows."""
     publish(campaign_events(spark, SF_DIR), lake, RUN_TS, RUN_DATE, "run-a")
     publish_gold(spark, lake, RUN_DATE, limit)
-    base = f"{lake.root}/{lake.gold}/fact_campaign_daily"
+    base = f"{lake.root}/{lake.gold}/fact_campaign_daily-versions/*"
     folders = glob.glob(f"{base}/market_key=*/date=*")
     assert len(glob.glob(f"{base}/market_key=*/date=*/*.parquet")) == len(folders) > 100
     assert spark.table(lake.gold_table("fact_campaign_daily")).count() == (
