@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adtally.sources.sized import written
+
 
 class Check(NamedTuple):
     kind: str  # "not_null", "unique" or "relationships"
@@ -68,11 +70,44 @@ def orphans(
     return keys.join(parent.select(F.col(parent_column).alias("value")), "value", "left_anti")
 
 
+def _profile(table: DataFrame, checks: Sequence[Check], parents: Sequence[str]) -> DataFrame:
+    """One pass over ``table``: rows per combination of its key columns, and the nulls of the
+    other columns in question. Written, since every check on the table reads it."""
+    keyed = [c.column for c in checks if c.kind != "not_null"]
+    keys = list(dict.fromkeys([*keyed, *parents]))
+    others = [c.column for c in checks if c.kind == "not_null" and c.column not in keys]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in others]
+    profile = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *nulls)
+    return written(profile, "profile").table
+
+
+def _nulls_in(profile: DataFrame, column: str) -> Column:
+    if column in profile.columns:
+        counted = F.sum(F.when(F.col(column).isNull(), F.col("_rows")))
+    else:
+        counted = F.sum(f"_null_{column}")
+    return F.coalesce(counted, F.lit(0))
+
+
 def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """``(check, table_name, column_name, failures)``, one row per check.
 
-    Failures are null rows, repeated values, and child rows without a parent.
+    Failures are null rows, repeated values, and child rows without a parent. Each table is
+    read once, however many checks it has; they work on its profile.
     """
+    known = {"not_null", "unique", "relationships"}
+    for c in checks:
+        if c.kind not in known:
+            raise ValueError(f"unknown check {c.kind!r}")
+    names = dict.fromkeys([c.table for c in checks] + [c.parent for c in checks if c.parent])
+    profiles = {
+        name: _profile(
+            tables[name],
+            [c for c in checks if c.table == name],
+            [c.parent_column for c in checks if c.parent == name],
+        )
+        for name in names
+    }
 
     def labelled(kind: str, table: str, failures: DataFrame) -> DataFrame:
         return failures.select(
@@ -82,17 +117,21 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
     parts = []
     for table in dict.fromkeys(c.table for c in checks if c.kind == "not_null"):
         columns = [c.column for c in checks if c.kind == "not_null" and c.table == table]
-        parts.append(labelled("not_null", table, null_counts(tables[table], columns)))
+        profile = profiles[table]
+        counted = profile.agg(*[_nulls_in(profile, c).alias(c) for c in columns])
+        parts.append(
+            labelled("not_null", table, counted.unpivot([], columns, "column_name", "failures"))
+        )
     for c in checks:
+        rows = profiles[c.table].where(F.col(c.column).isNotNull()) if c.kind != "not_null" else None
         if c.kind == "unique":
-            bad = repeated_values(tables[c.table], c.column)
-            bad = bad.agg(F.count(F.lit(1)).alias("failures"))
+            copies = rows.groupBy(c.column).agg(F.sum("_rows").alias("copies"))
+            bad = copies.where("copies > 1").agg(F.count(F.lit(1)).alias("failures"))
         elif c.kind == "relationships":
-            bad = orphans(tables[c.table], c.column, tables[c.parent], c.parent_column)
-            bad = bad.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("failures"))
-        elif c.kind == "not_null":
-            continue
+            parent = profiles[c.parent].select(F.col(c.parent_column).alias(c.column))
+            lost = rows.select(c.column, "_rows").join(parent, c.column, "left_anti")
+            bad = lost.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("failures"))
         else:
-            raise ValueError(f"unknown check {c.kind!r}")
+            continue
         parts.append(labelled(c.kind, c.table, bad.withColumn("column_name", F.lit(c.column))))
     return reduce(DataFrame.unionAll, parts)

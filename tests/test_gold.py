@@ -5,6 +5,7 @@ from conftest import RUN_DATE, RUN_TS, SF_DIR, final_plan_of, plan_of
 from pyspark.sql import functions as F
 
 from adtally.functions.metrics import cost_per_click, ctr
+from adtally.operators import checks
 from adtally.operators.checks import GOLD_CHECKS, Check, null_counts, orphans, run_checks
 from adtally.operators.dimensions import build_dim, dense_keys, distinct_members
 from adtally.operators.fact import attach_key, broadcast_bytes, build_fact, fits_broadcast
@@ -221,3 +222,27 @@ def test_orphans_of_a_hot_key_are_counted_first(spark, conf):
     assert [tuple(r) for r in found.collect()] == [(0, 3000)]
     plan = plan_of(orphans(child, "k", parent, "k"))
     assert plan.index("LeftAnti") < plan.index("HashAggregate")
+
+
+def test_checks_read_each_table_once(spark, events, tmp_path):
+    """Three tables in files: as many file scans as tables, whatever the number of checks."""
+    star = gold.star(refine(events({}, {"market": "FR"}), RUN_TS).events, RUN_DATE)
+    tables = {}
+    for name, frame in star._asdict().items():
+        frame.write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    seen = []
+    plain = checks.written
+
+    def watched(df, name):
+        seen.append(plan_of(df).count("FileScan"))
+        return plain(df, name)
+
+    checks.written = watched
+    try:
+        report = run_checks(tables, GOLD_CHECKS)
+    finally:
+        checks.written = plain
+    assert seen == [1, 1, 1]
+    assert not any(str(tmp_path) in line for line in plan_of(report).splitlines())
+    assert report.where("failures > 0").isEmpty() and report.count() == len(GOLD_CHECKS)
