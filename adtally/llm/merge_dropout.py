@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +35,14 @@ from adtally.llm.common import by_row, importable, new_name, table
 
 #: The model's sign for a space, and how a text's own such sign is told from it.
 SPACE, OWN_SIGN = "▁", "\0▁"
-#: Words end before a space; a line feed is a word, since no piece holds one.
-WORDS = re.compile(r" *[^ \n]+|\n| +")
+#: Words end before a space and before signs that no piece joins to a letter; a line feed is
+#: a word, since no piece holds one.
+WORDS = re.compile(r" *[^ \n\x01]+|\n| +")
+WHOLE_WORDS = re.compile(r" *[^ \n]+|\n| +")
+#: Set where a word is cut, if the text has no such character of its own.
+CUT = "\x01"
+#: Letters and digits after which a sign may begin a word.
+BEFORE_SIGNS = "A-Za-z0-9À-ÖØ-öø-ÿ"
 #: Words kept per worker with their ids, up to which length; emptied when it is full.
 WORD_CACHE, CACHED_CHARS = 400_000, 48
 MASK = 2**64 - 1
@@ -67,6 +74,12 @@ class Pieces:
                 self.bytes_.append(piece.replace(SPACE, " ").encode())
         if len(set(self.byte_ids)) < 256:
             raise ValueError("the model cannot spell bytes")
+        # Signs that no piece joins to a letter or digit before them: words end there.
+        joined = re.compile(f"[{BEFORE_SIGNS}](.)", re.DOTALL)
+        after = {c for piece in self.ids for c in joined.findall(piece)}
+        after |= {b for piece in self.ids for a, b in zip(piece, piece[1:]) if a.isalpha()}
+        signs = "".join(sorted(set(string.punctuation) - after))
+        self.seam = re.compile(f"[{re.escape(signs)}](?<=[{BEFORE_SIGNS}].)") if signs else None
 
     def merge(self, word: str, dropout: float, seed: int) -> list[int]:
         """The ids of one word, spaces first."""
@@ -138,7 +151,13 @@ class Encoder:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        words, known = WORDS.findall(" " + text), self.known
+        if CUT in text:
+            words = WHOLE_WORDS.findall(" " + text)
+        elif self.pieces.seam:
+            words = WORDS.findall(" " + self.pieces.seam.sub(rf"{CUT}\g<0>", text))
+        else:
+            words = WORDS.findall(" " + text)
+        known = self.known
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:

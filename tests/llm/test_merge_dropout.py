@@ -37,6 +37,12 @@ def test_without_dropout_as_the_library(text):
     assert ids(text, 0.0) == MODEL.encode(text)
 
 
+@given(st.lists(st.sampled_from([*"abz Éé²1.,'#$%()-_<>", "the", "it's", "\n", "x.y"])).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_signs_without_dropout_as_the_library(text):
+    assert ids(text, 0.0) == MODEL.encode(text)
+
+
 def test_given_texts_without_dropout_as_the_library(spark):
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").collect()
     encode = Encoder(model_path(), 0.0, 0)
