@@ -5,6 +5,7 @@ import pytest
 
 import oracle
 from adtally.llm import mixing
+from adtally.llm.common import stored
 from adtally.llm.mixing import DIMENSIONS, copies, draw, mix, placed, rake
 from adtally.llm.queries import ORACLES, QUERIES
 from conftest import SF_DIR, plan_of
@@ -12,9 +13,13 @@ from llm_fixtures import documents, saved  # noqa: F401
 from pyspark.sql import functions as F
 
 
-def test_given_documents_match_their_sql(spark):
-    df = QUERIES["op1_mixing"](spark, SF_DIR)
-    assert oracle.differences(df, oracle.connect(SF_DIR), ORACLES["op1_mixing"]) is None
+@pytest.fixture(scope="module")
+def given_mix(spark):
+    return stored(QUERIES["op1_mixing"](spark, SF_DIR), "mix")
+
+
+def test_given_documents_match_their_sql(given_mix):
+    assert oracle.differences(given_mix, oracle.connect(SF_DIR), ORACLES["op1_mixing"]) is None
 
 
 @pytest.fixture
@@ -78,19 +83,16 @@ def test_copies_follow_the_expectation(spark):
     assert 0 <= low < 0.02 and 0.98 < high < 1
 
 
-def test_sampled_tokens_meet_the_budget(spark):
-    df = QUERIES["op1_mixing"](spark, "/root/testdata/sf0.01")
-    all_, due = df.agg(
+def test_sampled_tokens_meet_the_budget(given_mix):
+    all_, due = given_mix.agg(
         F.sum("n_tokens"), F.sum(F.col("expected_copies") * F.col("n_tokens"))
     ).first()
     assert due == pytest.approx(mixing.BUDGET * all_, rel=1e-3)
 
 
 def test_no_python_in_the_plans(spark):
-    df = QUERIES["op1_mixing"](spark, SF_DIR)
-    plan = plan_of(mix(spark.read.parquet(f"{SF_DIR}/documents.parquet")).union(
-        spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("copies", F.lit(1))
-    )) + plan_of(df)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    plan = plan_of(mix(docs, sweeps=1)) + plan_of(placed(docs))
     assert not [w for w in ("Python", "Pandas", "Arrow", "CartesianProduct") if w in plan]
 
 
