@@ -6,6 +6,10 @@ and topic; a document's expected number of copies is its cell's target over its
 are drawn with a hash of the seed and the id, so a run can be repeated: the whole part of the
 expectation is sure, the rest a draw.
 
+Without repeats (``once``) the expectations are probabilities: no cell is due more than its
+mass, and the budget is at most the one at which every member's own mass meets its target.
+A member that is very small for its target so lowers the number of tokens of the whole draw.
+
 Everything is DataFrame functions. Texts are read once, for the cells and for the documents'
 places in them; the sums, one row per cell or per member of a margin, are small but may grow
 with the number of sources, so they are joined and never collected.
@@ -14,7 +18,7 @@ Rows: a null or empty text has no tokens, and weighs one so that its cell has a
 source or lang is a member of its margin, apart from the empty string. Repeated rows all
 weigh, and those with the same id and cell draw alike; a null id draws like an empty one. An
 empty table gives no rows. Where the cells cannot meet all targets at once, the margin that
-is fitted last (the topic's) holds exactly. Other columns do not matter; ``mix`` keeps them.
+is fitted last (the topic's) holds exactly; without repeats the limit of one copy does. Other columns do not matter; ``mix`` keeps them.
 """
 
 from __future__ import annotations
@@ -86,17 +90,39 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+def reachable(cells: DataFrame, targets: dict[str, DataFrame], budget: float) -> DataFrame:
+    """``budget``, or the largest share of all tokens at which no member falls short."""
+    total = cells.agg(F.sum("mass").alias("total"))
+    ratios = [
+        cells.groupBy(d)
+        .agg(F.sum("mass").alias("own"))
+        .join(targets[d], d)
+        .crossJoin(total)  # of a single row
+        .select((F.col("own") / F.col("total") / F.col("target")).alias("ratio"))
+        for d in DIMENSIONS
+    ]
+    every = ratios[0].unionAll(ratios[1]).unionAll(ratios[2])
+    return every.agg(F.least(F.lit(budget), F.min("ratio")).alias("budget"))
+
+
+def rake(
+    cells: DataFrame,
+    targets: dict[str, DataFrame],
+    sweeps: int = SWEEPS,
+    budget: DataFrame | None = None,
+) -> DataFrame:
     """``cells`` with ``weight``, whose sums match the targets; weights sum to one.
 
-    Each sweep fits one margin after the other and is written before the next one.
+    Each sweep fits one margin after the other and is written before the next one. With a
+    ``budget``, in a single row, it ends by lowering the cells due more than their mass.
     """
-    total = cells.agg(F.sum("mass").alias("total"))
+    share = F.col("mass") / F.col("total")
+    cells = cells.crossJoin(cells.agg(F.sum("mass").alias("total")))  # of a single row
+    most = F.lit(float("inf"))
+    if budget is not None:
+        cells, most = cells.crossJoin(budget), share / F.col("budget")
     cells = stored(
-        cells.crossJoin(total).select(  # of a single row
-            *DIMENSIONS, "mass", (F.col("mass") / F.col("total")).alias("weight")
-        ),
-        "raked",
+        cells.select(*DIMENSIONS, "mass", share.alias("weight"), most.alias("most")), "raked"
     )
     for _ in range(sweeps):
         for dimension in DIMENSIONS:
@@ -107,19 +133,30 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
                 .select(dimension, (F.col("target") / F.col("reached")).alias("factor"))
             )
             cells = cells.join(factors, dimension).select(
-                *DIMENSIONS, "mass", (F.col("weight") * F.col("factor")).alias("weight")
+                *DIMENSIONS, "mass", (F.col("weight") * F.col("factor")).alias("weight"), "most"
             )
-        cells = stored(cells, "raked")
-    return cells
+        cells = stored(cells.withColumn("weight", F.least("weight", "most")), "raked")
+    return cells.drop("most")
+
 
+def calibrated(
+    masses: DataFrame, sweeps: int = SWEEPS, budget: float = BUDGET, once: bool = False
+) -> DataFrame:
+    """``(source, lang, topic, expected)``: copies that a document of each cell is due.
 
-def calibrated(masses: DataFrame, sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
-    """``(source, lang, topic, expected)``: copies that a document of each cell is due."""
+    With ``once`` they are at most one, and the budget is lowered to what the targets allow.
+    """
     cells = stored(masses.groupBy(*DIMENSIONS).agg(F.sum("mass").alias("mass")), "cells")
     targets = {d: stored(tempered(cells, d, p), f"target_{d}") for d, p in TEMPER.items()}
-    raked = rake(cells, targets, sweeps)
     total = cells.agg(F.sum("mass").alias("total"))
-    due = F.lit(budget) * F.col("weight") * F.col("total") / F.col("mass")
+    if once:
+        reach = stored(reachable(cells, targets, budget), "budget")
+        raked = rake(cells, targets, sweeps, reach).crossJoin(reach)
+        share = F.col("budget")
+    else:
+        raked, share = rake(cells, targets, sweeps), F.lit(budget)
+    due = share * F.col("weight") * F.col("total") / F.col("mass")
+    due = F.least(due, F.lit(1.0)) if once else due  # but for rounding it is that already
     return stored(raked.crossJoin(total).select(*DIMENSIONS, due.alias("expected")), "due")
 
 
@@ -135,14 +172,20 @@ def copies(expected: Column, doc_id: Column, seed: int = SEED) -> Column:
 
 
 def mix(
-    docs: DataFrame, sweeps: int = SWEEPS, budget: float = BUDGET, seed: int = SEED
+    docs: DataFrame,
+    sweeps: int = SWEEPS,
+    budget: float = BUDGET,
+    seed: int = SEED,
+    once: bool = False,
 ) -> DataFrame:
     """``docs`` with their number of copies, under a new name if it is taken.
 
+    With ``once`` there is one copy or none, and the drawn rows have the target mix.
+
     The rows meet their cell's value in a join that broadcasts the cells if they are few.
     """
     masses = placed(docs.select("text", "source", "lang")).select("cell.*")
-    due = calibrated(masses, sweeps, budget)
+    due = calibrated(masses, sweeps, budget, once)
     names = docs.columns
     wanted = new_name(names, "copies")
     whole = docs.select(F.struct(*names).alias("row"), "text", "source", "lang")

@@ -13,7 +13,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Least similarity, in percent, of two texts that count as one.
 SIMILAR = 80
-#: Tokens that mixing aims at, as a share of those it gets.
+#: Tokens that mixing aims at, as a share of those it gets; fewer if its targets need that.
 BUDGET = 1.0
 
 
@@ -33,8 +33,8 @@ def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of which a copy is drawn; further copies would bring duplicates back."""
-    drawn = mixing.mix(docs, budget=BUDGET)
+    """The documents drawn, each once; further copies would bring duplicates back."""
+    drawn = mixing.mix(docs, budget=BUDGET, once=True)
     return drawn.where(drawn[drawn.columns[-1]] > 0).select(*docs.columns)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 import oracle
 from adtally.llm import mixing
 from adtally.llm.common import stored
@@ -90,6 +91,46 @@ def test_sampled_tokens_meet_the_budget(given_mix):
     assert due == pytest.approx(mixing.BUDGET * all_, rel=1e-3)
 
 
+@pytest.fixture
+def uneven(spark):
+    """Documents of ten tokens in uneven cells, most of which are due several copies."""
+    part = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n))
+    text = F.when(part(1, 25) == 0, "a@b c d e f g h i j k").when(part(2, 12) == 0, "| " * 10)
+    return spark.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        text.otherwise("a b c d e f g h i j").alias("text"),
+        F.when(part(3, 10) < 6, "en").when(part(3, 10) < 9, "de").otherwise("fr").alias("lang"),
+        F.when(part(4, 10) < 7, "s0").when(part(4, 10) < 9, "s1").otherwise("s2").alias("source"),
+    )
+
+
+def test_drawn_once_the_rows_have_the_target_mix(spark, uneven):
+    uneven = stored(uneven, "uneven")
+    drawn = corpus_pipeline.mix_sources(spark, uneven, SF_DIR)
+    assert drawn.columns == uneven.columns
+    cells = placed(uneven).select("cell.*")
+    got = placed(drawn).select("cell.*").toPandas()
+    assert len(got) == drawn.select("doc_id").distinct().count()
+    for d, power in mixing.TEMPER.items():
+        want = {r[d]: r.target for r in mixing.tempered(cells, d, power).collect()}
+        reached = got.groupby(d).mass.sum() / got.mass.sum()
+        assert reached.to_dict() == pytest.approx(want, rel=0.05), d
+
+
+def test_once_nothing_is_due_more_than_itself(uneven):
+    masses = placed(uneven).select("cell.*")
+    due = mixing.calibrated(masses, budget=1.0, once=True).toPandas().set_index(list(DIMENSIONS))
+    mass = masses.groupBy(*DIMENSIONS).agg(F.sum("mass").alias("mass")).toPandas()
+    mass = mass.set_index(list(DIMENSIONS)).mass
+    kept = due.expected * mass
+    assert due.expected.max() <= 1
+    # As many tokens as the targets allow: the scarcest member is kept whole.
+    whole = [(kept.groupby(d).sum() / mass.groupby(d).sum()).max() for d in DIMENSIONS]
+    assert max(whole) == pytest.approx(1, rel=0.01)
+    few = mixing.calibrated(masses, budget=0.1, once=True).toPandas().set_index(list(DIMENSIONS))
+    assert (few.expected * mass).sum() == pytest.approx(0.1 * mass.sum(), rel=1e-3)
+
+
 def test_no_python_in_the_plans(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     plan = plan_of(mix(docs, sweeps=1)) + plan_of(placed(docs))
