@@ -2,18 +2,25 @@
 
 Texts are cut into the pieces of a given model by byte-pair merging: candidate merges wait
 in an agenda, the best one is done first, and neighbours of what it makes are added. A
-candidate that comes up is skipped if a hash, keyed by the seed, of its word and place falls
-below the dropout rate; it stays skipped unless its parts are formed anew. Another seed
-gives another segmentation, the same seed always the same one, on any machine. Without
-dropout the ids are those of the model's own library.
+candidate that comes up is skipped at the dropout rate; it stays skipped unless its parts are
+formed anew. What is skipped is drawn anew for each occurrence of a word, by a hash of the
+seed, the document and the word's place in it, so that a word has many segmentations within a
+run. Another seed gives another segmentation, the same seed always the same one, on any
+machine. Without dropout the ids are those of the model's own library.
+
+The draws of an occurrence tell how many candidates are merged before each skipped one. These
+numbers alone decide what a word becomes, so a table by word and numbers serves occurrences
+that happen to draw the same.
 
 Decoding joins the pieces' bytes and gives back every text exactly: white space is kept,
 characters that the model does not know are spelled in bytes, and so is the model's own sign
 for a space where it occurs in a text.
 
 Rows: a null or empty text has no pieces and decodes to the empty text. Long words are cut
-as a whole. Repeated rows all stay; an empty table gives no rows. Only doc_id and text are
-read by the query; ``encode_documents`` keeps all other columns, whatever their names.
+as a whole. Repeated rows all stay; an empty table gives no rows. The query's document is its
+text, so equal texts are cut alike there; ``encode_documents`` adds the doc_id where there is
+one. Only doc_id and text are read by the query; ``encode_documents`` keeps all other columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +30,8 @@ import heapq
 import re
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from adtally.llm.common import by_row, importable, new_name, table
+from adtally.llm.common import by_row, importable, mixed, new_name, table
 
 #: The model's sign for a space, and how a text's own such sign is told from it.
 SPACE, OWN_SIGN = "▁", "\0▁"
@@ -43,9 +51,11 @@ WHOLE_WORDS = re.compile(r" *[^ \n]+|\n| +")
 CUT = "\x01"
 #: Letters and digits after which a sign may begin a word.
 BEFORE_SIGNS = "A-Za-z0-9À-ÖØ-öø-ÿ"
-#: Words kept per worker with their ids, up to which length; emptied when it is full.
+#: Segmentations kept per worker, of words up to which length; emptied when it is full.
 WORD_CACHE, CACHED_CHARS = 400_000, 48
 MASK = 2**64 - 1
+#: Steps between the hashes of a text's words, and of a word's draws (odd).
+NEXT_WORD, NEXT_DRAW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 class Pieces:
@@ -82,7 +92,38 @@ class Pieces:
         self.seam = re.compile(f"[{re.escape(signs)}](?<=[{BEFORE_SIGNS}].)") if signs else None
 
     def merge(self, word: str, dropout: float, seed: int) -> list[int]:
-        """The ids of one word, spaces first."""
+        """The ids of one word, spaces first; a candidate's hash tells if it is skipped."""
+        key = xxhash.xxh64_intdigest(word, seed) if dropout > 0 else 0
+        limit = int(dropout * 2**64)
+
+        def skipped(a: int, b: int, c: int) -> bool:
+            h = (key ^ (a << 42 | b << 21 | c)) * 0x9E3779B97F4A7C15 & MASK
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & MASK
+            return h ^ h >> 32 < limit
+
+        return self._merge(word, skipped if limit else None)
+
+    def merge_after(self, word: str, gaps: tuple[int, ...]) -> tuple[int, list[int]]:
+        """The ids if so many candidates are merged before each skipped one, all after the last.
+
+        Also tells how many are merged after the last skipped one.
+        """
+        ends = list(gaps[::-1])
+        run = 0
+
+        def skipped(a: int, b: int, c: int) -> bool:
+            nonlocal run
+            if ends and run == ends[-1]:
+                ends.pop()
+                run = 0
+                return True
+            run += 1
+            return False
+
+        ids = self._merge(word, skipped)
+        return run, ids
+
+    def _merge(self, word: str, skipped: Callable[[int, int, int], bool] | None) -> list[int]:
         symbols = [
             SPACE if c == " " else OWN_SIGN if c == SPACE else c for c in word
         ]
@@ -90,8 +131,6 @@ class Pieces:
         left = list(range(-1, end - 1))  # where the symbol before this one begins
         stop = list(range(1, end + 1))  # where this one ends, and the next begins
         score, agenda = self.score, []
-        key = xxhash.xxh64_intdigest(word, seed) if dropout > 0 else 0
-        limit = int(dropout * 2**64)
 
         def offer(a: int, b: int) -> None:
             found = score.get(symbols[a] + symbols[b])
@@ -106,11 +145,8 @@ class Pieces:
             # Stale, if either part has been merged since.
             if not symbols[a] or not symbols[b] or stop[a] != b or stop[b] != c:
                 continue
-            if limit:
-                h = (key ^ (a << 42 | b << 21 | c)) * 0x9E3779B97F4A7C15 & MASK
-                h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & MASK
-                if h ^ h >> 32 < limit:
-                    continue
+            if skipped and skipped(a, b, c):
+                continue
             symbols[a] += symbols[b]
             symbols[b] = ""
             stop[a] = c
@@ -137,36 +173,95 @@ class Pieces:
         return data.decode("utf-8", "replace").removeprefix(" ")
 
 
+@lru_cache
+def gap_limits(dropout: float) -> np.ndarray:
+    """What a 64-bit draw lies below if 1, 2, … candidates or more are merged; ascending.
+
+    As many as a word of the table has merges; products of floats are alike everywhere.
+    """
+    limits, chance = [], 1.0
+    for _ in range(CACHED_CHARS):
+        chance *= 1 - dropout
+        limits.append(min(MASK, int(chance * 2**64)))
+    return np.array(limits[::-1], np.uint64)
+
+
 class Encoder:
-    """Encodes texts under one seed; words recur, so most come from a bounded table."""
+    """Encodes texts under one seed; most segmentations recur and come from a bounded table.
+
+    The table has, by a word and its numbers of merges before each skipped candidate, how
+    many merges follow and the ids; a word that skips none stands for itself.
+    """
 
     def __init__(self, model_path: str, dropout: float, seed: int):
         self.pieces, self.dropout, self.seed = Pieces(model_path), dropout, seed
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | tuple, tuple[int, bytes]] = {}
 
-    def _word(self, word: str) -> bytes:
-        return np.array(self.pieces.merge(word, self.dropout, self.seed), "<i4").tobytes()
+    def _cut(self, word: str, gaps: tuple[int, ...] = ()) -> tuple[int, bytes]:
+        merges, ids = self.pieces.merge_after(word, gaps)
+        return merges, np.array(ids, "<i4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
+    def _words(self, text: str) -> list[str]:
+        if CUT in text:
+            return WHOLE_WORDS.findall(" " + text)
+        if self.pieces.seam:
+            return WORDS.findall(" " + self.pieces.seam.sub(rf"{CUT}\g<0>", text))
+        return WORDS.findall(" " + text)
+
+    def __call__(self, text: str | None, doc_id: object = None) -> bytes:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        if CUT in text:
-            words = WHOLE_WORDS.findall(" " + text)
-        elif self.pieces.seam:
-            words = WORDS.findall(" " + self.pieces.seam.sub(rf"{CUT}\g<0>", text))
-        else:
-            words = WORDS.findall(" " + text)
-        known = self.known
+        words, known = self._words(text), self.known
         try:
-            return b"".join(map(known.__getitem__, words))
+            cuts = [known[w] for w in words]
         except KeyError:
             if len(known) > WORD_CACHE:
                 known.clear()
             own = {}
             for word in set(words).difference(known):
-                (known if len(word) <= CACHED_CHARS else own)[word] = self._word(word)
-            return b"".join([known[w] if w in known else own[w] for w in words])
+                # A long word has no merges here, so that no draw is below them.
+                if len(word) <= CACHED_CHARS:
+                    known[word] = self._cut(word)
+                elif self.dropout > 0:
+                    own[word] = -1, b""
+                else:
+                    own[word] = 0, self._cut(word)[1]
+            cuts = [known[w] if w in known else own[w] for w in words]
+        out = [ids for _, ids in cuts]
+        if self.dropout > 0:
+            self._skip(text, doc_id, words, [merges for merges, _ in cuts], out)
+        return b"".join(out)
+
+    def _skip(self, text: str, doc_id, words: list[str], merges: list[int], out: list) -> None:
+        """Puts the segmentations into ``out`` of all words that skip some candidate."""
+        key = self.seed & MASK
+        if doc_id is not None:
+            key = xxhash.xxh64_intdigest(str(doc_id), key)
+        key = np.uint64(xxhash.xxh64_intdigest(text, key))
+        keys = mixed(key + NEXT_WORD * np.arange(1, len(words) + 1, dtype=np.uint64))
+        left = np.array(merges)
+        for i in np.flatnonzero(left < 0).tolist():
+            cut = self.pieces.merge(words[i], self.dropout, int(keys[i]))
+            out[i] = np.array(cut, "<i4").tobytes()
+        limits, known = gap_limits(self.dropout), self.known
+        at, paths = np.arange(len(words)), words
+        while True:
+            gaps = len(limits) - np.searchsorted(limits, keys, side="right")
+            some = np.flatnonzero(gaps < left)
+            if not len(some):
+                return
+            left, further = np.zeros(len(some), np.int64), []
+            at, keys = at[some], mixed(keys[some] + NEXT_DRAW)
+            for k, (i, j, gap) in enumerate(zip(at.tolist(), some.tolist(), gaps[some].tolist())):
+                path = paths[j]
+                path = (path, gap) if type(path) is str else (*path, gap)
+                found = known.get(path)
+                if found is None:
+                    found = known[path] = self._cut(path[0], path[1:])
+                left[k], out[i] = found
+                further.append(path)
+            paths = further
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -186,20 +281,24 @@ def encode_documents(
 ) -> DataFrame:
     """``docs`` with their ids as an array column, named anew if the name is taken.
 
-    A map over the rows, without a shuffle. ``seed`` is that of a pass over the data: the
+    Documents are told apart by text and, if there is such a column, doc_id. A map over the rows, without a shuffle. ``seed`` is that of a pass over the data: the
     next pass takes another one to see other segmentations.
     """
     importable(docs.sparkSession)
     field = StructField(new_name(docs.columns, into), ArrayType(IntegerType()))
     schema = StructType([*docs.schema.fields, field])
-    text_at = [c.lower() for c in docs.columns].index("text")
+    names = [c.lower() for c in docs.columns]
+    text_at = names.index("text")
+    id_at = names.index("doc_id") if "doc_id" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model_path, dropout, seed)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                ids = [encode(t) for t in part.column(text_at).to_pylist()]
+                texts = part.column(text_at).to_pylist()
+                own = [None] * len(texts) if id_at is None else part.column(id_at).to_pylist()
+                ids = [encode(t, d) for t, d in zip(texts, own)]
                 ends = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())

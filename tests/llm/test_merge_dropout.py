@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,6 +96,61 @@ def test_seeds_vary_and_repeat():
     assert ids(text, 1.0)[1:4] == [PIECES.ids[c] for c in "the"]
 
 
+def by_word(made):
+    """The pieces of each word; a word's first piece begins with its space."""
+    ends = [i for i, piece in enumerate(made) if PIECES.bytes_[piece][:1] == b" "]
+    return [tuple(made[a:b]) for a, b in zip(ends, [*ends[1:], None])]
+
+
+def test_a_word_varies_within_one_run_and_the_run_repeats(spark, documents):  # noqa: F811
+    text = "international " * 400 + "x " * 5 + "long " * 30 + "y" * 60
+    df = documents((1, text), (2, text), (None, text), (3, "understanding"), (4, "understanding"))
+    first, again = (
+        {(r.doc_id, r.text): r.pieces for r in encode_documents(df, model_path(), 0.1, 3).collect()}
+        for _ in range(2)
+    )
+    assert first == again
+    assert len({tuple(first[d, text]) for d in (1, 2, None)}) == 3
+    ways = by_word(first[1, text])[:400]
+    assert {PIECES.decode(w) for w in ways} == {"international"} and len(set(ways)) > 5
+
+
+def test_long_words_vary_by_place():
+    word = "internationalunderstanding" * 3
+    assert len(set(by_word(ids(f"{word} {word} {word}", 0.3)))) == 3
+
+
+@given(st.text(alphabet="thean ingorledé", min_size=1, max_size=14), st.integers(0, 50))
+@settings(max_examples=300, deadline=None)
+def test_gaps_as_the_plain_agenda(word, seed):
+    """The numbers of merges before each skipped candidate give the agenda's own result."""
+    gaps, run = [], [0]
+
+    def skipped(a, b, c, rng=np.random.default_rng(seed)):
+        if rng.random() < 0.3:
+            gaps.append(run.pop())
+            run.append(0)
+            return True
+        run[0] += 1
+        return False
+
+    want = PIECES._merge(word, skipped)
+    assert PIECES.merge_after(word, tuple(gaps)) == (run[0], want)
+
+
+def test_candidates_are_skipped_at_the_rate():
+    """Whole words are as frequent as no skip in all merges, first merges as one kept."""
+    n, word = 20_000, "▁understanding"
+    merges, whole = PIECES.merge_after(" understanding", ())
+    assert len(whole) == 1 and merges == len(word) - 1
+    made = ids(" ".join(["understanding"] * n), 0.1)
+    assert made.count(whole[0]) / n >= 0.9**merges * 0.95
+    rng = np.random.default_rng(1)
+    plain = [PIECES._merge(" understanding", lambda *_: rng.random() < 0.1) for _ in range(n)]
+    assert made.count(whole[0]) / n == pytest.approx(plain.count(whole) / n, abs=0.02)
+    assert len(made) / n == pytest.approx(sum(map(len, plain)) / n, rel=0.02)
+
+
 def test_given_documents(spark):
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in QUERIES["op3_merge_dropout"](spark, SF_DIR).collect()}
