@@ -11,6 +11,10 @@ A suffix carries the ``WINDOW - 1`` words on both sides of its k-gram: as far as
 first and the last kept suffix of a passage reach its ends, and those in between reach each
 other, so the union of what all suffixes mark is the passage, however long it is.
 
+In a k-gram that many texts hold, nearer neighbours may hide a partner. So the windows of
+``LEAST`` words whose minimiser is a shared k-gram also meet by a 64-bit hash of all their
+words: texts that share ``LEAST`` words share a window, whatever else stands around it.
+
 Sorting is a range shuffle, which also splits a k-gram that very many texts hold; what meets
 at the border of two tasks is compared afterwards, from the border rows alone.
 
@@ -42,8 +46,8 @@ WEIGHTS = mixed(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 BROADCAST_IDS = 1_000_000
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the kept suffixes, ascending, and the hashes of their k-grams."""
+def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each window's minimiser, ascending, and the hashes of all k-grams."""
     n = len(words) - GRAM + 1
     if n < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -51,7 +55,12 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, GRAM):
         grams += words[k : k + n] * WEIGHTS[k]
     grams = mixed(grams)
-    at = np.arange(n - WINDOW + 1) + sliding_window_view(grams, WINDOW).argmin(axis=1)
+    return np.arange(n - WINDOW + 1) + sliding_window_view(grams, WINDOW).argmin(axis=1), grams
+
+
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the kept suffixes, ascending, and the hashes of their k-grams."""
+    at, grams = minimisers(words)
     at = np.unique(at)
     return at, grams[at]
 
@@ -133,6 +142,50 @@ def with_sides(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text", "suffixes").mapInArrow(run, SUFFIX)
 
 
+WINDOWS = "key BIGINT, node BIGINT, low INT"
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """The windows of ``(node, text, suffixes)`` whose minimiser is one of the suffixes."""
+    importable(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                keys, nodes, lows = [], [], []
+                for node, text, suffixes in zip(*(c.to_pylist() for c in part.columns)):
+                    at, grams = minimisers(word_hashes(text.lower().split()))
+                    own = np.flatnonzero(np.isin(at, [s["place"] for s in suffixes]))
+                    key = grams[own] * WEIGHTS[0]
+                    for k, ahead in enumerate((GRAM, LEAST - GRAM), 1):  # they overlap
+                        key += grams[own + ahead] * WEIGHTS[k]
+                    keys.append(mixed(key).view(np.int64))
+                    nodes.append(np.full(len(own), node, np.int64))
+                    lows.append(own.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in (keys, nodes, lows)],
+                    names=["key", "node", "low"],
+                )
+
+    return texts.select("node", "text", "suffixes").mapInArrow(run, WINDOWS)
+
+
+def window_marks(texts: DataFrame) -> DataFrame:
+    """Marks of all windows that another text holds too."""
+    found = stored(windows(texts), "windows")
+    shared = (
+        found.groupBy("key")
+        .agg(F.min("node").alias("least"), F.max("node").alias("most"))
+        .where("least < most")
+    )
+    other = F.when(F.col("node") == F.col("least"), F.col("most")).otherwise(F.col("least"))
+    met = found.join(stored(shared, "shared"), "key").select(
+        "node", "low", (F.col("low") + LEAST).alias("high"), other.alias("partner")
+    )
+    return stored(met, "met")
+
+
 def common_words(a: bytes, b: bytes) -> int:
     """How many words two sides have in common from their beginnings."""
     if a == b:
@@ -244,7 +297,7 @@ SPANS = "node BIGINT, low INT, high INT, partner BIGINT"
 def joined_marks(marked: DataFrame) -> DataFrame:
     """Marks of a text that overlap, put together; the partner is that of the longest one.
 
-    A text's marks are at most a few for each of its suffixes.
+    A text's marks are at most a few for each of its suffixes, and one for each word.
     """
     importable(marked.sparkSession)
     lists = (
@@ -314,7 +367,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         .agg(F.first("text").alias("text"))
         .join(places, "node")
     )
-    spans = joined_marks(marks(stored(with_sides(texts), "sides")))
+    texts = stored(texts, "texts")
+    sides = stored(with_sides(texts), "sides")
+    spans = joined_marks(marks(sides).unionAll(window_marks(texts)))
 
     owners = stored(rows.select("doc_id", "node").distinct(), "owners")
     ends = owners.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))

@@ -62,6 +62,17 @@ def test_planted_passages(spark, documents, conf, partitions):  # noqa: F811
     assert len(want) > 40
 
 
+def test_many_altered_copies(spark, documents):  # noqa: F811
+    """Nearer neighbours, alike on one side, do not hide those that share the passage."""
+    rng, rows = np.random.default_rng(11), []
+    for _ in range(4):
+        base = np.array(text(rng, 400))
+        for _ in range(60):
+            own = np.where(rng.random(400) < 1 / 25, text(rng, 400), base)
+            rows.append((len(rows), " ".join(own)))
+    assert covered(repeated_passages(documents(*rows))) == brute(rows)
+
+
 def test_partners_hold_the_passage(spark, documents):  # noqa: F811
     rng = np.random.default_rng(8)
     passage = text(rng, 80)
