@@ -23,12 +23,13 @@ read; other columns do not matter.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +44,10 @@ SMALL = 16
 SLACK = 8
 #: Workers whose leftovers meet in one group.
 FAN_IN = 64
-#: Words kept per worker with their ids, twice over.
-WORD_CACHE = 400_000
+#: Texts whose ids are laid out at once, and bytes of text whose words are numbered at once.
+LAID_OUT, NUMBERED = 512, 12_000_000
+#: Ids after which finished sequences are handed on.
+FLUSHED = 2_000_000
 
 PIECES = (
     "doc_id BIGINT, start BIGINT, ids BINARY, doc_tokens BIGINT, sequence_id BIGINT, "
@@ -72,14 +75,18 @@ class WordEncoder:
 
     For byte-level tokenizers that put a space in front of the letters, digits or signs that
     follow it, and let neither letters nor digits join with a closing sign. A text may then be
-    cut before every space that no white space follows, and before a sign of ``CLOSING`` that
-    stands after an ASCII letter or digit. Words recur, so most come from a table of bounded
-    size; new ones of Latin letters go straight to the tokenizer's model.
+    cut before every space that no white space follows, and before a closing sign that stands
+    after an ASCII letter or digit. Words recur, so Arrow numbers those of many texts at once,
+    each is encoded once, and numpy lays out their ids. New words of Latin letters go straight
+    to the model of the tokenizer. Texts with runs of white space are encoded whole.
     """
 
-    CLOSING = re.compile(r"(?<=[A-Za-z0-9])[.,;:!?]")
-    RUN = re.compile(r" (?:\s|\Z)")
-    WORD = re.compile(r" (?=\S)")
+    #: White space, and text that is not cut into words.
+    WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}" + (
+        r"\x{202f}\x{205f}\x{3000}]"
+    )
+    WHOLE = rf" (?:{WHITE}|\z)|\x{{00}}"
+    CLOSING = r"([A-Za-z0-9])([.,;:!?])"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,56 +94,48 @@ class WordEncoder:
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.space = spell(" ")[0][0]
         self.signs = {c: spell(chr(c))[0][0] for c in range(0x80, 0x100)}
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # those met before the known ones
-
-    def _words(self, text: str) -> list[str]:
-        """The first word as it stands, then words without the space before them; a closing
-        sign is led by a zero character instead, which marks that it had none."""
-        if "\0" in text:
-            return [text]
-        words = self.WORD.split(text) if self.RUN.search(text) else text.split(" ")
-        first, rest = words[0], " ".join(words[1:]) if len(words) > 1 else None
-        if rest is None:
-            return [first]
-        if self.RUN.search(text):
-            return words
-        return [first, *self.CLOSING.sub(" \0\\g<0>", rest).split(" ")]
-
-    def _learn(self, words: set[str]) -> None:
-        for word in words.intersection(self.old):
-            self.known[word] = self.old.pop(word)
-        other = []
-        for word in words.difference(self.known):
-            if word.isalpha() and (word.isascii() or max(word) < "Ā"):
-                spelled = self.space + (word if word.isascii() else word.translate(self.signs))
-                found = self.model.tokenize(spelled)
-                self.known[word] = array("I", [t.id for t in found]).tobytes()
-            else:
-                other.append(word)
-        texts = [w[1:] if w[:1] == "\0" else " " + w for w in other]
-        for word, ids in zip(other, self.plain(texts)):
-            self.known[word] = ids
 
     def plain(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in made]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; a zero character in front says that no space was there."""
+        out, other, model, space = [b""] * len(words), [], self.model.tokenize, self.space
+        for k, word in enumerate(words):
+            if word.isalpha() and (word.isascii() or max(word) < "Ā"):
+                spelled = word if word.isascii() else word.translate(self.signs)
+                out[k] = array("I", [t.id for t in model(space + spelled)]).tobytes()
+            else:
+                other.append(k)
+        texts = [words[k][1:] if words[k][:1] == "\0" else " " + words[k] for k in other]
+        for k, ids in zip(other, self.plain(texts)):
+            out[k] = ids
+        return out
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > WORD_CACHE:
-            self.known, self.old = {}, self.known
-        cut = [self._words(text) for text in texts]
-        found = [list(map(self.known.get, words[1:])) for words in cut]
-        late = [k for k, ids in enumerate(found) if None in ids]
-        if late:
-            self._learn(
-                {w for k in late for w, ids in zip(cut[k][1:], found[k]) if ids is None}
-            )
-            for k in late:
-                found[k] = list(map(self.known.__getitem__, cut[k][1:]))
-        firsts = self.plain([words[0] for words in cut])
-        return [first + b"".join(ids) for first, ids in zip(firsts, found)]
+        whole = pc.match_substring_regex(texts, self.WHOLE)
+        cut = pc.if_else(whole, "", texts)
+        cut = pc.replace_substring_regex(cut, self.CLOSING, "\\1 \0\\2")
+        words = pc.split_pattern(pc.binary_join_element_wise("\0", cut, ""), " ")
+        numbered = words.flatten().dictionary_encode()
+        ids = self._encoded(numbered.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        places, ends = numbered.indices.to_numpy(), words.offsets.to_numpy()
+        rest = iter(self.plain(texts.filter(whole).to_pylist()))
+        marks = whole.to_pylist()
+        for low in range(0, len(texts), LAID_OUT):
+            high = min(len(texts), low + LAID_OUT)
+            own = places[ends[low] - ends[0] : ends[high] - ends[0]]
+            lengths = sizes[own]
+            before = np.concatenate([[0], np.cumsum(lengths)])
+            at = np.repeat(starts[own] - before[:-1], lengths) + np.arange(before[-1])
+            data = flat[at].tobytes()
+            for k in range(low, high):
+                span = before[ends[k] - ends[low]], before[ends[k + 1] - ends[low]]
+                yield next(rest) if marks[k] else data[4 * span[0] : 4 * span[1]]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -174,6 +173,7 @@ class Filler:
         self.open: dict[int, list] = {}
         self.held = 0  # ids in the open sequence of small pieces
         self.rows: list[tuple] = []
+        self.tokens = 0  # in the rows
 
     def close(self, pieces: list, number: int) -> None:
         offset = 0
@@ -181,6 +181,7 @@ class Filler:
             row = (doc_id, start, ids, whole, self.next_id, offset, number, self.worker)
             self.rows.append(row)
             offset += len(ids) // 4
+        self.tokens += offset
         self.next_id += 1
 
     def add(self, piece: list) -> None:
@@ -238,10 +239,21 @@ class Filler:
             power >>= 1
 
     def flushed(self) -> pa.RecordBatch:
-        rows, self.rows = self.rows, []
+        rows, self.rows, self.tokens = self.rows, [], 0
         return _batch(rows)
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of the batch, some ``NUMBERED`` bytes at a time."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        done = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, done + NUMBERED, side="right")))
+        yield tuple(c.slice(low, high - low) for c in batch.columns)
+        low = high
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = zip(*rows) if rows else [[]] * len(ARROW)
     return pa.RecordBatch.from_arrays(
@@ -274,16 +286,17 @@ def pack(
         encode, worker = encoder(tokenizer_path), TaskContext.get().partitionId()
         filler = Filler(capacity, _first_id(0, worker), worker)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                keys, texts = (c.to_pylist() for c in batch.slice(low, 256).columns)
-                for key, ids in zip(keys, encode(texts)):
+            for keys, texts in _portions(batch):
+                for key, ids in zip(keys.to_pylist(), encode(texts)):
                     ids += end
                     whole, start = len(ids) // 4, 0
                     for size in cuts(whole, capacity):
                         part = ids[4 * start : 4 * (start + size)]
                         filler.add([key, start, part, whole])
                         start += size
-                yield filler.flushed()
+                    if filler.tokens > FLUSHED:
+                        yield filler.flushed()
+        yield filler.flushed()
         yield _batch(filler.leftovers())
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))

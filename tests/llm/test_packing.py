@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,20 +31,23 @@ def plain(texts):
 
 def test_words_give_the_ids_of_whole_texts():
     encode = packing.WordEncoder(PATH)
-    for _ in range(2):  # the second time from the table
-        assert encode(ODD) == plain(ODD)
+    assert list(encode(pa.array(ODD))) == plain(ODD)
+    assert list(encode(pa.array(["x", *ODD, "y"]).slice(3, 9))) == plain(ODD[2:11])
+    assert list(encode(pa.array([], pa.string()))) == []
     draw = random.Random(5)
     signs = "ab Z9.,;:!?'\"-<|>\n\t éÀĀ ́日\0 "
     texts = ["".join(draw.choices(signs, k=draw.randint(0, 40))) for _ in range(5_000)]
-    assert encode(texts) == plain(texts)
+    assert list(encode(pa.array(texts))) == plain(texts)
 
 
-def test_full_table_of_words_is_aged(monkeypatch):
-    monkeypatch.setattr(packing, "WORD_CACHE", 3)
-    encode = packing.WordEncoder(PATH)
-    for _ in range(4):
-        for text in ODD:
-            assert encode([text, "x " + text]) == plain([text, "x " + text])
+def test_portions_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(packing, "NUMBERED", 10)
+    texts = ["", "a" * 30, "b", "", "c" * 9, "d" * 10, "e", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["k", "t"])
+    parts = list(packing._portions(batch))
+    assert [k for keys, _ in parts for k in keys.to_pylist()] == list(range(8))
+    assert [t for _, part in parts for t in part.to_pylist()] == texts
+    assert len(parts) > 3 and list(packing._portions(batch.slice(0, 0))) == []
 
 
 @settings(max_examples=200, deadline=None)
