@@ -49,12 +49,11 @@ from adtally.sources.given import (  # noqa: E402
     shipped_lines,
     shipped_parts,
 )
+from adtally.sources.quarantine import read_rejected, write_rejected  # noqa: E402
 from adtally.sources.sinks import (  # noqa: E402
     balanced,
     declared,
     overwrite_table,
-    read_rejected,
-    write_rejected,
 )
 from adtally.sources.sized import written  # noqa: E402
 from adtally.sources.tables import read_table, typed_scan  # noqa: E402

@@ -49,20 +49,26 @@ def reject_rates(flagged: DataFrame, day: str = "date") -> DataFrame:
 
 
 def daily_rollup(events: DataFrame, *by: str) -> DataFrame:
-    """Measures summed per day and ``by``, with the ratios of the sums."""
+    """Measures summed per day and ``by``, with the ratios of the sums.
+
+    Spend is added as a decimal: a sum of doubles depends on the order of the rows. A group
+    with spend that is not a number, or too large for the decimal, has no number for a sum.
+    """
+    exact = F.expr("try_cast(spend AS DECIMAL(28, 6))")
+    odd = F.max(F.col("spend").isNotNull() & exact.isNull())
     sums = events.groupBy("date", *by).agg(
-        F.sum("spend").alias("spend"),
+        F.when(odd, F.lit(float("nan"))).otherwise(F.sum(exact).cast("double")).alias("spend"),
         F.sum("impressions").alias("impressions"),
         F.sum("clicks").alias("clicks"),
     )
     return sums.select(
         "date",
         *by,
-        F.round("spend", 4).alias("spend"),
+        "spend",
         "impressions",
         "clicks",
-        F.round(ctr(), 6).alias("ctr"),
-        F.round(cost_per_click(), 4).alias("cost_per_click"),
+        ctr(),
+        cost_per_click(),
     )
 
 

@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtally.functions.literals import timestamp
+from adtally.functions.literals import micros, timestamp
 from adtally.functions.rules import DEFAULT_RULES, Rule, all_kept, any_broken, reason
-from adtally.sources.contracts import QUARANTINED_AT, REASON
+from adtally.sources.contracts import BATCH_TIME, QUARANTINED_AT, REASON
 
 
 def flag(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
@@ -26,9 +26,16 @@ def clean(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
 def rejected(
     df: DataFrame, quarantined_at: datetime, rules: Sequence[Rule] = DEFAULT_RULES
 ) -> DataFrame:
-    """Rows that break a rule, with their reason and the time of quarantine."""
+    """Rows that break a rule, with their reason and the time of quarantine.
+
+    The time's column carries it as metadata too, so that an empty batch has one.
+    """
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    stated = {BATCH_TIME: micros(quarantined_at, zone)}
     return df.where(any_broken(rules)).select(
-        "*", reason(rules).alias(REASON), timestamp(quarantined_at).alias(QUARANTINED_AT)
+        "*",
+        reason(rules).alias(REASON),
+        timestamp(quarantined_at).alias(QUARANTINED_AT, metadata=stated),
     )
 
 

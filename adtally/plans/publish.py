@@ -28,7 +28,8 @@ from adtally.sources.contracts import (
     FACT_CAMPAIGN_DAILY,
     SILVER,
 )
-from adtally.sources.sinks import declared, overwrite_table, write_rejected
+from adtally.sources.quarantine import write_rejected
+from adtally.sources.sinks import declared, overwrite_table
 from adtally.sources.sized import Sized
 from adtally.sources.tables import ensure_schema, qualified, read_table
 

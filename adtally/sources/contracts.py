@@ -82,6 +82,9 @@ FACT_CAMPAIGN_DAILY = StructType(
 REASON = "_rejection_reason"
 QUARANTINED_AT = "_quarantined_at"
 
+#: Metadata of that column: the batch's time in microseconds, there without any row too.
+BATCH_TIME = "batch_time"
+
 #: One event per merchant, campaign and day; the documented grain also has the market.
 EVENT_KEY = ("merchant_id", "campaign_id", "date")
 EVENT_GRAIN = (*EVENT_KEY, "market")

@@ -1,19 +1,18 @@
-"""Writes: balanced layout, safe replacement, re-runnable quarantine, counted rows."""
+"""Writes of tables: balanced layout, replacement in one step, counted rows."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructType
 
-from adtally.operators.conform import SchemaMismatch, require_schema
-from adtally.sources.contracts import QUARANTINED_AT
+from adtally.operators.conform import require_schema
+from adtally.sources import versions
 from adtally.sources.sized import Size, observed
-from adtally.sources.tables import qualified, require_values
+from adtally.sources.tables import require_values
 
 #: Formats that are plain files. Any other one is taken to replace its tables atomically.
 FILE_FORMATS = ("parquet", "orc", "avro", "json", "csv")
@@ -48,71 +47,15 @@ def declared(df: DataFrame, schema: StructType) -> DataFrame:
     return require_values(require_schema(df, schema, nulls=False), schema)
 
 
-# --- Files and catalog entries --------------------------------------------------------
+# --- Tables ---------------------------------------------------------------------------
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of ``path``, and the path as it knows it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop = _files(spark, path)
-    return fs.exists(hadoop)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, hadoop = _files(spark, path)
-    fs.delete(hadoop, True)
-
-
-def _parts(name: str) -> tuple[str, str, str]:
-    """Catalog, schema and table of a quoted three-level name."""
-    catalog, schema, table = re.findall(r"`([^`]+)`", name) or name.split(".")
-    return catalog, schema, table
-
-
-def _versions(spark: SparkSession, name: str) -> str:
-    """The folder of a table's versions, beside where a managed table would be."""
-    catalog, schema, table = _parts(name)
-    place = spark.catalog.getDatabase(f"`{catalog}`.`{schema}`").locationUri
-    return f"{place.rstrip('/')}/{table}-versions"
-
-
-def _location(spark: SparkSession, name: str) -> str | None:
-    if not spark.catalog.tableExists(name):
-        return None
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
-    return rows[0].data_type if rows else None
-
-
-def _point(
-    spark: SparkSession,
-    name: str,
-    folder: str,
-    schema: StructType,
-    partition_by: Sequence[str],
-    fmt: str,
-) -> None:
-    """Let the catalog entry ``name`` stand for the files in ``folder``.
-
-    The new entry is made under another name and complete before the old one goes; what lies
-    between is two changes of metadata. Dropping the entry of an outer folder keeps its files.
-    """
-    catalog, db, table = _parts(name)
-    fresh = qualified(catalog, db, f"{table}_{uuid4().hex[:12]}")
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    parted = ", ".join(f"`{c}`" for c in partition_by)
-    spark.sql(
-        f"CREATE TABLE {fresh} ({columns}) USING {fmt} "
-        + (f"PARTITIONED BY ({parted}) " if partition_by else "")
-        + f"LOCATION '{folder}'"
-    )
-    if partition_by:
-        spark.sql(f"MSCK REPAIR TABLE {fresh}")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO `{db}`.`{table}`")
+def _written_to(rows: DataFrame, folder: str, partition_by: Sequence[str], fmt: str) -> None:
+    try:
+        rows.write.format(fmt).partitionBy(*partition_by).save(folder)
+    except Exception:
+        versions.delete(rows.sparkSession, folder)
+        raise
 
 
 def overwrite_table(
@@ -125,10 +68,10 @@ def overwrite_table(
 ) -> Size:
     """Replace a catalog table and return the size of what was written.
 
-    Files go to a folder of their own, and the catalog entry is pointed at it when they are
-    complete; the former version goes last. A write that fails leaves the table as it was.
-    With a ``contract`` the schema must match exactly, or nothing is written. Rows that are
-    ``laid_out`` already, because they come unshuffled from a table with the same
+    Files go to a folder of their own, and ``name``, a view, changes to them in one step when
+    they are complete; the former version stays for its readers. A write that fails leaves the
+    table as it was. With a ``contract`` the schema must match exactly, or nothing is written.
+    Rows that are ``laid_out`` already, because they come unshuffled from a table with the same
     directories, are not shuffled again.
     """
     if contract is not None:
@@ -136,96 +79,40 @@ def overwrite_table(
     spark = df.sparkSession
     rows = _directory_named(df, partition_by)
     watched, size = observed(rows if laid_out else balanced(rows, *partition_by))
-    writer = watched.write.format(fmt).partitionBy(*partition_by)
     if fmt not in FILE_FORMATS:
-        writer.mode("overwrite").saveAsTable(name)
+        watched.write.format(fmt).partitionBy(*partition_by).mode("overwrite").saveAsTable(name)
         return size()
-    versions = _versions(spark, name)
-    folder = f"{versions}/{uuid4().hex}"
-    try:
-        writer.save(folder)
-    except Exception:
-        _delete(spark, folder)
-        raise
-    former = _location(spark, name)
-    _point(spark, name, folder, watched.schema, partition_by, fmt)
-    if former and f"/{versions.rsplit('/', 1)[-1]}/" in former:
-        _delete(spark, former)
+    folder = f"{versions.versions_folder(spark, name)}/{uuid4().hex}"
+    _written_to(watched, folder, partition_by, fmt)
+    versions.publish_version(spark, name, folder, watched.schema, partition_by, fmt)
     return size()
 
 
-# --- Quarantine -----------------------------------------------------------------------
-
-# A leading letter keeps a run id from being read back as a number or a date.
-_RUN_ID = re.compile(r"[A-Za-z][A-Za-z0-9_-]*")
-
-
-class OtherBatch(ValueError):
-    """A run id that is in use was given for a batch of another time."""
-
-
-def _require_known_types(df: DataFrame, stored: StructType) -> None:
-    have = {f.name: f.dataType for f in stored.fields}
-    changed = [
-        (f.name, f.dataType.simpleString(), have[f.name].simpleString())
-        for f in df.schema.fields
-        if f.name in have and have[f.name] != f.dataType
-    ]
-    if changed:
-        raise SchemaMismatch(f"types other than those in the quarantine: {changed}")
-
-
-def write_rejected(
-    df: DataFrame, path: str, run_id: str, fmt: str = "parquet", table: str | None = None
+def replace_directories(
+    df: DataFrame,
+    name: str,
+    partition_by: Sequence[str],
+    touched: Iterable[str],
+    contract: StructType | None = None,
+    fmt: str = "parquet",
 ) -> Size:
-    """Add one run's rejects to the quarantine at ``path``; return what was written.
+    """A next version of ``name`` that has ``df`` in place of the directories ``touched``.
 
-    Each run owns a directory and replaces only that one, so the quarantine grows by run
-    and a repeated run does not add its rows twice. A run id that holds rejects of another
-    time is refused, and so is a type other than the stored one; new columns are welcome.
-    With ``table`` the quarantine is also a catalog table, with the columns of all runs.
+    All other directories are taken over where they lie: their files are neither read nor
+    written, and keep their names. ``df`` must have rows of the touched directories alone; one
+    that gets no rows is gone. Returns the size of what was written.
     """
-    if not _RUN_ID.fullmatch(run_id):
-        raise ValueError(f"run id {run_id!r} must be a letter, then letters, digits, _ or -")
-    spark, path = df.sparkSession, path.rstrip("/")
-    any_runs = _exists(spark, path) and any(
-        s.getPath().getName().startswith("run_id=") for s in _listed(spark, path)
+    if contract is not None:
+        require_schema(df, contract)
+    spark = df.sparkSession
+    version = versions.current_version(spark, name)
+    if version is None:
+        raise ValueError(f"{name} has no versions to take directories from")
+    stay = versions.without(versions.directories(spark, version, partition_by), touched)
+    watched, size = observed(balanced(_directory_named(df, partition_by), *partition_by))
+    folder = f"{versions.versions_folder(spark, name)}/{uuid4().hex}"
+    _written_to(watched, folder, partition_by, fmt)
+    versions.publish_version(
+        spark, name, folder, watched.schema, partition_by, fmt, taken_over=stay or None
     )
-    schema = df.schema
-    if any_runs:
-        stored = read_rejected(spark, path, fmt).drop("run_id").schema
-        _require_known_types(df, stored)
-        known = set(df.columns)
-        schema = StructType([*schema.fields, *(f for f in stored.fields if f.name not in known)])
-    target, staged = f"{path}/run_id={run_id}", f"{path}/_staged-{uuid4().hex}"
-    times = Observation()
-    dated = QUARANTINED_AT in df.columns
-    counted = balanced(df)
-    if dated:
-        counted = counted.observe(times, F.max(QUARANTINED_AT).cast("string").alias("latest"))
-    watched, size = observed(counted)
-    watched.write.format(fmt).save(staged)
-    if dated and _exists(spark, target):
-        latest = F.max(QUARANTINED_AT).cast("string")
-        before = spark.read.schema(df.schema).format(fmt).load(target).agg(latest).first()[0]
-        now = times.get["latest"]
-        if before and now and before != now:
-            _delete(spark, staged)
-            raise OtherBatch(f"run {run_id} holds rejects of {before}, not of {now}")
-    _delete(spark, target)
-    fs, source = _files(spark, staged)
-    fs.rename(source, spark._jvm.org.apache.hadoop.fs.Path(target))
-    if table:
-        whole = StructType([*schema.fields, StructField("run_id", StringType())])
-        _point(spark, table, path, whole, ["run_id"], fmt)
     return size()
-
-
-def _listed(spark: SparkSession, path: str):
-    fs, hadoop = _files(spark, path)
-    return fs.listStatus(hadoop)
-
-
-def read_rejected(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """All runs, with the union of their columns and ``run_id``."""
-    return spark.read.option("mergeSchema", "true").format(fmt).load(path)

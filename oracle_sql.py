@@ -360,12 +360,13 @@ FROM checked GROUP BY date, _rejection_reason""",
     "fact_campaign_daily_nan": f"""WITH {STRICT}{TYPED}{_checked()}{BY_KEY}{STAR}
 SELECT * FROM fact""",
     "daily_rollup": f"""{_STAR}
-SELECT date, market, round(sum(spend), 4) AS spend,
+SELECT date, market, CAST(sum(CAST(spend AS DECIMAL(28, 6))) AS DOUBLE) AS spend,
        CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks,
-       round(CASE WHEN sum(impressions) > 0 THEN sum(clicks)::DOUBLE / sum(impressions)
-                  ELSE 0.0::DOUBLE END, 6) AS ctr,
-       round(CASE WHEN sum(clicks) > 0 THEN sum(spend) / sum(clicks)
-                  ELSE 0.0::DOUBLE END, 4) AS cost_per_click
+       CASE WHEN sum(impressions) > 0 THEN sum(clicks)::DOUBLE / sum(impressions)
+            ELSE 0.0::DOUBLE END AS ctr,
+       CASE WHEN sum(clicks) > 0
+            THEN CAST(sum(CAST(spend AS DECIMAL(28, 6))) AS DOUBLE) / sum(clicks)
+            ELSE 0.0::DOUBLE END AS cost_per_click
 FROM silver GROUP BY date, market""",
     "dq_orphan_parts": f"""{_TYPED_MISSING}
 SELECT CAST(l_partkey AS VARCHAR) AS value, count(*) AS row_count FROM lineitem
