@@ -1,0 +1,274 @@
+"""Replacement that readers never see half done, and the quarantine's promises."""
+
+from __future__ import annotations
+
+import glob
+import threading
+
+import pytest
+from conftest import RUN_TS
+from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    ShortType,
+    StringType,
+    StructType,
+)
+
+from adtally.operators.conform import SchemaMismatch
+from adtally.operators.validation import rejected
+from adtally.sources import quarantine, versions
+from adtally.sources.quarantine import OtherBatch, read_rejected, widens, write_rejected
+from adtally.sources.sinks import overwrite_table, replace_directories
+from adtally.sources.tables import read_table
+
+BY = ["market", "date"]
+
+
+def table_of(spark, rows, days=3, tag=0):
+    return spark.range(rows).select(
+        F.concat(F.lit("m"), F.col("id") % 4).alias("market"),
+        F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") % days).cast("int")).alias("date"),
+        F.col("id").alias("clicks"),
+        F.lit(tag).alias("tag"),
+    )
+
+
+def files_of(spark, name, partition_by=BY):
+    version = versions.current_version(spark, name)
+    places = versions.directories(spark, version, partition_by)
+    return {n: sorted(glob.glob(f"{at.removeprefix('file:')}/*.parquet")) for n, at in places.items()}
+
+
+@pytest.mark.parametrize("partition_by", [[], BY])
+def test_readers_see_the_old_rows_or_the_new(spark, lake, partition_by):
+    """Rows of version ``k`` number ``24 * (k + 1)`` and carry its tag, without an exception."""
+    name = lake.gold_table("busy")
+    overwrite_table(table_of(spark, 24), name, partition_by)
+    seen, failures, done = set(), [], threading.Event()
+
+    def read():
+        while not done.is_set():
+            try:
+                found = spark.table(name).agg(
+                    F.count(F.lit(1)).alias("n"), F.min("tag").alias("a"), F.max("tag").alias("b")
+                ).first()
+                assert found.a == found.b and found.n == 24 * (found.a + 1)
+                seen.add(found.a)
+            except Exception as failure:
+                failures.append(failure)
+
+    readers = [threading.Thread(target=read) for _ in range(2)]
+    for r in readers:
+        r.start()
+    for k in range(1, 6):
+        overwrite_table(table_of(spark, 24 * (k + 1), tag=k), name, partition_by)
+    done.set()
+    for r in readers:
+        r.join()
+    assert not failures and len(seen) > 1
+
+
+def test_a_planned_read_outlives_one_replacement(spark, lake):
+    name = lake.gold_table("kept")
+    overwrite_table(table_of(spark, 24), name, BY)
+    planned = spark.table(name)
+    planned._jdf.queryExecution().executedPlan()
+    overwrite_table(table_of(spark, 48, tag=1), name, BY)
+    assert planned.count() == 24 and spark.table(name).count() == 48
+    assert len(versions.chain(spark, name)) == 2
+
+
+def test_a_failed_publication_keeps_the_former_version(spark, lake, monkeypatch):
+    name = lake.gold_table("failing")
+    overwrite_table(table_of(spark, 24), name, BY)
+    before = versions.chain(spark, name)
+    monkeypatch.setattr(versions, "_literal", lambda value: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        replace_directories(
+            table_of(spark, 24).where("market = 'm1'"), name, BY, ["market=m1/date=2026-01-02"]
+        )
+    monkeypatch.undo()
+    assert versions.chain(spark, name) == before and spark.table(name).count() == 24
+    assert len(versions.vacuum(spark, name, BY)) == 1  # what the failed one wrote
+    assert spark.table(name).count() == 24 and versions.vacuum(spark, name, BY) == []
+
+
+def test_directories_are_replaced_and_taken_over(spark, lake):
+    name = lake.gold_table("merged")
+    overwrite_table(table_of(spark, 48), name, BY)
+    first = files_of(spark, name)
+    assert len(first) == 12
+    touched = ["market=m1/date=2026-01-02", "market=m2/date=2026-01-03", "market=new/date=2026-01-09"]
+    some = table_of(spark, 48, tag=1).where("market = 'm1' AND date = DATE '2026-01-02'")
+    extra = spark.sql("SELECT 'new' market, DATE '2026-01-09' date, 7L clicks, 1 tag")
+    size = replace_directories(some.unionByName(extra), name, BY, touched)
+    second = files_of(spark, name)
+    assert size.rows == 5 and spark.table(name).count() == 48 - 4 + 1
+    assert set(second) == set(first) - {touched[1]} | {touched[2]}
+    for n in set(first) - set(touched):
+        assert second[n] == first[n]  # the same files
+    assert second[touched[0]] != first[touched[0]]
+    tags = {r.tag for r in spark.table(name).where("market = 'm1' AND date = '2026-01-02'").collect()}
+    assert tags == {1}
+    pruned = spark.table(name).where("market = 'new'")
+    assert [r.clicks for r in pruned.collect()] == [7]
+
+
+def test_directories_go_when_no_version_refers_to_them(spark, lake):
+    name = lake.gold_table("old")
+    overwrite_table(table_of(spark, 48), name, BY)
+    first = files_of(spark, name)
+    wanted = "market = 'm1' AND date = DATE '2026-01-02'"
+    for k in range(1, 4):
+        rows = table_of(spark, 48, tag=k).where(wanted)
+        replace_directories(rows, name, BY, ["market=m1/date=2026-01-02"])
+        assert spark.table(name).where(wanted).agg(F.max("tag")).first()[0] == k
+        assert spark.table(name).count() == 48
+    third = files_of(spark, name)
+    assert not glob.glob(first["market=m1/date=2026-01-02"][0])
+    assert all(glob.glob(f) for found in third.values() for f in found)
+    for _ in range(2):
+        overwrite_table(table_of(spark, 24), name, BY)
+    base = versions.versions_folder(spark, name).removeprefix("file:")
+    assert len(glob.glob(f"{base}/*")) == 2 and spark.table(name).count() == 24
+
+
+def test_odd_directory_names_are_taken_over(spark, lake):
+    name = lake.gold_table("odd")
+    values = ["a b", "it's", "50%", "x=y", "é/ü", "back\\slash", None]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "kind STRING, n INT")
+    overwrite_table(rows, name, ["kind"])
+    more = spark.createDataFrame([("plain", 9)], "kind STRING, n INT")
+    replace_directories(more, name, ["kind"], ["kind=plain"])
+    want = sorted([(v, i) for i, v in enumerate(values)] + [("plain", 9)], key=str)
+    assert sorted(((r.kind, r.n) for r in spark.table(name).collect()), key=str) == want
+
+
+def test_a_plain_table_becomes_a_view_of_versions(spark, lake):
+    name = lake.gold_table("plain")
+    table_of(spark, 8).write.saveAsTable(name)
+    with pytest.raises(ValueError, match="no versions"):
+        replace_directories(table_of(spark, 8), name, BY, [])
+    overwrite_table(table_of(spark, 16), name, BY)
+    assert spark.table(name).count() == 16 and len(versions.chain(spark, name)) == 1
+
+
+# --- Quarantine -----------------------------------------------------------------------
+
+
+def test_an_empty_batch_of_another_time_is_refused(spark, lake, events):
+    path = lake.rejected_path
+    bad = rejected(events({"spend": None}, {"spend": -1.0}), RUN_TS)
+    write_rejected(bad, path, "run-1")
+    none = rejected(events({}), RUN_TS.replace(year=2027))
+    assert none.count() == 0
+    with pytest.raises(OtherBatch):
+        write_rejected(none, path, "run-1")
+    unstated = none.withColumn("_quarantined_at", F.col("_quarantined_at") + F.expr("INTERVAL 0 DAY"))
+    with pytest.raises(OtherBatch):
+        write_rejected(unstated, path, "run-1")
+    assert read_rejected(spark, path).count() == 2
+    for _ in range(2):  # the same run again: the same rows
+        assert write_rejected(bad, path, "run-1").rows == 2
+    assert write_rejected(rejected(events({}), RUN_TS), path, "run-1").rows == 0
+    assert read_rejected(spark, path).count() == 0
+    with pytest.raises(OtherBatch):  # an empty run has its time too
+        write_rejected(rejected(events({"spend": None}), RUN_TS.replace(year=2027)), path, "run-1")
+    assert not glob.glob(f"{path}/_staged*")
+
+
+@pytest.mark.parametrize("fails_at", [1, 2])
+def test_a_failed_rename_keeps_the_old_rows(spark, lake, events, monkeypatch, fails_at):
+    path, calls = lake.rejected_path, []
+    write_rejected(rejected(events({"spend": None}, {"spend": -1.0}), RUN_TS), path, "run-1")
+    true_rename = versions.rename
+
+    def rename(session, source, target):
+        calls.append(target)
+        if len(calls) == fails_at:
+            raise OSError("planned")
+        true_rename(session, source, target)
+
+    monkeypatch.setattr(versions, "rename", rename)
+    with pytest.raises(OSError, match="planned"):
+        write_rejected(rejected(events({"spend": None}), RUN_TS), path, "run-1")
+    monkeypatch.undo()
+    assert read_rejected(spark, path).count() == 2
+    assert not glob.glob(f"{path}/_staged*") + glob.glob(f"{path}/_aside*")
+
+
+def test_a_refused_rename_is_an_error(spark, lake, monkeypatch):
+    """File systems answer false, where others raise."""
+
+    class Refusing:
+        def rename(self, source, target):
+            return False
+
+    monkeypatch.setattr(versions, "files", lambda session, path: (Refusing(), path))
+    with pytest.raises(OSError, match="could not be renamed"):
+        versions.rename(spark, f"{lake.root}/source", f"{lake.root}/target")
+
+
+def test_a_dead_driver_between_renames_loses_nothing(spark, lake, events):
+    path = lake.rejected_path
+    write_rejected(rejected(events({"spend": None}), RUN_TS), path, "run-1")
+    versions.rename(spark, f"{path}/run_id=run-1", f"{path}/_aside-00.run_id=run-1")
+    write_rejected(rejected(events({"spend": -1.0}), RUN_TS), path, "run-2")
+    assert {r.run_id for r in read_rejected(spark, path).collect()} == {"run-1", "run-2"}
+
+
+def test_wider_types_read_back_with_all_rows(spark, lake, events):
+    path, name = lake.rejected_path, lake.rejected_table
+    bad = rejected(events({"spend": None, "clicks": 3}, {"spend": -1.0, "clicks": 4}), RUN_TS)
+    narrow = bad.withColumns({"clicks": F.col("clicks").cast("int"), "spend": F.col("spend").cast("float")})
+    write_rejected(narrow, path, "run-1", table=name)
+    wide = rejected(events({"spend": -2.5, "clicks": 2**40}), RUN_TS)
+    write_rejected(wide, path, "run-2", table=name)
+    for back in (read_rejected(spark, path), spark.table(name)):
+        assert back.schema["clicks"].dataType == LongType()
+        assert sorted(r.clicks for r in back.collect()) == [3, 4, 2**40]
+        assert {r.spend for r in back.collect()} == {None, -1.0, -2.5}
+    with pytest.raises(SchemaMismatch):
+        write_rejected(narrow, path, "run-3", table=name)
+    assert len(quarantine.ledger(spark, path)) == 2
+    assert spark.table(name).count() == read_rejected(spark, path).count() == 3
+
+
+def test_runs_from_before_the_ledger(spark, lake, events):
+    path = lake.rejected_path
+    bad = rejected(events({"spend": None, "clicks": 3}), RUN_TS)
+    bad.withColumn("clicks", F.col("clicks").cast("int")).write.parquet(f"{path}/run_id=run-1")
+    with pytest.raises(OtherBatch):
+        write_rejected(rejected(events({}), RUN_TS.replace(year=2027)), path, "run-1")
+    write_rejected(bad, path, "run-2")
+    assert read_rejected(spark, path).count() == 2
+    assert read_rejected(spark, path).schema["clicks"].dataType == LongType()
+
+
+def test_what_widens():
+    ladder = [ShortType(), IntegerType(), LongType()]
+    for i, a in enumerate(ladder):
+        assert [widens(a, b) for b in ladder] == [j > i for j in range(3)]
+    assert widens(FloatType(), DoubleType()) and not widens(DoubleType(), FloatType())
+    assert widens(IntegerType(), DoubleType()) and not widens(LongType(), DoubleType())
+    assert widens(DecimalType(10, 2), DecimalType(12, 4))
+    assert not widens(DecimalType(10, 2), DecimalType(12, 5))
+    assert not widens(StringType(), LongType()) and not widens(LongType(), StringType())
+    merged = quarantine.merged_schema(
+        StructType().add("a", IntegerType(), False), StructType().add("b", LongType()).add("a", LongType())
+    )
+    assert merged == StructType().add("a", LongType()).add("b", LongType())
+
+
+def test_gone_and_empty_tables(spark, lake):
+    name = lake.gold_table("none")
+    assert versions.current_version(spark, name) is None and versions.chain(spark, name) == []
+    overwrite_table(table_of(spark, 0), name, BY)
+    assert read_table(spark, name).count() == 0
+    replace_directories(table_of(spark, 4), name, BY, ["market=m0/date=2026-01-01"])
+    assert read_table(spark, name).count() == 4
