@@ -17,12 +17,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from adtally.functions.casting import cast_to  # noqa: E402
 from adtally.functions.metrics import cost_per_click, ctr  # noqa: E402
 from adtally.functions.rules import DEFAULT_RULES, STRICT_RULES, Rule  # noqa: E402
-from adtally.operators import checks, dedup, dimensions, summaries, validation  # noqa: E402
+from adtally.operators import checks, dedup, dimensions, history, summaries, validation  # noqa: E402
 from adtally.operators.conform import conform, fill_required, silver_defaults  # noqa: E402
 from adtally.operators.fact import attach_key, join_side  # noqa: E402
 from adtally.operators.validation import clean, flag, rejected  # noqa: E402
 from adtally.plans import gold, sql_models  # noqa: E402
 from adtally.plans.bronze import ingest  # noqa: E402
+from adtally.plans.merge import LAYOUT, merge_silver  # noqa: E402
 from adtally.plans.publish import (  # noqa: E402
     Lake,
     publish,
@@ -31,6 +32,7 @@ from adtally.plans.publish import (  # noqa: E402
 )
 from adtally.plans.silver import refine  # noqa: E402
 from adtally.session import shared_folder  # noqa: E402
+from adtally.sources import versions  # noqa: E402
 from adtally.sources.contracts import (  # noqa: E402
     BRONZE,
     DIM_MERCHANT,
@@ -42,6 +44,7 @@ from adtally.sources.contracts import (  # noqa: E402
 )
 from adtally.sources.given import (  # noqa: E402
     MISSING_VALUES,
+    RESENT,
     STRICT_FAULTS,
     TEXT_COLUMNS,
     campaign_events,
@@ -63,6 +66,9 @@ from oracle_sql import ORACLES  # noqa: E402
 RUN_TS = datetime(2024, 2, 1, 6, 0, 0)
 RUN_DATE = date(2024, 2, 1)
 RUN_ID = "run-20240201"
+#: The next run, and days whose state dimensions with a history keep.
+NEXT_DATE = date(2024, 2, 2)
+STATE_DAYS = (date(2024, 1, 11), date(2024, 1, 21), date(2024, 1, 31))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -553,6 +559,111 @@ def partition_pruned_read(spark, sf_dir):
     )
 
 
+@query
+def sink_read_across_replacement(spark, sf_dir):
+    """A read that was planned before a replacement: the rows of the version before it."""
+    lake = _lake(spark)
+    events = refine(campaign_events(spark, sf_dir, MISSING_VALUES), RUN_TS).events
+    overwrite_table(events, lake.silver_events, LAYOUT, SILVER)
+    planned = read_table(spark, lake.silver_events, SILVER)
+    overwrite_table(_silver(spark, sf_dir).limit(1), lake.silver_events, LAYOUT, SILVER)
+    return planned
+
+
+def _merged_lake(spark, sf_dir) -> Lake:
+    """Silver of all events, into which the last ten days were merged once more, as resent."""
+    lake = _lake(spark)
+    merge_silver(campaign_events(spark, sf_dir), lake, RUN_TS, "run-first")
+    late = campaign_events(spark, sf_dir, RESENT).where("date >= DATE '2024-01-21'")
+    merge_silver(late, lake, RUN_TS, "run-late")
+    return lake
+
+
+@query
+def silver_late_batch(spark, sf_dir):
+    """Two batches merged one after another: what one rebuild over both gives."""
+    return read_table(spark, _merged_lake(spark, sf_dir).silver_events, SILVER)
+
+
+@query
+def late_batch_directories(spark, sf_dir):
+    """Silver's directories after the merge, and which of them kept their files."""
+    lake = _merged_lake(spark, sf_dir)
+    now, before = (
+        versions.directories(spark, v, LAYOUT) for v in versions.chain(spark, lake.silver_events)
+    )
+    rows = [(*versions.values_of(n), before.get(n) == at) for n, at in now.items()]
+    listed = spark.createDataFrame(rows, "market STRING, date STRING, kept BOOLEAN")
+    return listed.withColumn("date", F.col("date").cast("date"))
+
+
+@query
+def quarantine_widened(spark, sf_dir):
+    """Two runs of which the second has wider counts: one table with all rows."""
+    lake = _lake(spark)
+    narrow = campaign_events(spark, sf_dir).where("market IN ('click', 'view', 'error')")
+    wide = _typed(spark, sf_dir).where("market NOT IN ('click', 'view', 'error')")
+    for run, rows in (("run-narrow", narrow), ("run-wide", wide)):
+        write_rejected(
+            rejected(rows, RUN_TS), lake.rejected_path, run, lake.fmt, lake.rejected_table
+        )
+    return read_table(spark, lake.rejected_table)
+
+
+def _first_day(events: DataFrame) -> DataFrame:
+    return events.where("date = DATE '2024-01-01'")
+
+
+@query
+def dim_merchant_stable(spark, sf_dir):
+    """Merchants of the first day, then those of all days: the first keep their keys."""
+    events = written(_silver(spark, sf_dir), "events").table
+    known = gold.merchants(_first_day(events), RUN_DATE)
+    return dimensions.extend_dim(known, events, "merchant_id", "merchant_key", NEXT_DATE).table
+
+
+@query
+def sink_fact_stable_keys(spark, sf_dir):
+    """The same in tables: the fact of the second run has the first run's keys."""
+    lake = _lake(spark)
+    for run_date, part in ((RUN_DATE, _first_day), (NEXT_DATE, lambda events: events)):
+        overwrite_table(part(_silver(spark, sf_dir)), lake.silver_events, LAYOUT, SILVER)
+        publish_gold(spark, lake, run_date, stable_keys=True)
+    return read_table(spark, lake.gold_table("fact_campaign_daily"))
+
+
+def _home_markets(spark, events: DataFrame) -> DataFrame:
+    """Each merchant's market on its newest event of ten days, as a history over three states."""
+    homes = events.withColumnRenamed("market", "home_market")
+    found = None
+    for day in STATE_DAYS:
+        days = homes.where(F.col("date").between(F.date_sub(F.lit(day), 10), F.date_sub(F.lit(day), 1)))
+        now = history.state(days, "merchant_id", ["home_market"], ["ingestion_ts"])
+        if found is None:
+            made = history.first_history(now, "merchant_id", ["home_market"], day)
+        else:
+            made = history.next_history(found, now, "merchant_id", ["home_market"], day)
+        found = written(made, "history").table
+    return found
+
+
+@query
+def dim_merchant_history(spark, sf_dir):
+    """Versions of merchants by intervals of days; merchants without events are gone."""
+    return _home_markets(spark, written(_silver(spark, sf_dir), "events").table)
+
+
+@query
+def fact_point_in_time(spark, sf_dir):
+    """Events with the version of their merchant that held on their day."""
+    events = written(_silver(spark, sf_dir), "events").table
+    homes = _home_markets(spark, events)
+    columns = ["home_market", history.VALID_FROM]
+    return history.attach_valid(events, homes, "merchant_id", columns).select(
+        "merchant_id", "campaign_id", "market", "date", "spend", *columns
+    )
+
+
 @query
 def preview_topn(spark, sf_dir):
     return summaries.preview(_silver(spark, sf_dir), SILVER.names, 10)

@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 
 from adtally.functions.rules import DEFAULT_RULES, STRICT_RULES
 from adtally.operators.fact import BROADCAST_LIMIT
+from adtally.plans.bronze import ingest
+from adtally.plans.merge import merge_silver
 from adtally.plans.publish import (
     Lake,
     gold_report,
@@ -35,7 +37,7 @@ def clock(text: str) -> datetime:
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="adtally", description=__doc__)
-    parser.add_argument("step", choices=["bronze", "silver", "gold", "all", "check"])
+    parser.add_argument("step", choices=["bronze", "silver", "merge", "gold", "all", "check"])
     parser.add_argument("--root", required=True, help="folder of the schemas and the quarantine")
     parser.add_argument("--source", help="landed files under the source contract")
     parser.add_argument("--source-format", default="parquet")
@@ -51,9 +53,12 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     )
     parser.add_argument("--run-id", required=True)
     parser.add_argument("--strict", action="store_true", help="also apply the strict rules")
+    parser.add_argument(
+        "--stable-keys", action="store_true", help="members keep the keys that they have"
+    )
     parser.add_argument("--by-grain", action="store_true", help="keep one row per market too")
     args = parser.parse_args(argv)
-    if args.step in ("bronze", "all") and not args.source:
+    if args.step in ("bronze", "merge", "all") and not args.source:
         parser.error(f"{args.step} needs --source")
     return args
 
@@ -67,7 +72,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
     if args.step == "all":
         source = typed_scan(spark, args.source, fmt=args.source_format)
         return publish(
-            source, lake, args.run_ts, run_date, args.run_id, rules, keys, args.broadcast_limit
+            source, lake, args.run_ts, run_date, args.run_id, rules, keys, args.broadcast_limit,
+            stable_keys=args.stable_keys,
         )
     lake.prepare(spark)
     if args.step == "bronze":
@@ -76,10 +82,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
     if args.step == "silver":
         counts = publish_silver(spark, lake, args.run_ts, args.run_id, rules, keys)
         return dict(zip(("silver", "rejected"), counts, strict=True))
+    if args.step == "merge":
+        source = ingest(typed_scan(spark, args.source, fmt=args.source_format), args.run_ts)
+        merged = merge_silver(source, lake, args.run_ts, args.run_id, rules, keys)
+        return {"silver": merged.rows, "rejected": merged.rejected}
     if args.step == "check":
         failed = gold_report(spark, lake).where("failures > 0").collect()
         return {f"{r.check} {r.table_name}.{r.column_name}": r.failures for r in failed}
-    return publish_gold(spark, lake, run_date, args.broadcast_limit)
+    return publish_gold(spark, lake, run_date, args.broadcast_limit, args.stable_keys)
 
 
 def main() -> None:

@@ -61,3 +61,30 @@ def build_dim(df: DataFrame, natural_key: str, key_name: str, effective: date) -
     numbered, size = dense_keys(distinct_members(df, natural_key), natural_key, key_name)
     dim = numbered.select(key_name, natural_key, F.lit(effective).alias("effective_date"))
     return Sized(dim, size)
+
+
+def extend_dim(
+    known: Sized, df: DataFrame, natural_key: str, key_name: str, effective: date
+) -> Sized:
+    """``known`` with the members of ``df`` that it lacks; those it has keep key and date.
+
+    New members are numbered in their order above the largest key in use, so keys never
+    change and are never given twice, though after some runs they no longer follow the order
+    of all members. The anti-join meets distinct members on either side. Members that are gone
+    stay: facts of former runs may refer to them.
+    """
+    members, have = distinct_members(df, natural_key), known.table.select(natural_key)
+    same = F.col("_new").eqNullSafe(F.col(natural_key))
+    lacking = (
+        members.select(F.col(natural_key).alias("_new"))
+        .join(have, same, "left_anti")
+        .select(F.col("_new").alias(natural_key))
+    )
+    numbered, size = dense_keys(lacking, natural_key, key_name)
+    largest = known.table.agg(F.max(key_name)).first()[0] or 0
+    added = numbered.select(
+        (F.col(key_name) + largest).alias(key_name),
+        natural_key,
+        F.lit(effective).alias("effective_date"),
+    )
+    return Sized(known.table.select(*added.columns).unionAll(added), known.size.plus(size))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from adtally.functions.rules import DEFAULT_RULES, Rule
 from adtally.operators.checks import GOLD_CHECKS, run_checks
 from adtally.operators.conform import named_market
+from adtally.operators.dimensions import extend_dim
 from adtally.operators.fact import (
     BROADCAST_LIMIT,
     broadcast_limit,
@@ -30,7 +31,7 @@ from adtally.sources.contracts import (
 )
 from adtally.sources.quarantine import write_rejected
 from adtally.sources.sinks import declared, overwrite_table
-from adtally.sources.sized import Sized
+from adtally.sources.sized import Size, Sized
 from adtally.sources.tables import ensure_schema, qualified, read_table
 
 
@@ -99,10 +100,17 @@ def publish_silver(
 
 
 def publish_gold(
-    spark: SparkSession, lake: Lake, run_date: date, limit: int = BROADCAST_LIMIT
+    spark: SparkSession,
+    lake: Lake,
+    run_date: date,
+    limit: int = BROADCAST_LIMIT,
+    stable_keys: bool = False,
 ) -> dict[str, int]:
     """Rows of the dimensions and the fact; the fact joins the written dimensions.
 
+    With ``stable_keys``, members of the published dimensions keep their keys, and new ones
+    are numbered above them; else each run numbers all members anew.
+
     The market's key follows from the market, so silver's directories map one to one to
     the fact's. With both dimensions small enough to broadcast, rows stay with the files
     they came in and the fact is written without any shuffle: at most one file for each
@@ -115,7 +123,13 @@ def publish_gold(
         ("dim_merchant", merchants, DIM_MERCHANT),
         ("dim_market", markets, DIM_MARKET),
     ):
-        frame = declared(dim(events, run_date).table, contract)
+        if stable_keys and spark.catalog.tableExists(lake.gold_table(name)):
+            known = Sized(spark.table(lake.gold_table(name)), Size(0, 0))
+            key, member = contract.names[:2]
+            made = extend_dim(known, events, member, key, run_date)
+        else:
+            made = dim(events, run_date)
+        frame = declared(made.table, contract)
         size = overwrite_table(frame, lake.gold_table(name), contract=contract, fmt=lake.fmt)
         dims.append(Sized(spark.table(lake.gold_table(name)), size))
     fact = overwrite_table(
@@ -143,13 +157,14 @@ def publish(
     keys: Sequence[str] = EVENT_KEY,
     limit: int = BROADCAST_LIMIT,
     keep_stamp: bool = False,
+    stable_keys: bool = False,
 ) -> dict[str, int]:
     """Write every layer and return the rows written to each, without a counting pass."""
     spark = source.sparkSession
     lake.prepare(spark)
     counts = {"bronze": publish_bronze(source, lake, run_ts, keep_stamp)}
     counts["silver"], counts["rejected"] = publish_silver(spark, lake, run_ts, run_id, rules, keys)
-    return counts | publish_gold(spark, lake, run_date, limit)
+    return counts | publish_gold(spark, lake, run_date, limit, stable_keys)
 
 
 def gold_report(spark: SparkSession, lake: Lake) -> DataFrame:

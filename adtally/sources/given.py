@@ -70,6 +70,14 @@ TEXT_COLUMNS = {
     "ingestion_ts": "IF(event_id % 59 = 0, 'not a time', CAST(ts AS STRING))",
 }
 
+#: Events that are sent once more, later: with other spend, and some from another market.
+RESENT = EVENT_COLUMNS | {
+    "market": "IF(user_id % 10 = 0, 'view', event_type)",
+    "spend": "CASE WHEN event_id % 37 = 0 THEN NULL WHEN event_id % 41 = 0 THEN -value "
+    "ELSE value + 1 END",
+    "ingestion_ts": "TIMESTAMP '2024-02-01 06:00:00'",
+}
+
 #: Campaign events out of ``lineitem`` and the supplier's region.
 LINEITEM_COLUMNS = {
     "merchant_id": "CAST(l_suppkey AS STRING)",

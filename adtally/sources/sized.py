@@ -18,6 +18,9 @@ class Size(NamedTuple):
     rows: int
     bytes: int
 
+    def plus(self, other: Size) -> Size:
+        return Size(self.rows + other.rows, self.bytes + other.bytes)
+
 
 class Sized(NamedTuple):
     """A frame over a table on disk, and what the write of that table observed."""

@@ -268,3 +268,8 @@ def without(places: dict[str, str], touched: Iterable[str]) -> dict[str, str]:
     """The directories that a merge does not touch."""
     gone = set(touched)
     return {n: at for n, at in places.items() if n not in gone}
+
+
+def values_of(directory: str) -> tuple[str, ...]:
+    """The column values that a directory's name stands for."""
+    return tuple(unquote(part.split("=", 1)[1]) for part in directory.split("/"))

@@ -150,6 +150,87 @@ _STAR = f"{_LATEST}{STAR}"
 _STAR_MISSING = f"WITH {MISSING}{TYPED}{_checked()}{BY_KEY}{STAR}"
 
 
+RESENT_ROWS = """,
+late AS (
+  SELECT CAST(user_id AS VARCHAR) AS merchant_id,
+         json_extract_string(props, '$.k') AS campaign_id,
+         CASE WHEN user_id % 10 = 0 THEN 'view' ELSE event_type END AS market,
+         CAST(ts AS DATE) AS date,
+         CASE WHEN event_id % 37 = 0 THEN NULL WHEN event_id % 41 = 0 THEN -value
+              ELSE value + 1 END AS spend,
+         CAST(CASE WHEN event_id % 53 = 0 THEN 0 ELSE event_id % 100 END AS INTEGER) AS impressions,
+         CAST(event_id % 7 AS INTEGER) AS clicks,
+         TIMESTAMP '2024-02-01 06:00:00' AS ingestion_ts
+  FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-21')"""
+
+
+def _silver_of(source: str, name: str) -> str:
+    """The silver rows out of one source, by way of a single query."""
+    broken = " OR ".join(f"coalesce({p}, false)" for p in REASONS.values())
+    return f""",
+{name} AS (
+  SELECT {SILVER.replace("impressions, clicks", "CAST(impressions AS BIGINT) AS impressions, CAST(clicks AS BIGINT) AS clicks")}
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY merchant_id, campaign_id, date
+                                 ORDER BY {_desc("ingestion_ts", "market", "spend", "impressions", "clicks")}) AS rn
+    FROM {source} WHERE NOT ({broken}))
+  WHERE rn = 1)"""
+
+
+_BATCHES = f"""WITH {SRC}{RESENT_ROWS},
+both_batches AS (SELECT * FROM src UNION ALL SELECT * FROM late)"""
+
+HISTORY = f""",
+days AS (
+  SELECT * FROM (VALUES (1, DATE '2024-01-11'), (2, DATE '2024-01-21'), (3, DATE '2024-01-31'))
+  d(k, day)),
+states AS (
+  SELECT k, merchant_id, home_market FROM (
+    SELECT k, merchant_id, market AS home_market,
+           row_number() OVER (PARTITION BY k, merchant_id
+                              ORDER BY ingestion_ts DESC, market DESC) AS rn
+    FROM silver JOIN days ON date >= day - 10 AND date < day)
+  WHERE rn = 1),
+grid AS (
+  SELECT m.merchant_id, d.k, d.day, s.home_market
+  FROM (SELECT DISTINCT merchant_id FROM states) m CROSS JOIN days d
+  LEFT JOIN states s ON s.merchant_id = m.merchant_id AND s.k = d.k),
+marked AS (
+  SELECT *, CASE WHEN home_market IS DISTINCT FROM
+                      lag(home_market) OVER (PARTITION BY merchant_id ORDER BY k)
+                 THEN 1 ELSE 0 END AS changed
+  FROM grid),
+islands AS (
+  SELECT *, sum(changed) OVER (PARTITION BY merchant_id ORDER BY k) AS island FROM marked),
+homes AS (
+  SELECT merchant_id, home_market, min(day) AS valid_from,
+         CASE max(k) WHEN 1 THEN DATE '2024-01-21' WHEN 2 THEN DATE '2024-01-31' END AS valid_to
+  FROM islands WHERE home_market IS NOT NULL GROUP BY merchant_id, island, home_market)"""
+
+STABLE = """,
+known AS (
+  SELECT row_number() OVER (ORDER BY merchant_id NULLS LAST) AS merchant_key, merchant_id
+  FROM (SELECT DISTINCT merchant_id FROM silver WHERE date = DATE '2024-01-01')),
+stable AS (
+  SELECT merchant_key, merchant_id, DATE '2024-02-01' AS effective_date FROM known
+  UNION ALL
+  SELECT (SELECT coalesce(max(merchant_key), 0) FROM known)
+           + row_number() OVER (ORDER BY merchant_id NULLS LAST),
+         merchant_id, DATE '2024-02-02'
+  FROM (SELECT DISTINCT merchant_id FROM silver
+        WHERE merchant_id NOT IN (SELECT merchant_id FROM known))),
+known_markets AS (
+  SELECT row_number() OVER (ORDER BY market) AS market_key, market
+  FROM (SELECT DISTINCT market FROM silver WHERE date = DATE '2024-01-01')),
+stable_markets AS (
+  SELECT market_key, market FROM known_markets
+  UNION ALL
+  SELECT (SELECT coalesce(max(market_key), 0) FROM known_markets)
+           + row_number() OVER (ORDER BY market), market
+  FROM (SELECT DISTINCT market FROM silver
+        WHERE market NOT IN (SELECT market FROM known_markets)))"""
+
+
 def _rejects(with_clause: str, reasons: dict[str, str]) -> str:
     return f"""{with_clause}{_checked(reasons)}
 SELECT {SILVER}, _rejection_reason, {RUN_TS} AS _quarantined_at
@@ -382,6 +463,38 @@ FROM checked WHERE _rejection_reason <> ''""",
     "partition_pruned_read": f"""{_STAR}
 SELECT * FROM silver
 WHERE market = 'click' AND date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""",
+    "sink_read_across_replacement": f"""{_STAR_MISSING}
+SELECT * FROM silver""",
+    "silver_late_batch": f"""{_BATCHES}{_silver_of("both_batches", "merged")}
+SELECT * FROM merged""",
+    "late_batch_directories": f"""{_BATCHES}{_silver_of("src", "before")}{_silver_of("late", "batch")}{_silver_of("both_batches", "merged")},
+touched AS (
+  SELECT market, date FROM batch
+  UNION
+  SELECT b.market, b.date FROM before b JOIN batch n
+    ON b.merchant_id = n.merchant_id AND b.campaign_id = n.campaign_id AND b.date = n.date)
+SELECT DISTINCT m.market, m.date, t.market IS NULL AS kept
+FROM merged m LEFT JOIN touched t ON m.market = t.market AND m.date = t.date""",
+    "quarantine_widened": f"""{_TYPED}{_checked()}
+SELECT {SILVER}, _rejection_reason, {RUN_TS} AS _quarantined_at,
+       CASE WHEN market IN ('click', 'view', 'error') THEN 'run-narrow' ELSE 'run-wide' END AS run_id
+FROM checked WHERE _rejection_reason <> ''""",
+    "dim_merchant_stable": f"""{_STAR}{STABLE}
+SELECT * FROM stable""",
+    "sink_fact_stable_keys": f"""{_STAR}{STABLE}
+SELECT m.merchant_key, k.market_key, e.campaign_id, e.date, e.spend, e.impressions, e.clicks,
+       CASE WHEN e.impressions > 0 THEN e.clicks::DOUBLE / e.impressions ELSE 0.0::DOUBLE END AS ctr,
+       CASE WHEN e.clicks > 0 THEN e.spend / e.clicks ELSE 0.0::DOUBLE END AS cost_per_click
+FROM silver e
+JOIN stable m ON e.merchant_id = m.merchant_id
+JOIN stable_markets k ON e.market = k.market""",
+    "dim_merchant_history": f"""{_STAR}{HISTORY}
+SELECT * FROM homes""",
+    "fact_point_in_time": f"""{_STAR}{HISTORY}
+SELECT e.merchant_id, e.campaign_id, e.market, e.date, e.spend, h.home_market, h.valid_from
+FROM silver e LEFT JOIN homes h
+  ON h.merchant_id = e.merchant_id AND h.valid_from <= e.date
+ AND (h.valid_to IS NULL OR e.date < h.valid_to)""",
     "preview_topn": f"""{_STAR}
 SELECT * FROM silver ORDER BY {", ".join(f"{c} ASC NULLS LAST" for c in SILVER.split(", "))}
 LIMIT 10""",
