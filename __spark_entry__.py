@@ -20,12 +20,16 @@ from adtally.functions.rules import DEFAULT_RULES, STRICT_RULES, Rule  # noqa: E
 from adtally.operators import checks, dedup, dimensions, history, summaries, validation  # noqa: E402
 from adtally.operators.conform import conform, fill_required, silver_defaults  # noqa: E402
 from adtally.operators.fact import attach_key, join_side  # noqa: E402
+from adtally.operators.pruning import of_members  # noqa: E402
+from adtally.operators.skew import join_isolated  # noqa: E402
 from adtally.operators.validation import clean, flag, rejected  # noqa: E402
 from adtally.plans import gold, sql_models  # noqa: E402
 from adtally.plans.bronze import ingest  # noqa: E402
 from adtally.plans.merge import LAYOUT, merge_silver  # noqa: E402
 from adtally.plans.publish import (  # noqa: E402
+    FACT_LAYOUT,
     Lake,
+    gold_report,
     publish,
     publish_bronze,
     publish_gold,
@@ -57,6 +61,7 @@ from adtally.sources.sinks import (  # noqa: E402
     balanced,
     declared,
     overwrite_table,
+    replace_directories,
 )
 from adtally.sources.sized import written  # noqa: E402
 from adtally.sources.tables import read_table, typed_scan  # noqa: E402
@@ -664,6 +669,56 @@ def fact_point_in_time(spark, sf_dir):
     )
 
 
+@query
+def fact_by_market_name(spark, sf_dir):
+    """The fact's rows of two markets by name: only their directories are opened."""
+    lake = _lake(spark)
+    overwrite_table(_silver(spark, sf_dir), lake.silver_events, LAYOUT, SILVER)
+    publish_gold(spark, lake, RUN_DATE)
+    fact, dim = (spark.table(lake.gold_table(t)) for t in ("fact_campaign_daily", "dim_market"))
+    wanted = F.col("market").isin("click", "view")
+    return of_members(fact, dim.select("market_key", "market"), "market_key", wanted)
+
+
+@query
+def silver_of_one_merchant(spark, sf_dir):
+    """One merchant's events out of directories that are ordered by merchant."""
+    lake = _lake(spark)
+    events = _silver(spark, sf_dir)
+    overwrite_table(events, lake.silver_events, ["market"], SILVER, cluster_by=["merchant_id"])
+    return read_table(spark, lake.silver_events, SILVER).where("merchant_id = '8'")
+
+
+@query
+def fact_join_hot_merchant(spark, sf_dir):
+    """A third of all line items under one supplier, joined to a dimension by a shuffle."""
+    lines = shipped_lines(spark, sf_dir).withColumn(
+        "merchant_id", F.expr("IF(clicks % 3 = 0, '1', merchant_id)")
+    )
+    events = written(lines.select("merchant_id", "campaign_id", "date", "spend"), "lines").table
+    dim = gold.merchants(events, RUN_DATE).table.select("merchant_id", "merchant_key")
+    return join_isolated(events, dim, "merchant_id").drop("merchant_id")
+
+
+@query
+def dq_report_incremental(spark, sf_dir):
+    """The report after one day's facts changed, from profiles of the days before."""
+    lake = _lake(spark)
+    overwrite_table(_silver(spark, sf_dir), lake.silver_events, LAYOUT, SILVER)
+    publish_gold(spark, lake, RUN_DATE)
+    gold_report(spark, lake, incremental=True)
+    name = lake.gold_table("fact_campaign_daily")
+    day = spark.table(name).where("date = DATE '2024-01-10'")
+    broken = day.withColumns({"ctr": F.expr("nullif(ctr, 0.0)"), "merchant_key": -F.col("merchant_key")})
+    places = versions.directories(spark, versions.current_version(spark, name), FACT_LAYOUT)
+    touched = [n for n in places if n.endswith("date=2024-01-10")]
+    replace_directories(
+        declared(broken.select(*FACT_CAMPAIGN_DAILY.names), FACT_CAMPAIGN_DAILY),
+        name, FACT_LAYOUT, touched, FACT_CAMPAIGN_DAILY,
+    )
+    return gold_report(spark, lake, incremental=True)
+
+
 @query
 def preview_topn(spark, sf_dir):
     return summaries.preview(_silver(spark, sf_dir), SILVER.names, 10)

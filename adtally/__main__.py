@@ -56,6 +56,13 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument(
         "--stable-keys", action="store_true", help="members keep the keys that they have"
     )
+    parser.add_argument(
+        "--incremental", action="store_true", help="check what changed since the last such check"
+    )
+    parser.add_argument(
+        "--cluster-by", nargs="*", default=[], metavar="COLUMN",
+        help="columns by which silver is ordered inside its directories",
+    )
     parser.add_argument("--by-grain", action="store_true", help="keep one row per market too")
     args = parser.parse_args(argv)
     if args.step in ("bronze", "merge", "all") and not args.source:
@@ -80,14 +87,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
         source = typed_scan(spark, args.source, fmt=args.source_format)
         return {"bronze": publish_bronze(source, lake, args.run_ts)}
     if args.step == "silver":
-        counts = publish_silver(spark, lake, args.run_ts, args.run_id, rules, keys)
+        counts = publish_silver(
+            spark, lake, args.run_ts, args.run_id, rules, keys, args.cluster_by
+        )
         return dict(zip(("silver", "rejected"), counts, strict=True))
     if args.step == "merge":
         source = ingest(typed_scan(spark, args.source, fmt=args.source_format), args.run_ts)
         merged = merge_silver(source, lake, args.run_ts, args.run_id, rules, keys)
         return {"silver": merged.rows, "rejected": merged.rejected}
     if args.step == "check":
-        failed = gold_report(spark, lake).where("failures > 0").collect()
+        failed = gold_report(spark, lake, args.incremental).where("failures > 0").collect()
         return {f"{r.check} {r.table_name}.{r.column_name}": r.failures for r in failed}
     return publish_gold(spark, lake, run_date, args.broadcast_limit, args.stable_keys)
 

@@ -70,15 +70,22 @@ def orphans(
     return keys.join(parent.select(F.col(parent_column).alias("value")), "value", "left_anti")
 
 
-def _profile(table: DataFrame, checks: Sequence[Check], parents: Sequence[str]) -> DataFrame:
-    """One pass over ``table``: rows per combination of its key columns, and the nulls of the
-    other columns in question. Written, since every check on the table reads it."""
+def profile(
+    table: DataFrame, checks: Sequence[Check], parents: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """One pass over ``table``: rows per combination of its key columns (and of ``by``), and
+    the nulls of the other columns in question."""
     keyed = [c.column for c in checks if c.kind != "not_null"]
-    keys = list(dict.fromkeys([*keyed, *parents]))
+    keys = list(dict.fromkeys([*keyed, *parents, *by]))
     others = [c.column for c in checks if c.kind == "not_null" and c.column not in keys]
     nulls = [F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in others]
-    profile = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *nulls)
-    return written(profile, "profile").table
+    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *nulls)
+
+
+def wanted_of(checks: Sequence[Check], table: str) -> tuple[list[Check], list[str]]:
+    """The checks on a table, and its columns that checks on other tables refer to."""
+    own = [c for c in checks if c.table == table]
+    return own, [c.parent_column for c in checks if c.parent == table]
 
 
 def _nulls_in(profile: DataFrame, column: str) -> Column:
@@ -89,25 +96,26 @@ def _nulls_in(profile: DataFrame, column: str) -> Column:
     return F.coalesce(counted, F.lit(0))
 
 
-def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
+def run_checks(
+    tables: Mapping[str, DataFrame],
+    checks: Sequence[Check],
+    known: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
     """``(check, table_name, column_name, failures)``, one row per check.
 
     Failures are null rows, repeated values, and child rows without a parent. Each table is
-    read once, however many checks it has; they work on its profile.
+    read once, however many checks it has; they work on its profile, which is written for them.
+    A table whose profile is ``known`` is not read at all.
     """
-    known = {"not_null", "unique", "relationships"}
     for c in checks:
-        if c.kind not in known:
+        if c.kind not in ("not_null", "unique", "relationships"):
             raise ValueError(f"unknown check {c.kind!r}")
     names = dict.fromkeys([c.table for c in checks] + [c.parent for c in checks if c.parent])
-    profiles = {
-        name: _profile(
-            tables[name],
-            [c for c in checks if c.table == name],
-            [c.parent_column for c in checks if c.parent == name],
-        )
-        for name in names
-    }
+    profiles = dict(known or {})
+    for name in names:
+        if name not in profiles:
+            made = profile(tables[name], *wanted_of(checks, name))
+            profiles[name] = written(made, "profile").table
 
     def labelled(kind: str, table: str, failures: DataFrame) -> DataFrame:
         return failures.select(
@@ -117,8 +125,8 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
     parts = []
     for table in dict.fromkeys(c.table for c in checks if c.kind == "not_null"):
         columns = [c.column for c in checks if c.kind == "not_null" and c.table == table]
-        profile = profiles[table]
-        counted = profile.agg(*[_nulls_in(profile, c).alias(c) for c in columns])
+        own = profiles[table]
+        counted = own.agg(*[_nulls_in(own, c).alias(c) for c in columns])
         parts.append(
             labelled("not_null", table, counted.unpivot([], columns, "column_name", "failures"))
         )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtally.functions.metrics import cost_per_click, ctr
+from adtally.operators.skew import join_isolated
 from adtally.sources.sized import Size, Sized
 
 #: A dimension whose hash table takes up to this many bytes is sent to every executor.
@@ -51,11 +52,35 @@ def attach_key(events: DataFrame, dim: DataFrame, natural_key: str, key_name: st
     return events.join(dim.select(natural_key, key_name), natural_key)
 
 
+def attach_member(
+    events: DataFrame, dim: Sized, natural_key: str, key_name: str, limit: int
+) -> DataFrame:
+    """``attach_key`` by a broadcast where the dimension's size allows it; else by a shuffle
+    from which members with many events are set apart."""
+    limit = broadcast_limit(dim.table.sparkSession, limit)
+    if fits_broadcast(dim.size, limit) or limit < 0:
+        return attach_key(events, join_side(dim, limit), natural_key, key_name)
+    members = dim.table.select(natural_key, key_name)
+    return join_isolated(events, members, natural_key)
+
+
 def build_fact(
-    events: DataFrame, merchants: Sized, markets: Sized, limit: int = BROADCAST_LIMIT
+    events: DataFrame,
+    merchants: Sized,
+    markets: Sized,
+    limit: int = BROADCAST_LIMIT,
+    isolate_hot: bool = False,
 ) -> DataFrame:
-    """Surrogate keys in place of natural ones, the measures, and the two ratios."""
-    keyed = attach_key(events, join_side(merchants, limit), "merchant_id", "merchant_key")
+    """Surrogate keys in place of natural ones, the measures, and the two ratios.
+
+    A merchant dimension beyond the broadcast limit is joined by a shuffle. With
+    ``isolate_hot`` merchants with many events are set apart there, which takes two further
+    scans of the events; else it is left to adaptive execution to split them.
+    """
+    if isolate_hot:
+        keyed = attach_member(events, merchants, "merchant_id", "merchant_key", limit)
+    else:
+        keyed = attach_key(events, join_side(merchants, limit), "merchant_id", "merchant_key")
     keyed = attach_key(keyed, join_side(markets, limit), "market", "market_key")
     return keyed.select(
         "merchant_key",

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from adtally.functions.rules import DEFAULT_RULES, Rule
-from adtally.operators.checks import GOLD_CHECKS, run_checks
+from adtally.operators.checks import GOLD_CHECKS, run_checks, wanted_of
 from adtally.operators.conform import named_market
 from adtally.operators.dimensions import extend_dim
 from adtally.operators.fact import (
@@ -18,6 +18,7 @@ from adtally.operators.fact import (
     build_fact,
     fits_broadcast,
 )
+from adtally.operators.profiles import stored_profile
 from adtally.plans.bronze import ingest
 from adtally.plans.gold import markets, merchants
 from adtally.plans.silver import refine
@@ -35,6 +36,10 @@ from adtally.sources.sized import Size, Sized
 from adtally.sources.tables import ensure_schema, qualified, read_table
 
 
+#: The directories of the fact.
+FACT_LAYOUT = ("market_key", "date")
+
+
 class Lake(NamedTuple):
     """Where the layers live. ``root`` places the schemas and the quarantine."""
 
@@ -83,6 +88,7 @@ def publish_silver(
     run_id: str,
     rules: Sequence[Rule] = DEFAULT_RULES,
     keys: Sequence[str] = EVENT_KEY,
+    cluster_by: Sequence[str] = (),
 ) -> tuple[int, int]:
     """Rows of silver and of this run's quarantine.
 
@@ -94,7 +100,8 @@ def publish_silver(
         silver.rejected, lake.rejected_path, run_id, lake.fmt, lake.rejected_table
     )
     events = overwrite_table(
-        silver.events, lake.silver_events, ["market", "date"], SILVER, lake.fmt
+        silver.events, lake.silver_events, ["market", "date"], SILVER, lake.fmt,
+        cluster_by=cluster_by,
     )
     return events.rows, rejected.rows
 
@@ -105,6 +112,7 @@ def publish_gold(
     run_date: date,
     limit: int = BROADCAST_LIMIT,
     stable_keys: bool = False,
+    isolate_hot: bool = False,
 ) -> dict[str, int]:
     """Rows of the dimensions and the fact; the fact joins the written dimensions.
 
@@ -133,9 +141,9 @@ def publish_gold(
         size = overwrite_table(frame, lake.gold_table(name), contract=contract, fmt=lake.fmt)
         dims.append(Sized(spark.table(lake.gold_table(name)), size))
     fact = overwrite_table(
-        declared(build_fact(events, *dims, limit), FACT_CAMPAIGN_DAILY),
+        declared(build_fact(events, *dims, limit, isolate_hot), FACT_CAMPAIGN_DAILY),
         lake.gold_table("fact_campaign_daily"),
-        ["market_key", "date"],
+        FACT_LAYOUT,
         FACT_CAMPAIGN_DAILY,
         fmt=lake.fmt,
         laid_out=all(fits_broadcast(dim.size, limit) for dim in dims),
@@ -167,7 +175,21 @@ def publish(
     return counts | publish_gold(spark, lake, run_date, limit, stable_keys)
 
 
-def gold_report(spark: SparkSession, lake: Lake) -> DataFrame:
-    """The declared tests on the published gold tables: failures per check."""
+def gold_report(spark: SparkSession, lake: Lake, incremental: bool = False) -> DataFrame:
+    """The declared tests on the published gold tables: failures per check.
+
+    An incremental report keeps a profile of the fact's directories as a table beside it, and
+    reads those that changed since the last such report.
+    """
     tables = {c.table: spark.table(lake.gold_table(c.table)) for c in GOLD_CHECKS}
-    return run_checks(tables, GOLD_CHECKS)
+    if not incremental:
+        return run_checks(tables, GOLD_CHECKS)
+    fact = "fact_campaign_daily"
+    known = stored_profile(
+        spark,
+        lake.gold_table(fact),
+        lake.gold_table(f"{fact}_profile"),
+        FACT_LAYOUT,
+        *wanted_of(GOLD_CHECKS, fact),
+    )
+    return run_checks(tables, GOLD_CHECKS, {fact: known})

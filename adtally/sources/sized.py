@@ -29,7 +29,7 @@ class Sized(NamedTuple):
     size: Size
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """Bytes of a flat row in memory: a word per column, and the text."""
     words = F.lit(8 * len(df.columns))
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
@@ -44,7 +44,7 @@ def observed(df: DataFrame) -> tuple[DataFrame, Callable[[], Size]]:
     """
     seen = Observation()
     watched = df.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")
+        seen, F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df)).alias("bytes")
     )
 
     def size() -> Size:

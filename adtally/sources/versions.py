@@ -273,3 +273,8 @@ def without(places: dict[str, str], touched: Iterable[str]) -> dict[str, str]:
 def values_of(directory: str) -> tuple[str, ...]:
     """The column values that a directory's name stands for."""
     return tuple(unquote(part.split("=", 1)[1]) for part in directory.split("/"))
+
+
+def folder_of(spark: SparkSession, version: str) -> str | None:
+    """The folder that a version's own files were written to."""
+    return _property(spark, version, FOLDER)

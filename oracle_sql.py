@@ -420,6 +420,28 @@ dim_merchant AS (
   SELECT * FROM all_merchants UNION ALL SELECT * FROM all_merchants WHERE merchant_key <= 3),
 dim_market AS (SELECT * FROM all_markets WHERE market_key <> 2)
 {_REPORT}""",
+    "dq_report_incremental": f"""{_STAR.replace("fact AS (", "all_facts AS (")},
+fact AS (
+  SELECT CASE WHEN date = DATE '2024-01-10' THEN -merchant_key ELSE merchant_key END AS merchant_key,
+         market_key, campaign_id, date, spend, impressions, clicks,
+         CASE WHEN date = DATE '2024-01-10' THEN nullif(ctr, 0.0) ELSE ctr END AS ctr,
+         cost_per_click
+  FROM all_facts)
+{_REPORT}""",
+    "fact_by_market_name": f"""{_STAR}
+SELECT fact.*, market FROM fact JOIN dim_market USING (market_key)
+WHERE market IN ('click', 'view')""",
+    "silver_of_one_merchant": f"""{_STAR}
+SELECT * FROM silver WHERE merchant_id = '8'""",
+    "fact_join_hot_merchant": f"""WITH {LINES},
+lines AS (
+  SELECT CASE WHEN clicks % 3 = 0 THEN '1' ELSE merchant_id END AS merchant_id,
+         campaign_id, date, spend
+  FROM src),
+members AS (
+  SELECT row_number() OVER (ORDER BY merchant_id NULLS LAST) AS merchant_key, merchant_id
+  FROM (SELECT DISTINCT merchant_id FROM lines))
+SELECT campaign_id, date, spend, merchant_key FROM lines JOIN members USING (merchant_id)""",
     "silver_scan": f"{_STAR} SELECT * FROM silver",
     "sink_bronze_roundtrip": f"WITH {SRC} SELECT {SILVER} FROM src",
     "sink_silver_roundtrip": _SILVER_MISSING,

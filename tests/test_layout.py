@@ -1,0 +1,220 @@
+"""Reads that open little: by member name, inside directories, and by profiles; hot keys."""
+
+from __future__ import annotations
+
+import glob
+
+import pytest
+from conftest import RUN_DATE, RUN_TS, SF_DIR, final_plan_of, plan_of
+from pyspark.sql import functions as F
+
+from adtally.operators.pruning import of_members
+from adtally.operators.skew import hot_keys, join_isolated
+from adtally.plans.publish import FACT_LAYOUT, gold_report, publish_gold
+from adtally.plans.silver import refine
+from adtally.sources import versions
+from adtally.sources.contracts import FACT_CAMPAIGN_DAILY, SILVER
+from adtally.sources.given import campaign_events
+from adtally.sources.sinks import declared, overwrite_table, replace_directories
+from adtally.sources.tables import read_table
+
+
+def scans(df):
+    """The file scans of an executed plan, adaptive parts included."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            walk(node.plan())
+        elif name == "FileSourceScanExec":
+            found.append(node)
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return found
+
+
+def metric(scan, name):
+    return scan.metrics().apply(name).value()
+
+
+@pytest.fixture
+def star(spark, lake):
+    silver = refine(campaign_events(spark, SF_DIR), RUN_TS).events
+    overwrite_table(silver, lake.silver_events, ["market", "date"], SILVER)
+    publish_gold(spark, lake, RUN_DATE)
+    return {t: spark.table(lake.gold_table(t)) for t in ("fact_campaign_daily", "dim_market")}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, -1])
+def test_a_member_name_opens_its_directories_alone(star, conf, limit):
+    if limit < 0:
+        conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    fact, dim = star["fact_campaign_daily"], star["dim_market"].select("market_key", "market")
+    wanted = of_members(fact, dim, "market_key", F.col("market") == "click", limit)
+    rows = wanted.collect()
+    key = dim.where("market = 'click'").first().market_key
+    assert len(rows) == fact.where(F.col("market_key") == key).count() > 0
+    opened = max(metric(s, "numFiles") for s in scans(wanted))
+    files = len(fact.inputFiles())
+    if limit > 0:
+        assert "dynamicpruning" in plan_of(wanted).lower()
+        assert opened <= len(fact.where(F.col("market_key") == key).inputFiles()) < files / 2
+    else:
+        assert "BroadcastHashJoin" not in final_plan_of(wanted) and opened == files
+
+
+def test_no_member_opens_nothing(star):
+    fact, dim = star["fact_campaign_daily"], star["dim_market"].select("market_key", "market")
+    assert of_members(fact, dim, "market_key", F.col("market") == "nowhere").count() == 0
+
+
+def wide(spark, rows=200_000):
+    return spark.range(0, rows, 1, 8).select(
+        F.when(F.col("id") % 10 == 0, "FR").otherwise("DE").alias("market"),
+        F.concat(F.lit("m"), F.pmod(F.xxhash64("id"), F.lit(1_000))).alias("merchant_id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    )
+
+
+def test_row_groups_are_skipped_inside_a_directory(spark, lake, conf):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    read = {}
+    for name, cluster_by in (("plain", []), ("ordered", ["merchant_id"])):
+        table = lake.gold_table(name)
+        overwrite_table(wide(spark), table, ["market"], cluster_by=cluster_by)
+        one = spark.table(table).where("merchant_id = 'm77'")
+        assert one.count() == wide(spark).where("merchant_id = 'm77'").count() > 100
+        read[name] = sum(metric(s, "numOutputRows") for s in scans(one))
+    assert read["plain"] > 150_000 and read["ordered"] < 60_000
+    both = (spark.table(lake.gold_table(n)) for n in read)
+    assert next(both).exceptAll(next(both)).count() == 0
+
+
+def test_a_hot_value_is_spread_in_its_directory(spark, lake, conf):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    rows = wide(spark, 40_000).withColumn("merchant_id", F.lit("m1"))
+    overwrite_table(rows, lake.gold_table("one"), ["market"], cluster_by=["merchant_id"])
+    folder = versions.versions_folder(spark, lake.gold_table("one")).removeprefix("file:")
+    assert len(glob.glob(f"{folder}/*/market=DE/*.parquet")) >= 6
+    assert spark.table(lake.gold_table("one")).count() == 40_000
+
+
+# --- Hot keys -------------------------------------------------------------------------
+
+
+def skewed(spark, rows=90_000, parts=24):
+    return spark.range(0, rows, 1, parts).select(
+        F.when(F.col("id") % 3 == 0, "hot")
+        .when(F.col("id") % 1000 == 1, None)
+        .otherwise(F.concat(F.lit("k"), F.pmod(F.xxhash64("id"), F.lit(20_000))))
+        .alias("key"),
+        "id",
+    )
+
+
+def test_a_hot_key_is_no_longer_one_task(spark, conf):
+    """A third of the rows under one key, with adaptive execution off."""
+    conf(spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="24",
+         spark__sql__autoBroadcastJoinThreshold="-1")
+    left = skewed(spark)
+    dim = left.select("key").distinct().withColumn("number", F.xxhash64("key"))
+
+    def per_task(df):
+        sizes = df.groupBy(F.spark_partition_id().alias("t")).agg(F.count(F.lit(1)).alias("n"))
+        return sorted(r.n for r in sizes.collect())
+
+    plain = per_task(left.join(dim, "key"))
+    mended = per_task(join_isolated(left, dim, "key"))
+    assert plain[-1] > 10 * plain[len(plain) // 2]
+    assert mended[-1] <= 3 * mended[len(mended) // 2]
+    assert sum(plain) == sum(mended)
+
+
+def test_isolated_joins_keep_results_whole(spark):
+    left = skewed(spark, 9_000, 3)
+    dim = left.select("key").distinct().withColumn("number", F.xxhash64("key"))
+    dim = dim.where("key <> 'k5' AND key <> 'k7'")
+    want = sorted(map(tuple, left.join(dim, "key").select("id", "number").collect()))
+    for share in (0.5, 0.1, 0.001, 1.0):
+        out = join_isolated(left, dim, "key", share)
+        assert "NestedLoop" not in plan_of(out)
+        assert sorted(map(tuple, out.select("id", "number").collect())) == want
+    assert [r.key for r in hot_keys(left, "key", 0.1).collect()] == ["hot"]
+    assert hot_keys(left, "key", 0.5).count() == 0
+    assert join_isolated(left.limit(0), dim, "key").count() == 0
+
+
+def test_the_fact_with_hot_members_set_apart(spark, lake, star):
+    before = sorted(map(repr, star["fact_campaign_daily"].collect()))
+    publish_gold(spark, lake, RUN_DATE, limit=0, isolate_hot=True)
+    after = spark.table(lake.gold_table("fact_campaign_daily"))
+    assert sorted(map(repr, after.collect())) == before
+
+
+# --- Profiles by directory ------------------------------------------------------------
+
+
+def report(spark, lake, incremental):
+    return sorted(map(tuple, gold_report(spark, lake, incremental).collect()))
+
+
+def change(spark, lake, day, **columns):
+    name = lake.gold_table("fact_campaign_daily")
+    rows = spark.table(name).where(f"date = DATE '{day}'").withColumns(columns)
+    places = versions.directories(spark, versions.current_version(spark, name), FACT_LAYOUT)
+    touched = [n for n in places if n.endswith(f"date={day}")]
+    fact = declared(rows.select(*FACT_CAMPAIGN_DAILY.names), FACT_CAMPAIGN_DAILY)
+    replace_directories(fact, name, FACT_LAYOUT, touched, FACT_CAMPAIGN_DAILY)
+    return touched
+
+
+def profile_places(spark, lake):
+    name = lake.gold_table("fact_campaign_daily_profile")
+    return versions.directories(spark, versions.current_version(spark, name), FACT_LAYOUT)
+
+
+def test_incremental_reports_equal_full_ones(spark, lake, star):
+    assert report(spark, lake, True) == report(spark, lake, False)
+    first = profile_places(spark, lake)
+    touched = change(spark, lake, "2024-01-10", ctr=F.lit(None).cast("double"))
+    found = report(spark, lake, True)
+    assert found == report(spark, lake, False)
+    assert dict(((c, t, n), f) for c, t, n, f in found)["not_null", "fact_campaign_daily", "ctr"] > 0
+    second = profile_places(spark, lake)
+    assert {n for n in second if second[n] != first[n]} == set(touched)  # only those were read
+    assert report(spark, lake, True) == found and profile_places(spark, lake) == second
+    change(spark, lake, "2024-01-11", merchant_key=-F.col("merchant_key"))
+    found = report(spark, lake, True)
+    assert found == report(spark, lake, False)
+    key = ("relationships", "fact_campaign_daily", "merchant_key")
+    assert dict(((c, t, n), f) for c, t, n, f in found)[key] > 0
+
+
+def test_directories_that_are_gone_leave_the_profile(spark, lake, star):
+    report(spark, lake, True)
+    name = lake.gold_table("fact_campaign_daily")
+    places = versions.directories(spark, versions.current_version(spark, name), FACT_LAYOUT)
+    gone = sorted(places)[0]
+    none = spark.table(name).limit(0).select(*FACT_CAMPAIGN_DAILY.names)
+    replace_directories(declared(none, FACT_CAMPAIGN_DAILY), name, FACT_LAYOUT, [gone])
+    assert report(spark, lake, True) == report(spark, lake, False)
+    assert gone not in profile_places(spark, lake)
+    publish_gold(spark, lake, RUN_DATE)  # a rebuild: all directories are new
+    assert report(spark, lake, True) == report(spark, lake, False)
+
+
+def test_silver_can_be_published_in_order(spark, lake):
+    from adtally.plans.publish import publish_bronze, publish_silver
+
+    publish_bronze(campaign_events(spark, SF_DIR), lake, RUN_TS, keep_stamp=True)
+    publish_silver(spark, lake, RUN_TS, "r1")
+    plain = sorted(map(repr, read_table(spark, lake.silver_events, SILVER).collect()))
+    publish_silver(spark, lake, RUN_TS, "r1", cluster_by=["merchant_id"])
+    assert sorted(map(repr, read_table(spark, lake.silver_events, SILVER).collect())) == plain
