@@ -7,8 +7,9 @@ are drawn with a hash of the seed and the id, so a run can be repeated: the whol
 expectation is sure, the rest a draw.
 
 Without repeats (``once``) the expectations are probabilities: no cell is due more than its
-mass, and the budget is at most the one at which every member's own mass meets its target.
-A member that is very small for its target so lowers the number of tokens of the whole draw.
+mass. A member that is too small for its target is kept whole, and so is a cell; the others
+are raked to share what is left of the budget in proportion to their targets. A stray document
+of a new language is thus drawn for sure, and changes little else.
 
 Everything is DataFrame functions. Texts are read once, for the cells and for the documents'
 places in them; the sums, one row per cell or per member of a margin, are small but may grow
@@ -18,12 +19,13 @@ Rows: a null or empty text has no tokens, and weighs one so that its cell has a
 source or lang is a member of its margin, apart from the empty string. Repeated rows all
 weigh, and those with the same id and cell draw alike; a null id draws like an empty one. An
 empty table gives no rows. Where the cells cannot meet all targets at once, the margin that
-is fitted last (the topic's) holds exactly; without repeats the limit of one copy does. Other columns do not matter; ``mix`` keeps them.
+is fitted last (the topic's) holds exactly; without repeats the limit of one copy does. Other
+columns do not matter; ``mix`` keeps them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adtally.llm.common import new_name, stored, table
@@ -41,6 +43,8 @@ TOKEN = "[^\\x20\\x09-\\x0D]+"
 TEMPER = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 DIMENSIONS = tuple(TEMPER)
 SWEEPS = 12
+#: Sweeps in one plan, and the cells up to which one task does them.
+SWEEPS_AT_ONCE, CELLS_AT_ONCE = 4, 1_000_000
 #: Tokens to be drawn, as a share of all tokens.
 BUDGET = 0.5
 SEED = 20240201
@@ -84,59 +88,63 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     raised = cells.groupBy(dimension).agg(
         F.pow(F.sum("mass").cast("double"), F.lit(power)).alias("raised")
     )
-    total = raised.agg(F.sum("raised").alias("total"))
-    return raised.crossJoin(total).select(  # of a single row
-        dimension, (F.col("raised") / F.col("total")).alias("target")
-    )
+    total = F.sum("raised").over(Window.partitionBy())  # a row per member
+    return raised.select(dimension, (F.col("raised") / total).alias("target"))
 
 
-def reachable(cells: DataFrame, targets: dict[str, DataFrame], budget: float) -> DataFrame:
-    """``budget``, or the largest share of all tokens at which no member falls short."""
-    total = cells.agg(F.sum("mass").alias("total"))
-    ratios = [
-        cells.groupBy(d)
-        .agg(F.sum("mass").alias("own"))
-        .join(targets[d], d)
-        .crossJoin(total)  # of a single row
-        .select((F.col("own") / F.col("total") / F.col("target")).alias("ratio"))
-        for d in DIMENSIONS
-    ]
-    every = ratios[0].unionAll(ratios[1]).unionAll(ratios[2])
-    return every.agg(F.least(F.lit(budget), F.min("ratio")).alias("budget"))
+def filled(cells: DataFrame, dimension: str, targets: DataFrame, budget: float) -> DataFrame:
+    """``targets`` at a budget of all tokens, where no member is due more than it has.
+
+    Members too small for their target are due their whole mass; the others share the rest of
+    the budget in proportion to their targets. In the order of mass over target, the members
+    before the one at which the others' level is highest are the small ones. One row a member.
+    """
+    total = F.sum("mass").over(Window.partitionBy())
+    own = cells.groupBy(dimension).agg(F.sum("mass").alias("mass"))
+    members = own.select(dimension, (F.col("mass") / total).alias("own")).join(targets, dimension)
+    order = Window.orderBy(F.col("own") / F.col("target"), dimension)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    given = F.coalesce(F.sum("own").over(before), F.lit(0.0))
+    wanted = F.coalesce(F.sum("target").over(before), F.lit(0.0))
+    levels = members.withColumn("level", (F.lit(budget) - given) / (F.lit(1.0) - wanted))
+    level = F.max("level").over(Window.partitionBy())
+    goal = F.least(F.col("own"), level * F.col("target")) / F.lit(budget)
+    return levels.select(dimension, goal.alias("target"))
 
 
 def rake(
     cells: DataFrame,
     targets: dict[str, DataFrame],
     sweeps: int = SWEEPS,
-    budget: DataFrame | None = None,
+    budget: float | None = None,
 ) -> DataFrame:
     """``cells`` with ``weight``, whose sums match the targets; weights sum to one.
 
-    Each sweep fits one margin after the other and is written before the next one. With a
-    ``budget``, in a single row, it ends by lowering the cells due more than their mass.
+    Each sweep fits one margin after the other, by sums over windows. Cells are few as a rule
+    and lie in one task then, where windows need no shuffle; more than ``CELLS_AT_ONCE`` are
+    shuffled by Spark. Some sweeps are one plan, after which the cells are written. With a
+    ``budget`` a sweep ends by lowering the cells due more than their mass.
     """
-    share = F.col("mass") / F.col("total")
-    cells = cells.crossJoin(cells.agg(F.sum("mass").alias("total")))  # of a single row
-    most = F.lit(float("inf"))
-    if budget is not None:
-        cells, most = cells.crossJoin(budget), share / F.col("budget")
-    cells = stored(
-        cells.select(*DIMENSIONS, "mass", share.alias("weight"), most.alias("most")), "raked"
+    count, total = cells.agg(F.count(F.lit(1)), F.sum("mass")).first()
+    share = F.col("mass") / F.lit(total or 1)
+    most = F.lit(float("inf")) if budget is None else share / F.lit(budget)
+    for d in DIMENSIONS:
+        cells = cells.join(targets[d].select(d, F.col("target").alias(f"target_{d}")), d)
+    goals = [f"target_{d}" for d in DIMENSIONS]
+    cells = cells.select(
+        *DIMENSIONS, "mass", *goals, share.alias("weight"), most.alias("most")
     )
-    for _ in range(sweeps):
-        for dimension in DIMENSIONS:
-            factors = (
-                cells.groupBy(dimension)
-                .agg(F.sum("weight").alias("reached"))
-                .join(targets[dimension], dimension)
-                .select(dimension, (F.col("target") / F.col("reached")).alias("factor"))
-            )
-            cells = cells.join(factors, dimension).select(
-                *DIMENSIONS, "mass", (F.col("weight") * F.col("factor")).alias("weight"), "most"
-            )
-        cells = stored(cells.withColumn("weight", F.least("weight", "most")), "raked")
-    return cells.drop("most")
+    for low in range(0, sweeps, SWEEPS_AT_ONCE):
+        cells = stored(cells, "raked")
+        if count <= CELLS_AT_ONCE:
+            cells = cells.coalesce(1)
+        for _ in range(low, min(sweeps, low + SWEEPS_AT_ONCE)):
+            for d in DIMENSIONS:
+                reached = F.sum("weight").over(Window.partitionBy(d))
+                cells = cells.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / reached)
+            if budget is not None:
+                cells = cells.withColumn("weight", F.least("weight", "most"))
+    return stored(cells.select(*DIMENSIONS, "mass", "weight"), "raked")
 
 
 def calibrated(
@@ -144,20 +152,17 @@ def calibrated(
 ) -> DataFrame:
     """``(source, lang, topic, expected)``: copies that a document of each cell is due.
 
-    With ``once`` they are at most one, and the budget is lowered to what the targets allow.
+    With ``once`` they are at most one: what is too small for its target is kept whole.
     """
     cells = stored(masses.groupBy(*DIMENSIONS).agg(F.sum("mass").alias("mass")), "cells")
-    targets = {d: stored(tempered(cells, d, p), f"target_{d}") for d, p in TEMPER.items()}
-    total = cells.agg(F.sum("mass").alias("total"))
+    targets = {d: tempered(cells, d, p) for d, p in TEMPER.items()}
     if once:
-        reach = stored(reachable(cells, targets, budget), "budget")
-        raked = rake(cells, targets, sweeps, reach).crossJoin(reach)
-        share = F.col("budget")
-    else:
-        raked, share = rake(cells, targets, sweeps), F.lit(budget)
-    due = share * F.col("weight") * F.col("total") / F.col("mass")
+        targets = {d: filled(cells, d, t, budget) for d, t in targets.items()}
+    raked = rake(cells, targets, sweeps, budget if once else None)
+    total = cells.agg(F.sum("mass")).first()[0] or 1
+    due = F.lit(budget) * F.col("weight") * F.lit(total) / F.col("mass")
     due = F.least(due, F.lit(1.0)) if once else due  # but for rounding it is that already
-    return stored(raked.crossJoin(total).select(*DIMENSIONS, due.alias("expected")), "due")
+    return raked.select(*DIMENSIONS, due.alias("expected"))
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -180,7 +185,8 @@ def mix(
 ) -> DataFrame:
     """``docs`` with their number of copies, under a new name if it is taken.
 
-    With ``once`` there is one copy or none, and the drawn rows have the target mix.
+    With ``once`` there is one copy or none, and the drawn rows have the target mix as far as
+    there are rows for it.
 
     The rows meet their cell's value in a join that broadcasts the cells if they are few.
     """

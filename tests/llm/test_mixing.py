@@ -3,7 +3,6 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-import corpus_pipeline
 import oracle
 from adtally.llm import mixing
 from adtally.llm.common import stored
@@ -104,31 +103,78 @@ def uneven(spark):
     )
 
 
+def members_of(frame, expected=1.0):
+    """Tokens by member of each margin, as shares of all."""
+    kept = frame.assign(kept=frame.mass * expected)
+    return {d: kept.groupby(d).kept.sum() for d in DIMENSIONS}
+
+
 def test_drawn_once_the_rows_have_the_target_mix(spark, uneven):
+    """At a budget that every target can be met with."""
     uneven = stored(uneven, "uneven")
-    drawn = corpus_pipeline.mix_sources(spark, uneven, SF_DIR)
-    assert drawn.columns == uneven.columns
-    cells = placed(uneven).select("cell.*")
+    drawn = mix(uneven, budget=0.3, once=True).where("copies > 0").select(*uneven.columns)
     got = placed(drawn).select("cell.*").toPandas()
+    cells = placed(uneven).select("cell.*")
     assert len(got) == drawn.select("doc_id").distinct().count()
+    assert got.mass.sum() == pytest.approx(0.3 * cells.toPandas().mass.sum(), rel=0.05)
     for d, power in mixing.TEMPER.items():
         want = {r[d]: r.target for r in mixing.tempered(cells, d, power).collect()}
         reached = got.groupby(d).mass.sum() / got.mass.sum()
         assert reached.to_dict() == pytest.approx(want, rel=0.05), d
 
 
-def test_once_nothing_is_due_more_than_itself(uneven):
+def test_members_too_small_for_their_target_are_kept_whole(spark, uneven):
+    masses = placed(uneven).select("cell.*")
+    cells = masses.groupBy(*DIMENSIONS).agg(F.sum("mass").alias("mass"))
+    frame = cells.toPandas()
+    for budget in (0.1, 0.5, 0.8, 1.0):
+        due = mixing.calibrated(masses, sweeps=40, budget=budget, once=True).toPandas()
+        both = frame.merge(due, on=list(DIMENSIONS))
+        assert both.expected.max() <= 1
+        kept = (both.mass * both.expected).sum()
+        assert kept == pytest.approx(budget * frame.mass.sum(), rel=0.02)
+        for d, power in mixing.TEMPER.items():
+            targets = mixing.tempered(cells, d, power)
+            goals = {r[d]: r.target for r in mixing.filled(cells, d, targets, budget).collect()}
+            assert sum(goals.values()) == pytest.approx(1)
+            own = (frame.groupby(d).mass.sum() / frame.mass.sum()).to_dict()
+            levels = {r[d]: goals[r[d]] / r.target for r in targets.collect()}
+            for m, goal in goals.items():  # whole, or at the common level
+                whole = goal * budget == pytest.approx(own[m])
+                assert whole or levels[m] == pytest.approx(max(levels.values()))
+                assert goal * budget <= own[m] * (1 + 1e-9)
+
+
+def test_a_stray_document_changes_its_cell_alone(spark, uneven):
+    uneven = stored(uneven, "uneven")
+    stray = spark.sql("SELECT 99999L doc_id, 'w x y z' text, 'xx' lang, 's0' source")
+
+    def drawn(docs):
+        out = mix(docs.select("doc_id", "text", "lang", "source"), budget=0.5, once=True)
+        return {r.doc_id for r in out.where("copies > 0").select("doc_id").collect()}
+
+    before, after = drawn(uneven), drawn(uneven.unionByName(stray))
+    assert 99999 in after
+    assert len(before ^ after) < 0.01 * len(before) and len(before) > 10_000
+
+
+def test_cells_of_many_tasks_are_raked_alike(spark, uneven, monkeypatch):
     masses = placed(uneven).select("cell.*")
-    due = mixing.calibrated(masses, budget=1.0, once=True).toPandas().set_index(list(DIMENSIONS))
-    mass = masses.groupBy(*DIMENSIONS).agg(F.sum("mass").alias("mass")).toPandas()
-    mass = mass.set_index(list(DIMENSIONS)).mass
-    kept = due.expected * mass
-    assert due.expected.max() <= 1
-    # As many tokens as the targets allow: the scarcest member is kept whole.
-    whole = [(kept.groupby(d).sum() / mass.groupby(d).sum()).max() for d in DIMENSIONS]
-    assert max(whole) == pytest.approx(1, rel=0.01)
-    few = mixing.calibrated(masses, budget=0.1, once=True).toPandas().set_index(list(DIMENSIONS))
-    assert (few.expected * mass).sum() == pytest.approx(0.1 * mass.sum(), rel=1e-3)
+    one = mixing.calibrated(masses, once=True).toPandas().set_index(list(DIMENSIONS))
+    monkeypatch.setattr(mixing, "CELLS_AT_ONCE", 1)
+    many = mixing.calibrated(masses, once=True).toPandas().set_index(list(DIMENSIONS))
+    assert many.expected.to_dict() == pytest.approx(one.expected.to_dict())
+
+
+def test_few_jobs_are_run(spark, uneven):
+    group = "mixing-jobs"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        mixing.calibrated(placed(uneven).select("cell.*"), once=True)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert 0 < len(jobs) < 40
 
 
 def test_no_python_in_the_plans(spark):
