@@ -4,8 +4,11 @@ Classifiers learn from texts confirmed as toxic and from texts of which nothing
 the share of toxic texts (the class prior) known, the risk of a classifier is estimated from
 these two alone: the unlabelled texts' risk as negatives, less the share of it that the toxic
 ones among them cause, and never below zero (where the estimate falls below zero, the step
-goes the other way). The classifiers are logistic and linear over the presence of words and
-of word beginnings, each trained on a share of the unlabelled texts, and their mean decides.
+goes the other way). The classifiers are logistic and linear over the presence of words, of
+word beginnings, and of beginnings that several of a text's words share; each is trained on a
+share of the unlabelled texts, and their mean decides. How far a feature's shares in the two
+samples are apart sets its decay: with few toxic texts no feature is certain, and those that
+chance may have made stay small, but no text is left without any.
 
 What passes through the driver is bounded: at most ``MOST_TOXIC`` toxic and
 ``MOST_UNLABELLED`` unlabelled texts (those with the smallest hash of their id), as indices
@@ -29,16 +32,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtally.llm.common import importable, stored, table
 
 MOST_TOXIC, MOST_UNLABELLED = 6_000, 12_000
 MOST_FEATURES = 6_000
-#: Texts of the sample that a feature must occur in, and the least distance between its
-#: shares, in standard errors: chance gives few features more.
-LEAST_TEXTS, LEAST_GAP = 3, 3.0
+#: Texts of the sample that a feature must occur in: one alone tells nothing of others.
+LEAST_TEXTS = 2
+#: The decay of the feature with the largest gain, and the power to which that of another one
+#: grows with the ratio of the gains.
+DECAY, GRADE = 2e-4, 1.5
 MODELS = 5
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features.
@@ -50,13 +55,18 @@ def words_of(text: str) -> set[str]:
 
 
 def features_of(words: set[str]) -> set[str]:
-    """The words, marked as whole, and their beginnings."""
-    out = {"=" + w[:40] for w in words}
-    for n in BEGINNINGS:
-        out.update(w[:n] for w in words if len(w) > n)
+    """The words, marked as whole, their beginnings, and marked, those that words share."""
+    out = {"=" + w for w in words}
+    for w in words:
+        for start in beginnings(w):
+            out.add("+" + start if start in out else start)
     return out
 
 
+def beginnings(word: str) -> list[str]:
+    return [word[:n] for n in BEGINNINGS if len(word) > n]
+
+
 class Model(NamedTuple):
     """Weights by word and by beginning, and the score without any."""
 
@@ -71,25 +81,25 @@ class Model(NamedTuple):
         share = _Shares(self.weights)
         out = []
         for text in texts:
-            margin = self.bias
             heard: set[str] = set()
             for word in words_of(text):
                 for feature in share[word]:
-                    if feature not in heard:
-                        heard.add(feature)
-                        margin += self.weights[feature]
+                    heard.add("+" + feature if feature in heard else feature)
+            found = (self.weights.get(feature, 0.0) for feature in heard)
+            margin = self.bias + math.fsum(found)  # in any order the same
             out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, margin)))))
         return out
 
 
 class _Shares(dict):
-    """The weighted features of a word, found when it is first met."""
+    """The features of a word that have a weight, shared or not; found when it is first met."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        found = tuple(f for f in features_of({word}) if f in self.weights)
+        own = ["=" + word, *beginnings(word)]
+        found = tuple(f for f in own if f in self.weights or "+" + f in self.weights)
         if len(self) < 400_000:
             self[word] = found
         return found
@@ -129,9 +139,12 @@ def train_one(
     prior: float,
     rounds: int = 300,
     rate: float = 0.05,
-    decay: float = 2e-4,
+    decay: float | np.ndarray = DECAY,
 ) -> np.ndarray:
-    """Weights, the bias last, by Adam on the non-negative risk over all rows."""
+    """Weights, the bias last, by Adam on the non-negative risk over all rows.
+
+    ``decay`` is one for all features, or one for each.
+    """
     weights = np.zeros(n_features + 1)
     weights[-1] = math.log(prior / (1 - prior))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
@@ -164,14 +177,21 @@ def train_one(
 
 
 def train(
-    toxic: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float
+    toxic: list[np.ndarray],
+    unlabelled: list[np.ndarray],
+    names: list[str],
+    prior: float,
+    gains: list[float] | None = None,
 ) -> Model:
     """The mean of ``MODELS`` classifiers, each without another share of the unlabelled."""
+    decay: float | np.ndarray = DECAY
+    if gains:
+        decay = DECAY * (max(gains) / np.maximum(gains, 1e-3)) ** GRADE
     prior = min(0.5, max(0.005, prior))
     total = np.zeros(len(names) + 1)
     for k in range(MODELS):
         rest = [r for i, r in enumerate(unlabelled) if i % MODELS != k] or unlabelled
-        total += train_one(toxic, rest, len(names), prior)
+        total += train_one(toxic, rest, len(names), prior, decay=decay)
     total /= MODELS
     kept = {n: float(w) for n, w in zip(names, total) if abs(w) > 1e-3}
     return Model(kept, float(total[-1]))
@@ -218,8 +238,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | None
     return stored(made, "words"), bad / rows
 
 
-def chosen_features(rows: DataFrame, most: int = MOST_FEATURES) -> list[str]:
-    """Features whose share among toxic texts differs most from that among the others."""
+def chosen_features(rows: DataFrame, most: int = MOST_FEATURES) -> list[tuple[str, float]]:
+    """Features that tell toxic texts most from the others, and their gains.
+
+    The gain is twice the logarithm of how much likelier the counts are with a share for each
+    sample than with one for both.
+    """
     importable(rows.sparkSession)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,12 +269,18 @@ def chosen_features(rows: DataFrame, most: int = MOST_FEATURES) -> list[str]:
         .agg(F.sum("rest").alias("rest"), F.sum("toxic").alias("toxic"))
         .where(F.col("rest") + F.col("toxic") >= LEAST_TEXTS)
     )
-    p = (F.col("toxic") + 0.5) / (n_toxic + 1)
-    q = (F.col("rest") + 0.5) / (n_rest + 1)
-    # How far the two shares are apart, in units of the error of their difference.
-    gap = F.abs(p - q) / F.sqrt(p * (1 - p) / (n_toxic + 1) + q * (1 - q) / (n_rest + 1))
-    best = counts.select("feature", F.round(gap, 6).alias("gap")).where(F.col("gap") >= LEAST_GAP)
-    return [r.feature for r in best.orderBy(F.desc("gap"), "feature").limit(most).collect()]
+
+    def likelihood(with_it: Column, n: int) -> Column:
+        def part(count: Column) -> Column:
+            return F.when(count > 0, count * F.log(count / F.lit(float(n)))).otherwise(0.0)
+
+        return part(with_it) + part(F.lit(n) - with_it)
+
+    apart = likelihood(F.col("rest"), n_rest) + likelihood(F.col("toxic"), n_toxic)
+    gain = 2 * (apart - likelihood(F.col("rest") + F.col("toxic"), n_rest + n_toxic))
+    best = counts.select("feature", F.round(gain, 6).alias("gain"))
+    found = best.orderBy(F.desc("gain"), "feature").limit(most).collect()
+    return [(r.feature, r.gain) for r in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -258,7 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if found is None:
         return None
     rows, prior = found
-    names = chosen_features(rows)
+    chosen = chosen_features(rows)
+    names, gains = [f for f, _ in chosen], [gain for _, gain in chosen]
     place = {f: i for i, f in enumerate(names)}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     toxic, rest = ([np.array(r, np.int64) for r in sorted(parts[k])] for k in (1, 0))
     if not toxic or not rest:
         return None
-    return train(toxic, rest, names, prior)
+    return train(toxic, rest, names, prior, gains)
 
 
 SCORES = "doc_id BIGINT, held_out BOOLEAN, score DOUBLE, predicted INT"

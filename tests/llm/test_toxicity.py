@@ -38,6 +38,19 @@ def test_held_out_documents(spark):
     assert not [r for r, y in rows if r.predicted and not y]
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_tables_of_all_sizes_teach(spark, scale):
+    """Held-out labels by area under the curve; on the smallest table, no constant score."""
+    folder = f"/root/testdata/{scale}"
+    got = {r.doc_id: r.score for r in QUERIES["op4_toxicity"](spark, folder).collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    held = [(got[x.doc_id], x.toxic) for x in labels if out_of_sample(x.doc_id)]
+    assert auc(*zip(*held)) > (0.9 if scale == "sf0.001" else 0.95)
+    assert len(set(got.values())) > 0.3 * len(got)
+    rejected = sum(s >= 0.5 for s, toxic in held if not toxic)
+    assert rejected <= 1
+
+
 def made(rng, n, share):
     """Rows of features 0 to 4 for toxic texts, 5 to 39 for all."""
     labels = (rng.random(n) < share).astype(int)
@@ -80,6 +93,13 @@ def test_a_negative_risk_is_stepped_back_from():
 
 def test_features():
     assert features_of({"idiots"}) == {"=idiots", "idio", "idiot"}
+    shared = features_of({"idiots", "idiom", "idi"})
+    assert shared == {"=idiots", "=idiom", "=idi", "idio", "+idio", "idiot"}
+    long = "a" * 50 + "b"
+    assert "=" + long in features_of({long}) and "=" + long[:50] not in features_of({long})
+    sharing = toxicity.Model({"idio": 1.0, "+idio": 2.0, "=idi": 4.0}, -3.0)
+    margins_of = [np.log(s / (1 - s)) for s in sharing.scores(["idiots", "idiots idiom", "idi", ""])]
+    assert margins_of == pytest.approx([-2, 0, 1, -3])
     model = train([np.array([0])], [np.array([1]), np.array([], int)], ["=bad", "=good"], 0.1)
     texts = ["bad bad BAD!", "good", "", "neither"]
     scores = model.scores(texts)
