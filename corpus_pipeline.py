@@ -13,8 +13,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Least similarity, in percent, of two texts that count as one.
 SIMILAR = 80
-#: Tokens that mixing aims at, as a share of those it gets; fewer if its targets need that.
-BUDGET = 1.0
+#: Tokens that mixing draws, as a share of those it gets.
+BUDGET = 0.5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
