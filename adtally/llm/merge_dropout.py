@@ -8,9 +8,9 @@ seed, the document and the word's place in it, so that a word has many segmentat
 run. Another seed gives another segmentation, the same seed always the same one, on any
 machine. Without dropout the ids are those of the model's own library.
 
-The draws of an occurrence tell how many candidates are merged before each skipped one. These
-numbers alone decide what a word becomes, so a table by word and numbers serves occurrences
-that happen to draw the same.
+The hash of each candidate of each occurrence tells if it is skipped, in long words and short
+ones alike. How many candidates are merged before each skipped one decides what a word becomes,
+so tables by word, and by word and these numbers, serve occurrences that skip the same.
 
 Decoding joins the pieces' bytes and gives back every text exactly: white space is kept,
 characters that the model does not know are spelled in bytes, and so is the model's own sign
@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import string
 import zlib
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,12 @@ WHOLE_WORDS = re.compile(r" *[^ \n]+|\n| +")
 CUT = "\x01"
 #: Letters and digits after which a sign may begin a word.
 BEFORE_SIGNS = "A-Za-z0-9À-ÖØ-öø-ÿ"
-#: Segmentations kept per worker, of words up to which length; emptied when it is full.
-WORD_CACHE, CACHED_CHARS = 400_000, 48
+#: Segmentations kept per worker and table, and the length up to which words are kept.
+WORD_CACHE, SHORT = 200_000, 48
 MASK = 2**64 - 1
-#: Steps between the hashes of a text's words, and of a word's draws (odd).
-NEXT_WORD, NEXT_DRAW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+#: The step between the hashes of a text's words (odd), and the factors of a candidate's hash.
+NEXT_WORD = np.uint64(0x9E3779B97F4A7C15)
+FIRST_FACTOR, SECOND_FACTOR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 class Pieces:
@@ -93,40 +95,52 @@ class Pieces:
 
     def merge(self, word: str, dropout: float, seed: int) -> list[int]:
         """The ids of one word, spaces first; a candidate's hash tells if it is skipped."""
-        key = xxhash.xxh64_intdigest(word, seed) if dropout > 0 else 0
+        return self.merge_keyed(word, dropout, xxhash.xxh64_intdigest(word, seed))
+
+    def merge_keyed(self, word: str, dropout: float, key: int) -> list[int]:
         limit = int(dropout * 2**64)
 
         def skipped(a: int, b: int, c: int) -> bool:
-            h = (key ^ (a << 42 | b << 21 | c)) * 0x9E3779B97F4A7C15 & MASK
-            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & MASK
+            h = (key ^ (a << 42 | b << 21 | c)) * FIRST_FACTOR & MASK
+            h = (h ^ h >> 32) * SECOND_FACTOR & MASK
             return h ^ h >> 32 < limit
 
         return self._merge(word, skipped if limit else None)
 
-    def merge_after(self, word: str, gaps: tuple[int, ...]) -> tuple[int, list[int]]:
+    def walk(self, word: str, gaps: tuple[int, ...]) -> tuple[list[int], list[int]]:
         """The ids if so many candidates are merged before each skipped one, all after the last.
 
-        Also tells how many are merged after the last skipped one.
+        Also tells, as numbers, the candidates that are merged after the last skipped one. The
+        agenda of a short word is a list of its neighbours' scores, whose best is looked for.
         """
-        ends = list(gaps[::-1])
-        run = 0
-
-        def skipped(a: int, b: int, c: int) -> bool:
-            nonlocal run
-            if ends and run == ends[-1]:
-                ends.pop()
-                run = 0
-                return True
+        symbols = _symbols(word)
+        get, none = self.score.get, -math.inf
+        scores = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        starts = list(range(len(symbols) + 1))
+        ends, codes, run = list(gaps[::-1]), [], 0
+        skip = ends.pop() if ends else -1
+        while scores:
+            best = max(scores)
+            if best == none:
+                break
+            i = scores.index(best)
+            if run == skip:
+                scores[i], run = none, 0
+                skip = ends.pop() if ends else -1
+                continue
             run += 1
-            return False
-
-        ids = self._merge(word, skipped)
-        return run, ids
+            if skip < 0:
+                codes.append(starts[i] << 42 | starts[i + 1] << 21 | starts[i + 2])
+            made = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], starts[i + 1], scores[i]
+            if i:
+                scores[i - 1] = get(symbols[i - 1] + made, none)
+            if i < len(scores):
+                scores[i] = get(made + symbols[i + 1], none)
+        return codes, self._ids(symbols)
 
     def _merge(self, word: str, skipped: Callable[[int, int, int], bool] | None) -> list[int]:
-        symbols = [
-            SPACE if c == " " else OWN_SIGN if c == SPACE else c for c in word
-        ]
+        symbols = _symbols(word)
         end = len(symbols)
         left = list(range(-1, end - 1))  # where the symbol before this one begins
         stop = list(range(1, end + 1))  # where this one ends, and the next begins
@@ -157,8 +171,11 @@ class Pieces:
                     found = score.get(symbols[x] + symbols[y])
                     if found is not None:
                         heapq.heappush(agenda, (-found, x, y, stop[y]))
+        return self._ids(filter(None, symbols))
+
+    def _ids(self, symbols: Iterable[str]) -> list[int]:
         out: list[int] = []
-        for symbol in filter(None, symbols):
+        for symbol in symbols:
             found = self.ids.get(symbol)
             if found is None:
                 spelled = SPACE if symbol == OWN_SIGN else symbol
@@ -173,33 +190,79 @@ class Pieces:
         return data.decode("utf-8", "replace").removeprefix(" ")
 
 
-@lru_cache
-def gap_limits(dropout: float) -> np.ndarray:
-    """What a 64-bit draw lies below if 1, 2, … candidates or more are merged; ascending.
+def _symbols(word: str) -> list[str]:
+    symbols = list(word.replace(" ", SPACE))
+    if SPACE in word:
+        symbols = [OWN_SIGN if c == SPACE else s for c, s in zip(word, symbols)]
+    return symbols
+
 
-    As many as a word of the table has merges; products of floats are alike everywhere.
+def skips(keys: np.ndarray, codes: np.ndarray, limit: int) -> np.ndarray:
+    """Which candidates their hashes skip: that of ``merge_keyed``, over arrays."""
+    h = (keys ^ codes) * np.uint64(FIRST_FACTOR)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(SECOND_FACTOR)
+    if limit > MASK:
+        return np.ones(len(h), bool)
+    return h ^ h >> np.uint64(32) < np.uint64(limit)
+
+
+class Segmentations:
+    """Numbered segmentations of words: their ids, and the candidates merged on the way.
+
+    A key is a word that skips none, or a word and its numbers of merges before each skipped
+    candidate; the candidates are those after the last skipped one.
     """
-    limits, chance = [], 1.0
-    for _ in range(CACHED_CHARS):
-        chance *= 1 - dropout
-        limits.append(min(MASK, int(chance * 2**64)))
-    return np.array(limits[::-1], np.uint64)
+
+    def __init__(self):
+        self.number: dict[str | tuple, int] = {}
+        self.ids: list[bytes] = []
+        self.counts, self.starts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.codes, self.held = np.zeros(8192, np.uint64), 0
+
+    def add(self, key: str | tuple, codes, ids: bytes) -> int:
+        k, end = len(self.ids), self.held + len(codes)
+        if k == len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(k, np.int64)])
+            self.starts = np.concatenate([self.starts, np.zeros(k, np.int64)])
+        if end > len(self.codes):
+            more = np.zeros(max(len(self.codes), len(codes)), np.uint64)
+            self.codes = np.concatenate([self.codes, more])
+        self.codes[self.held : end] = codes
+        self.counts[k], self.starts[k], self.held = len(codes), self.held, end
+        self.ids.append(ids)
+        self.number[key] = k
+        return k
+
+    def candidates(self, k: int) -> np.ndarray:
+        return self.codes[self.starts[k] : self.starts[k] + self.counts[k]]
 
 
 class Encoder:
-    """Encodes texts under one seed; most segmentations recur and come from a bounded table.
+    """Encodes texts under one seed; most segmentations recur and come from bounded tables.
 
-    The table has, by a word and its numbers of merges before each skipped candidate, how
-    many merges follow and the ids; a word that skips none stands for itself.
+    There is one for words and one for their ways; when one is full it becomes the former one,
+    from which what is met again moves on.
     """
 
     def __init__(self, model_path: str, dropout: float, seed: int):
         self.pieces, self.dropout, self.seed = Pieces(model_path), dropout, seed
-        self.known: dict[str | tuple, tuple[int, bytes]] = {}
-
-    def _cut(self, word: str, gaps: tuple[int, ...] = ()) -> tuple[int, bytes]:
-        merges, ids = self.pieces.merge_after(word, gaps)
-        return merges, np.array(ids, "<i4").tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ways = Segmentations(), Segmentations()
+        self.old_words, self.old_ways = Segmentations(), Segmentations()
+
+    def _learn(self, now: Segmentations, old: Segmentations, key: str | tuple) -> int:
+        k = old.number.get(key)
+        if k is not None:
+            return now.add(key, old.candidates(k), old.ids[k])
+        word, gaps = (key, ()) if type(key) is str else (key[0], key[1:])
+        if len(word) <= SHORT:
+            codes, ids = self.pieces.walk(word, gaps)
+            return now.add(key, codes, array("i", ids).tobytes())
+        # A long word has no candidates here; if any may be skipped, it is merged on its own.
+        ids = [] if self.dropout > 0 else self.pieces.merge_keyed(word, 0.0, 0)
+        return now.add(key, (), array("i", ids).tobytes())
 
     def _words(self, text: str) -> list[str]:
         if CUT in text:
@@ -212,56 +275,61 @@ class Encoder:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        words, known = self._words(text), self.known
-        try:
-            cuts = [known[w] for w in words]
-        except KeyError:
-            if len(known) > WORD_CACHE:
-                known.clear()
-            own = {}
+        if len(self.words.ids) > WORD_CACHE:
+            self.words, self.old_words = Segmentations(), self.words
+        if len(self.ways.ids) > WORD_CACHE:
+            self.ways, self.old_ways = Segmentations(), self.ways
+        words, known = self._words(text), self.words.number
+        numbers = list(map(known.get, words))
+        if None in numbers:
             for word in set(words).difference(known):
-                # A long word has no merges here, so that no draw is below them.
-                if len(word) <= CACHED_CHARS:
-                    known[word] = self._cut(word)
-                elif self.dropout > 0:
-                    own[word] = -1, b""
-                else:
-                    own[word] = 0, self._cut(word)[1]
-            cuts = [known[w] if w in known else own[w] for w in words]
-        out = [ids for _, ids in cuts]
+                self._learn(self.words, self.old_words, word)
+            numbers = list(map(known.__getitem__, words))
+        out = list(map(self.words.ids.__getitem__, numbers))
         if self.dropout > 0:
-            self._skip(text, doc_id, words, [merges for merges, _ in cuts], out)
+            self._skip(text, doc_id, words, np.array(numbers), out)
         return b"".join(out)
 
-    def _skip(self, text: str, doc_id, words: list[str], merges: list[int], out: list) -> None:
-        """Puts the segmentations into ``out`` of all words that skip some candidate."""
+    def _skip(self, text: str, doc_id, words: list[str], numbers: np.ndarray, out: list) -> None:
+        """Puts the segmentations into ``out`` of all words that skip some candidate.
+
+        Every candidate of every occurrence is hashed. An occurrence's first one that is skipped
+        leads to another way, whose further candidates are hashed in the next round.
+        """
         key = self.seed & MASK
         if doc_id is not None:
             key = xxhash.xxh64_intdigest(str(doc_id), key)
         key = np.uint64(xxhash.xxh64_intdigest(text, key))
         keys = mixed(key + NEXT_WORD * np.arange(1, len(words) + 1, dtype=np.uint64))
-        left = np.array(merges)
-        for i in np.flatnonzero(left < 0).tolist():
-            cut = self.pieces.merge(words[i], self.dropout, int(keys[i]))
-            out[i] = np.array(cut, "<i4").tobytes()
-        limits, known = gap_limits(self.dropout), self.known
-        at, paths = np.arange(len(words)), words
-        while True:
-            gaps = len(limits) - np.searchsorted(limits, keys, side="right")
-            some = np.flatnonzero(gaps < left)
-            if not len(some):
-                return
-            left, further = np.zeros(len(some), np.int64), []
-            at, keys = at[some], mixed(keys[some] + NEXT_DRAW)
-            for k, (i, j, gap) in enumerate(zip(at.tolist(), some.tolist(), gaps[some].tolist())):
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                made = self.pieces.merge_keyed(word, self.dropout, int(keys[i]))
+                out[i] = array("i", made).tobytes()
+        limit = int(self.dropout * 2**64)
+        held, at, paths = self.words, np.arange(len(words)), words
+        while len(at):
+            counts = held.counts[numbers]
+            before = np.cumsum(counts) - counts
+            owner = np.repeat(np.arange(len(at)), counts)
+            places = np.arange(len(owner)) + np.repeat(held.starts[numbers] - before, counts)
+            hit = np.flatnonzero(skips(keys[owner], held.codes[places], limit))
+            own = owner[hit]
+            first = np.ones(len(own), bool)
+            first[1:] = own[1:] != own[:-1]
+            some, hit = own[first], hit[first]
+            at, keys, further, numbers = at[some], keys[some], [], []
+            known, ids = self.ways.number, self.ways.ids
+            gaps = (hit - before[some]).tolist()
+            for i, j, gap in zip(at.tolist(), some.tolist(), gaps):
                 path = paths[j]
                 path = (path, gap) if type(path) is str else (*path, gap)
-                found = known.get(path)
-                if found is None:
-                    found = known[path] = self._cut(path[0], path[1:])
-                left[k], out[i] = found
+                k = known.get(path)
+                if k is None:
+                    k = self._learn(self.ways, self.old_ways, path)
+                numbers.append(k)
+                out[i] = ids[k]
                 further.append(path)
-            paths = further
+            held, paths, numbers = self.ways, further, np.array(numbers, np.int64)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -281,8 +349,9 @@ def encode_documents(
 ) -> DataFrame:
     """``docs`` with their ids as an array column, named anew if the name is taken.
 
-    Documents are told apart by text and, if there is such a column, doc_id. A map over the rows, without a shuffle. ``seed`` is that of a pass over the data: the
-    next pass takes another one to see other segmentations.
+    Documents are told apart by text and, if there is such a column, doc_id. A map over the
+    rows, without a shuffle. ``seed`` is that of a pass over the data: the next pass takes
+    another one to see other segmentations.
     """
     importable(docs.sparkSession)
     field = StructField(new_name(docs.columns, into), ArrayType(IntegerType()))

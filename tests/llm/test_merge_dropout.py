@@ -21,7 +21,8 @@ PIECES = Pieces(model_path())
 
 def ids(text, dropout=DROPOUT, seed=SEED):
     made = Encoder.__new__(Encoder)
-    made.pieces, made.dropout, made.seed, made.known = PIECES, dropout, seed, {}
+    made.pieces, made.dropout, made.seed = PIECES, dropout, seed
+    made.forget()
     return np.frombuffer(made(text), "<i4").tolist()
 
 
@@ -124,24 +125,43 @@ def test_long_words_vary_by_place():
 @settings(max_examples=300, deadline=None)
 def test_gaps_as_the_plain_agenda(word, seed):
     """The numbers of merges before each skipped candidate give the agenda's own result."""
-    gaps, run = [], [0]
+    gaps, run = [], []
 
     def skipped(a, b, c, rng=np.random.default_rng(seed)):
         if rng.random() < 0.3:
-            gaps.append(run.pop())
-            run.append(0)
+            gaps.append(len(run))
+            run.clear()
             return True
-        run[0] += 1
+        run.append(a << 42 | b << 21 | c)
         return False
 
     want = PIECES._merge(word, skipped)
-    assert PIECES.merge_after(word, tuple(gaps)) == (run[0], want)
+    assert PIECES.walk(word, tuple(gaps)) == (run, want)
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
+def test_tables_give_what_hashing_each_candidate_gives(spark, monkeypatch, dropout):
+    """Every occurrence merged on its own, long and short words alike."""
+    monkeypatch.setattr(merge_dropout, "WORD_CACHE", 300)
+    encode = Encoder(model_path(), dropout, 7)
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").limit(20).collect()
+    long = "internationalunderstanding" * 4
+    for text in [*(r.text for r in rows), f"{long} a ▁b {long} \n c", "é" * 60]:
+        import xxhash
+
+        key = np.uint64(xxhash.xxh64_intdigest(text, 7))
+        words = encode._words(text)
+        steps = np.arange(1, len(words) + 1, dtype=np.uint64)
+        keys = merge_dropout.mixed(key + merge_dropout.NEXT_WORD * steps).tolist()
+        want = [i for w, k in zip(words, keys) for i in PIECES.merge_keyed(w, dropout, k)]
+        assert np.frombuffer(encode(text), "<i4").tolist() == want
 
 
 def test_candidates_are_skipped_at_the_rate():
     """Whole words are as frequent as no skip in all merges, first merges as one kept."""
     n, word = 20_000, "▁understanding"
-    merges, whole = PIECES.merge_after(" understanding", ())
+    codes, whole = PIECES.walk(" understanding", ())
+    merges = len(codes)
     assert len(whole) == 1 and merges == len(word) - 1
     made = ids(" ".join(["understanding"] * n), 0.1)
     assert made.count(whole[0]) / n >= 0.9**merges * 0.95
@@ -175,9 +195,10 @@ def test_empty_table(spark, documents, saved):  # noqa: F811
     assert QUERIES["op3_merge_dropout"](spark, folder).collect() == []
 
 
-def test_the_word_table_is_bounded(monkeypatch):
+def test_the_tables_are_bounded(monkeypatch):
     monkeypatch.setattr(merge_dropout, "WORD_CACHE", 5)
-    encode = Encoder(model_path(), 0.0, 0)
+    encode = Encoder(model_path(), 0.5, 0)
     for i in range(30):
-        encode(f"w{i} v{i}")
-    assert len(encode.known) < 10
+        text = f"word{i} vowel{i} word"
+        assert PIECES.decode(np.frombuffer(encode(text), "<i4").tolist()) == text
+        assert len(encode.words.ids) < 10 and len(encode.ways.ids) < 30
