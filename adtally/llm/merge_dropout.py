@@ -53,7 +53,7 @@ CUT = "\x01"
 #: Letters and digits after which a sign may begin a word.
 BEFORE_SIGNS = "A-Za-z0-9À-ÖØ-öø-ÿ"
 #: Segmentations kept per worker and table, and the length up to which words are kept.
-WORD_CACHE, SHORT = 200_000, 48
+WORD_CACHE, SHORT = 100_000, 48
 MASK = 2**64 - 1
 #: The step between the hashes of a text's words (odd), and the factors of a candidate's hash.
 NEXT_WORD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +99,8 @@ class Pieces:
 
     def merge_keyed(self, word: str, dropout: float, key: int) -> list[int]:
         limit = int(dropout * 2**64)
+        if len(word) <= SHORT:
+            return self.walk(word, (), key, limit)[1]
 
         def skipped(a: int, b: int, c: int) -> bool:
             h = (key ^ (a << 42 | b << 21 | c)) * FIRST_FACTOR & MASK
@@ -107,11 +109,14 @@ class Pieces:
 
         return self._merge(word, skipped if limit else None)
 
-    def walk(self, word: str, gaps: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    def walk(
+        self, word: str, gaps: tuple[int, ...], key: int = 0, limit: int = 0
+    ) -> tuple[list[int], list[int]]:
         """The ids if so many candidates are merged before each skipped one, all after the last.
 
-        Also tells, as numbers, the candidates that are merged after the last skipped one. The
-        agenda of a short word is a list of its neighbours' scores, whose best is looked for.
+        Also tells, as numbers, the candidates that are merged after the last skipped one. With
+        a ``limit``, their hashes under ``key`` tell which ones are skipped. The agenda of a
+        short word is a list of its neighbours' scores, whose best is looked for.
         """
         symbols = _symbols(word)
         get, none = self.score.get, -math.inf
@@ -130,7 +135,14 @@ class Pieces:
                 continue
             run += 1
             if skip < 0:
-                codes.append(starts[i] << 42 | starts[i + 1] << 21 | starts[i + 2])
+                code = starts[i] << 42 | starts[i + 1] << 21 | starts[i + 2]
+                if limit:
+                    h = (key ^ code) * FIRST_FACTOR & MASK
+                    h = (h ^ h >> 32) * SECOND_FACTOR & MASK
+                    if h ^ h >> 32 < limit:
+                        scores[i] = none
+                        continue
+                codes.append(code)
             made = symbols[i] = symbols[i] + symbols[i + 1]
             del symbols[i + 1], starts[i + 1], scores[i]
             if i:
@@ -206,6 +218,10 @@ def skips(keys: np.ndarray, codes: np.ndarray, limit: int) -> np.ndarray:
     return h ^ h >> np.uint64(32) < np.uint64(limit)
 
 
+#: The number of what is in no table.
+ALONE = 0
+
+
 class Segmentations:
     """Numbered segmentations of words: their ids, and the candidates merged on the way.
 
@@ -218,6 +234,7 @@ class Segmentations:
         self.ids: list[bytes] = []
         self.counts, self.starts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.codes, self.held = np.zeros(8192, np.uint64), 0
+        self.add("", (), b"")  # ALONE
 
     def add(self, key: str | tuple, codes, ids: bytes) -> int:
         k, end = len(self.ids), self.held + len(codes)
@@ -241,7 +258,8 @@ class Encoder:
     """Encodes texts under one seed; most segmentations recur and come from bounded tables.
 
     There is one for words and one for their ways; when one is full it becomes the former one,
-    from which what is met again moves on.
+    from which what is met again moves on. What is met for the first time is merged on its own,
+    with the same hashes and thus the same result, and goes to a table at the second time.
     """
 
     def __init__(self, model_path: str, dropout: float, seed: int):
@@ -251,18 +269,23 @@ class Encoder:
     def forget(self) -> None:
         self.words, self.ways = Segmentations(), Segmentations()
         self.old_words, self.old_ways = Segmentations(), Segmentations()
+        self.met: set[int] = set()  # hashes of what was met once
 
     def _learn(self, now: Segmentations, old: Segmentations, key: str | tuple) -> int:
+        """The key's number in a table, or ``ALONE`` if it is to be merged on its own."""
         k = old.number.get(key)
         if k is not None:
             return now.add(key, old.candidates(k), old.ids[k])
         word, gaps = (key, ()) if type(key) is str else (key[0], key[1:])
-        if len(word) <= SHORT:
-            codes, ids = self.pieces.walk(word, gaps)
-            return now.add(key, codes, array("i", ids).tobytes())
-        # A long word has no candidates here; if any may be skipped, it is merged on its own.
-        ids = [] if self.dropout > 0 else self.pieces.merge_keyed(word, 0.0, 0)
-        return now.add(key, (), array("i", ids).tobytes())
+        if self.dropout > 0:
+            if len(word) > SHORT:
+                return ALONE
+            mark = hash(key)
+            if mark not in self.met:
+                self.met.add(mark)
+                return ALONE
+        codes, ids = self.pieces.walk(word, gaps)
+        return now.add(key, codes, array("i", ids).tobytes())
 
     def _words(self, text: str) -> list[str]:
         if CUT in text:
@@ -279,12 +302,16 @@ class Encoder:
             self.words, self.old_words = Segmentations(), self.words
         if len(self.ways.ids) > WORD_CACHE:
             self.ways, self.old_ways = Segmentations(), self.ways
+        if len(self.met) > 4 * WORD_CACHE:
+            self.met.clear()
         words, known = self._words(text), self.words.number
         numbers = list(map(known.get, words))
         if None in numbers:
-            for word in set(words).difference(known):
-                self._learn(self.words, self.old_words, word)
-            numbers = list(map(known.__getitem__, words))
+            late = {
+                word: self._learn(self.words, self.old_words, word)
+                for word in set(words).difference(known)
+            }
+            numbers = [late[w] if k is None else k for w, k in zip(words, numbers)]
         out = list(map(self.words.ids.__getitem__, numbers))
         if self.dropout > 0:
             self._skip(text, doc_id, words, np.array(numbers), out)
@@ -301,10 +328,9 @@ class Encoder:
             key = xxhash.xxh64_intdigest(str(doc_id), key)
         key = np.uint64(xxhash.xxh64_intdigest(text, key))
         keys = mixed(key + NEXT_WORD * np.arange(1, len(words) + 1, dtype=np.uint64))
-        for i, word in enumerate(words):
-            if len(word) > SHORT:
-                made = self.pieces.merge_keyed(word, self.dropout, int(keys[i]))
-                out[i] = array("i", made).tobytes()
+        alone = self.pieces.merge_keyed
+        for i in np.flatnonzero(numbers == ALONE).tolist():
+            out[i] = array("i", alone(words[i], self.dropout, int(keys[i]))).tobytes()
         limit = int(self.dropout * 2**64)
         held, at, paths = self.words, np.arange(len(words)), words
         while len(at):
@@ -320,14 +346,17 @@ class Encoder:
             at, keys, further, numbers = at[some], keys[some], [], []
             known, ids = self.ways.number, self.ways.ids
             gaps = (hit - before[some]).tolist()
-            for i, j, gap in zip(at.tolist(), some.tolist(), gaps):
+            for i, j, gap, own_key in zip(at.tolist(), some.tolist(), gaps, keys.tolist()):
                 path = paths[j]
                 path = (path, gap) if type(path) is str else (*path, gap)
                 k = known.get(path)
                 if k is None:
                     k = self._learn(self.ways, self.old_ways, path)
                 numbers.append(k)
-                out[i] = ids[k]
+                if k == ALONE:
+                    out[i] = array("i", alone(path[0], self.dropout, own_key)).tobytes()
+                else:
+                    out[i] = ids[k]
                 further.append(path)
             held, paths, numbers = self.ways, further, np.array(numbers, np.int64)
 
