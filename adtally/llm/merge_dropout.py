@@ -404,6 +404,7 @@ def encode_documents(
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, made], names=[*batch.schema.names, field.name]
                 )
+        encode.forget()  # the worker goes on to other work
 
     return docs.mapInArrow(run, schema)
 
