@@ -12,11 +12,14 @@ first and the last kept suffix of a passage reach its ends, and those in between
 other, so the union of what all suffixes mark is the passage, however long it is.
 
 In a k-gram that many texts hold, nearer neighbours may hide a partner. So the windows of
-``LEAST`` words whose minimiser is a shared k-gram also meet by a 64-bit hash of all their
-words: texts that share ``LEAST`` words share a window, whatever else stands around it.
+``LEAST`` words whose minimiser is a shared k-gram also meet by 128 bits made of the hashes
+of the k-grams that cover them: texts that share ``LEAST`` words share a window, whatever
+else stands around it. For other words to pass, they must agree with all but one of these
+k-grams and collide in its 64 bits.
 
 Sorting is a range shuffle, which also splits a k-gram that very many texts hold; what meets
-at the border of two tasks is compared afterwards, from the border rows alone.
+at the borders of tasks is compared afterwards, from the border rows alone, in one task for
+each k-gram.
 
 Rows: words are bytes between ASCII white space, A-Z lower-cased. Texts that are equal as
 wholes are taken as one and as passages of each other, if they have ``LEAST`` words. Null,
@@ -142,7 +145,7 @@ def with_sides(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text", "suffixes").mapInArrow(run, SUFFIX)
 
 
-WINDOWS = "key BIGINT, node BIGINT, low INT"
+WINDOWS = "key BIGINT, check BIGINT, node BIGINT, low INT"
 
 
 def windows(texts: DataFrame) -> DataFrame:
@@ -153,19 +156,21 @@ def windows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
-                keys, nodes, lows = [], [], []
+                keys, checks, nodes, lows = [], [], [], []
                 for node, text, suffixes in zip(*(c.to_pylist() for c in part.columns)):
                     at, grams = minimisers(word_hashes(text.lower().split()))
                     own = np.flatnonzero(np.isin(at, [s["place"] for s in suffixes]))
-                    key = grams[own] * WEIGHTS[0]
+                    key, check = grams[own] * WEIGHTS[0], grams[own] * WEIGHTS[3]
                     for k, ahead in enumerate((GRAM, LEAST - GRAM), 1):  # they overlap
                         key += grams[own + ahead] * WEIGHTS[k]
+                        check += grams[own + ahead] * WEIGHTS[3 + k]
                     keys.append(mixed(key).view(np.int64))
+                    checks.append(mixed(check).view(np.int64))
                     nodes.append(np.full(len(own), node, np.int64))
                     lows.append(own.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (keys, nodes, lows)],
-                    names=["key", "node", "low"],
+                    [pa.array(np.concatenate(c)) for c in (keys, checks, nodes, lows)],
+                    names=["key", "check", "node", "low"],
                 )
 
     return texts.select("node", "text", "suffixes").mapInArrow(run, WINDOWS)
@@ -175,12 +180,12 @@ def window_marks(texts: DataFrame) -> DataFrame:
     """Marks of all windows that another text holds too."""
     found = stored(windows(texts), "windows")
     shared = (
-        found.groupBy("key")
+        found.groupBy("key", "check")
         .agg(F.min("node").alias("least"), F.max("node").alias("most"))
         .where("least < most")
     )
     other = F.when(F.col("node") == F.col("least"), F.col("most")).otherwise(F.col("least"))
-    met = found.join(stored(shared, "shared"), "key").select(
+    met = found.join(stored(shared, "shared"), ["key", "check"]).select(
         "node", "low", (F.col("low") + LEAST).alias("high"), other.alias("partner")
     )
     return stored(met, "met")
@@ -280,10 +285,10 @@ def marks(suffixes: DataFrame) -> DataFrame:
         order = [*order, "node", "place"]
         ranged = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
         made = stored(neighbours(ranged, borders=True), "marks")
-        # The rows of four texts for each task.
+        # The rows of four texts for each task; neighbours have the same k-gram.
         edges = made.where("border IS NOT NULL").withColumnRenamed("low", "place")
-        edges = edges.dropDuplicates(["gram", "node", "place"])
-        met = neighbours(edges.coalesce(1).sortWithinPartitions(*order), borders=False)
+        edges = edges.dropDuplicates(["gram", "node", "place"]).repartition(n, "gram")
+        met = neighbours(edges.sortWithinPartitions(*order), borders=False)
         found += [made.where("border IS NULL"), met]
     whole = found[0]
     for more in found[1:]:

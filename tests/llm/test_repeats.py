@@ -73,6 +73,27 @@ def test_many_altered_copies(spark, documents):  # noqa: F811
     assert covered(repeated_passages(documents(*rows))) == brute(rows)
 
 
+def test_borders_of_many_ranges_hide_nothing(spark, documents, conf):  # noqa: F811
+    """One k-gram held by all texts, and by one of them thousands of times."""
+    rng = np.random.default_rng(21)
+    rows = [(0, " ".join(["same"] * 3_000))]
+    for i in range(1, 60):
+        rows.append((i, " ".join(text(rng, 30) + ["same"] * int(rng.integers(30, 90)) + text(rng, 30))))
+    conf(spark__sql__shuffle__partitions=37)
+    assert covered(repeated_passages(documents(*rows))) == brute(rows)
+    fold = "node BIGINT, text BINARY, suffixes ARRAY<STRUCT<place: INT, gram: BIGINT>>"
+    made = []
+    for node, own in rows:
+        at, grams = anchors(repeats.word_hashes(own.encode().split()))
+        made.append((node, own.encode(), list(zip(at.tolist(), grams.view(np.int64).tolist()))))
+    sides = repeats.with_sides(spark.createDataFrame(made, fold))
+    found = []
+    for n in (1, 37):
+        conf(spark__sql__shuffle__partitions=n)
+        found.append({(r.node, r.low, r.high) for r in repeats.marks(sides).collect()})
+    assert found[0] <= found[1]
+
+
 def test_partners_hold_the_passage(spark, documents):  # noqa: F811
     rng = np.random.default_rng(8)
     passage = text(rng, 80)
