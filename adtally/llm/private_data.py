@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -44,9 +45,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
 WORD = re.compile(r"\S+")
 CONTEXT = 2
-#: Characters in which the words before a digit are looked for.
-LOOK_BACK = 80
 TRAIN_DOCS, TRAIN_CHAINS = 2_000, 6_000
+#: Words of a training chain; longer ones are several chains.
+TRAIN_WORDS = 400
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 BARRED = -1e9
 
@@ -95,23 +96,28 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def words_before(text: str, low: int, high: int, count: int) -> list[tuple[int, int]]:
+    """The last ``count`` words (start, end) of ``text[low:high]``, in order."""
+    size = 64
+    while True:
+        start = max(low, high - size)
+        words = [(w.start(), w.end()) for w in WORD.finditer(text, start, high)]
+        if start == low or len(words) > count:  # the first one may be cut
+            return words[-count:]
+        size *= 4
+
+
 def chains(text: str) -> list[list[tuple[int, int]]]:
     """Runs of words (start, end) around digits and ``@``, in order, without overlap."""
     out: list[list[tuple[int, int]]] = []
     done = 0  # the end of the last word taken
     m = TRIGGER.search(text)
     while m:
-        at, low = m.start(), max(done, m.start() - LOOK_BACK)
-        before = [(w.start(), w.end()) for w in WORD.finditer(text, low, at)]
+        at = m.start()
+        before = words_before(text, done, at, CONTEXT + 1)
         begin = at
         if before and before[-1][1] == at:
             begin = before.pop()[0]
-            if begin == low and low > done:  # a long word: walk to where it begins
-                head = text[done:at]
-                begin = done + max((head.rfind(c) + 1 for c in " \n\t\r"), default=0)
-                before = []
-            elif before and before[0][0] == low and low > done:
-                before.pop(0)
         end = WORD.match(text, begin).end()
         lead = before[-CONTEXT:]
         if out and lead and lead[0][0] - done <= 1 or out and not lead and begin - done <= 1:
@@ -141,21 +147,20 @@ SHAPES = (
 
 def shape(word: str) -> str:
     """Letters as X or x, runs of up to five digits as nines, signs as they are."""
-    word = word[:40]
     for pattern, put in SHAPES:
         word = pattern.sub(put, word)
     return word
 
 
 def word_features(word: str) -> list[str]:
-    digits = "".join(c for c in word[:64] if c in "0123456789")
+    digits = "".join(c for c in word if c in "0123456789")
     own = shape(word)
     return [
         "s:" + own,
         "c:" + re.sub("9+", "9", own).strip(".,;:!?"),
         f"d:{min(len(digits), 20)}",
         "first:" + own[:1],
-        f"at:{'@' in word}{word.count('.') if len(word) < 64 else 9}",
+        f"at:{'@' in word}{min(word.count('.'), 9)}",
         f"luhn:{14 <= len(digits) <= 19 and luhn(digits)}",
     ]
 
@@ -404,13 +409,15 @@ def labelled_chains(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
                 spans = base_spans(text)
                 for run in chains(text):
                     own = chain_labels(run, spans)
-                    words.append([text[a:b] for a, b in run][:400])
-                    labels.append(own[:400])
+                    for k in range(0, len(run), TRAIN_WORDS):
+                        words.append([text[a:b] for a, b in run[k : k + TRAIN_WORDS]])
+                        labels.append(own[k : k + TRAIN_WORDS])
                 for span in spans:
                     other = respelled(span.kind, text[span.start : span.end])
                     if other:
-                        lead = [w for w in text[max(0, span.start - 40) : span.start].split()][-2:]
-                        tail = [w for w in text[span.end : span.end + 40].split()][:2]
+                        before = words_before(text, 0, span.start, CONTEXT)
+                        lead = [text[a:b] for a, b in before]
+                        tail = [w[0] for w in islice(WORD.finditer(text, span.end), CONTEXT)]
                         calm = [w for w in lead + tail if not TRIGGER.search(w)]
                         k = sum(w in calm for w in lead)
                         parts = other.split()

@@ -101,6 +101,22 @@ def test_training_follows_the_gradient_of_the_likelihood():
     assert made == labels[:2]
 
 
+def test_context_is_found_at_any_distance():
+    long = "y" * 300
+    for text in (f"{long} a{' ' * 500}12 b", f"{'z ' * 90}{long} a {long}12 b", f"{long}@x"):
+        (run,) = chains(text)
+        words = text.split()
+        at = next(i for i, w in enumerate(words) if "12" in w or "@" in w)
+        assert [text[a:b] for a, b in run] == words[max(0, at - 2) : at + 3]
+
+
+def test_long_words_are_described_whole():
+    word = "a" * 100 + "7" * 15
+    assert pd_.shape(word) == "x99999"
+    assert "d:15" in pd_.word_features(word)
+    assert pd_.word_features("." * 100 + "@")[4] == "at:True9"
+
+
 def test_an_inside_label_never_starts_a_span():
     moves = allowed()
     emissions = np.zeros((2, len(LABELS)))
