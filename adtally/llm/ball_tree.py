@@ -6,6 +6,10 @@ came from; the kth scores found there, and every better one met on the way, boun
 in the other shards: a node is opened only if its centre and radius allow a score that is
 not below the query's current kth.
 
+Blocks meet shards in tiles: a task holds the trees of a run of shards and lets many blocks
+pass by. A tree is thus sent once for every ``TILE_QUERIES`` queries, not once a block, and
+a block, the smaller of the two by far, once a run of shards.
+
 Rows: a vector takes no part if it is null, holds a null or a component that is not finite,
 or has no vec_id. An empty vector has score 0 with its like. Only vectors of equal length
 meet. Repeated rows are rows of their own: each is a query and a candidate, and a query's own
@@ -30,8 +34,12 @@ from adtally.llm.common import importable, stored, table
 
 SHARD_ROWS = 8_192
 LEAF_ROWS = 48
-#: Shards that one task takes a block of queries through, handing on its kth scores.
-SHARDS_AT_ONCE = 16
+#: Shards that one task holds and takes a block of queries through, handing on its kth scores;
+#: fewer as long as there are not this many runs of them.
+SHARDS_AT_ONCE, LEAST_RUNS = 16, 32
+#: Queries, in blocks, that pass by the trees of one task, and components of vectors that it
+#: holds, so that runs of long vectors are shorter.
+TILE_QUERIES, HELD_VALUES = 16_384, 2**24
 SCALE = 256.0
 LONG = 2**63 - 1
 
@@ -189,17 +197,13 @@ FOUND = (
 )
 
 
-def search(trees: DataFrame, divisor: int, k: int) -> DataFrame:
-    """The ``k`` best per query and run of shards, for queries whose vec_id ``divisor`` divides.
-
-    What a query found in its own shard goes with it to every run, and comes out once.
-    """
-    spark = trees.sparkSession
-    trees = stored(trees, "shards")
+def home_blocks(trees: DataFrame, divisor: int, k: int) -> DataFrame:
+    """``(block, dim, n, queries)``: each shard's own queries with what they find in it."""
 
     def queries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, dim, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in range(batch.num_rows):
+                number, dim, data = (c[row].as_py() for c in batch.columns)
                 home = unpacked(data)
                 at = np.flatnonzero(home["ids"] % divisor == 0)
                 if not len(at):
@@ -213,36 +217,72 @@ def search(trees: DataFrame, divisor: int, k: int) -> DataFrame:
                     vectors=queries,
                     seeds=np.array(seeds, np.int64).reshape(-1, 5),
                 )
-                ints = [pa.array([x], pa.int32()) for x in (number, dim)]
+                ints = [pa.array([x], pa.int32()) for x in (number, dim, len(at))]
                 yield pa.RecordBatch.from_arrays(
-                    [*ints, pa.array([block])], names=["block", "dim", "queries"]
+                    [*ints, pa.array([block])], names=["block", "dim", "n", "queries"]
                 )
 
-    blocks = stored(
-        trees.repartition(max(1, trees.count()), "shard").mapInArrow(
-            queries_of, "block INT, dim INT, queries BINARY"
-        ),
-        "blocks",
+    return trees.select("shard", "dim", "data").mapInArrow(
+        queries_of, "block INT, dim INT, n INT, queries BINARY"
+    )
+
+
+def tiles(trees: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(dim, run, slice, number, queries, data)``: trees and blocks, each in all its tiles.
+
+    Runs and slices are told by numbers and counts, one row per shard.
+    """
+    before = Window.partitionBy("dim").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    slice_no = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / TILE_QUERIES).cast("int")
+    sliced = blocks.select("dim", "block", slice_no.alias("slice"))
+    shards_of = trees.groupBy("dim").agg(F.count(F.lit(1)).alias("shards"))
+    fitting = F.lit(HELD_VALUES // SHARD_ROWS) / F.greatest(F.col("dim"), F.lit(1))
+    per_run = F.least(F.lit(SHARDS_AT_ONCE), F.ceil(F.col("shards") / LEAST_RUNS), fitting)
+    per_run = F.greatest(F.floor(per_run), F.lit(1)).cast("int")
+    runs_of = shards_of.select("dim", per_run.alias("per_run"), F.expr("shards - 1").alias("top"))
+    slices_of = sliced.groupBy("dim").agg(F.max("slice").alias("top"))
+
+    run = F.floor(F.col("shard") / F.col("per_run")).cast("int")
+    places = trees.select("dim", "shard").join(runs_of, "dim").join(
+        slices_of.withColumnRenamed("top", "last"), "dim"
     )
-    sizes = trees.groupBy("dim").agg(F.count(F.lit(1)).alias("shards"))
-    # Each block goes to all shards by their number, a bounded run of shards per task.
-    meets = (
-        blocks.join(sizes, "dim")
-        .withColumn("shard", F.explode(F.expr("sequence(0, cast(shards AS INT) - 1)")))
-        .withColumn("run", F.floor(F.col("shard") / SHARDS_AT_ONCE))
-        .join(trees, ["dim", "shard"])
+    tree_seats = places.select(
+        "dim", "shard", run.alias("run"), F.explode(F.expr("sequence(0, last)")).alias("slice")
     )
+    last_run = F.floor(F.col("top") / F.col("per_run")).cast("int")
+    block_seats = sliced.join(runs_of, "dim").select(
+        "dim", "block", "slice", F.explode(F.sequence(F.lit(0), last_run)).alias("run")
+    )
+    none = F.lit(None).cast("binary")
+    held = trees.join(tree_seats, ["dim", "shard"]).select(
+        "dim", "run", "slice", F.col("shard").alias("number"), none.alias("queries"), "data"
+    )
+    passing = blocks.join(block_seats, ["dim", "block"]).select(
+        "dim", "run", "slice", F.col("block").alias("number"), "queries", none.alias("data")
+    )
+    return held.unionAll(passing)
+
+
+def search(trees: DataFrame, divisor: int, k: int) -> DataFrame:
+    """The ``k`` best per query and run of shards, for queries whose vec_id ``divisor`` divides.
+
+    Each run gives rows of its own shards only, so no row comes out twice. What a query found
+    in its own shard goes with it to every run.
+    """
+    spark = trees.sparkSession
+    trees = stored(trees, "shards")
+    blocks = stored(home_blocks(trees, divisor, k), "blocks")
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block, best = None, None, []
+        now, held = None, {}
 
-        def rows() -> pa.RecordBatch:
-            number, dim, _ = now
+        def rows(number: int, dim: int, block: dict, best: list[list]) -> pa.RecordBatch:
             out = [
-                (number, dim, int(block["places"][i]), int(block["ids"][i]), -v, s, *where)
+                (number, dim, int(block["places"][i]), int(block["ids"][i]), -v, s, shard, place)
                 for i, top in enumerate(best)
-                for s, v, *where in top
+                for s, v, shard, place in top
+                if shard in held
             ]
             types = [*[pa.int32()] * 3, *[pa.int64()] * 3, *[pa.int32()] * 2]
             cols = zip(*out) if out else [[]] * len(types)
@@ -252,27 +292,27 @@ def search(trees: DataFrame, divisor: int, k: int) -> DataFrame:
             )
 
         for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["block"], r["dim"], r["run"])
-                if key != now:
-                    if now:
-                        yield rows()
-                    now, block = key, unpacked(r["queries"])
-                    best = [[] for _ in block["ids"]]
-                    for i, *found in block["seeds"].tolist():
-                        heapq.heappush(best[i], tuple(found))
-                if r["shard"] != r["block"]:
-                    nothing = [None] * len(best)
-                    Shard(r["data"]).search(block["vectors"], best, nothing, k, r["shard"])
-        if now:
-            yield rows()
+            for row in range(batch.num_rows):
+                dim, run, slice_no, number, queries, data = (c[row].as_py() for c in batch.columns)
+                if (dim, run, slice_no) != now:
+                    now, held = (dim, run, slice_no), {}
+                if data is not None:
+                    held[number] = Shard(data)
+                    continue
+                block = unpacked(queries)
+                best: list[list] = [[] for _ in block["ids"]]
+                for i, *found in block["seeds"].tolist():
+                    heapq.heappush(best[i], tuple(found))
+                for shard, tree in held.items():
+                    if shard != number:
+                        tree.search(block["vectors"], best, [None] * len(best), k, shard)
+                yield rows(number, dim, block, best)
 
     return (
-        meets.select("block", "dim", "run", "shard", "queries", "data")
-        .repartition(tasks, "block", "dim", "run")
-        .sortWithinPartitions("block", "dim", "run", "shard")
+        tiles(trees, blocks)
+        .repartition(tasks, "dim", "run", "slice")
+        .sortWithinPartitions("dim", "run", "slice", F.col("data").isNull(), "number")
         .mapInArrow(visit, FOUND)
-        .distinct()
     )
 
 

@@ -57,6 +57,37 @@ def test_many_shards_ties_and_repeats(spark, monkeypatch, shard_rows, at_once):
     assert result(ranked) == brute(rows, 5, 4)
 
 
+@pytest.mark.parametrize("least_runs,tile_queries", [(1, 9), (5, 1), (32, 10_000)])
+def test_tiles_meet_once(spark, monkeypatch, least_runs, tile_queries):
+    """Runs of several shards and several slices of blocks: all pairs, none twice."""
+    monkeypatch.setattr(ball_tree, "LEAST_RUNS", least_runs)
+    monkeypatch.setattr(ball_tree, "TILE_QUERIES", tile_queries)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), (rng.integers(-9, 9, 4 + i % 2) / 256).tolist()) for i in range(200)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    trees = ball_tree.stored(ball_tree.shards(df, 16), "trees")
+    blocks = ball_tree.stored(ball_tree.home_blocks(trees, 5, 3), "blocks")
+    tiles = ball_tree.tiles(trees, blocks).collect()
+    held = {(t.dim, t.run, t.slice, t.number) for t in tiles if t.data is not None}
+    passing = [t for t in tiles if t.data is None]
+    met = [
+        (t.dim, t.number, shard)
+        for t in passing
+        for dim, run, slice_no, shard in held
+        if (dim, run, slice_no) == (t.dim, t.run, t.slice)
+    ]
+    shards = [(t.dim, t.shard) for t in trees.collect()]
+    homes = {(b.dim, b.block) for b in blocks.collect()}
+    assert sorted(met) == sorted((d, b, s) for d, b in homes for e, s in shards if d == e)
+    slices = max(t.slice for t in tiles) + 1
+    assert len([t for t in tiles if t.data is not None]) <= len(shards) * slices
+    assert (slices == 1) == (tile_queries == 10_000)
+    found = ball_tree.search(trees, 5, 3).collect()
+    keys = {(f.block, f.dim, f.place, f.shard, f.shard_place) for f in found}
+    assert len(found) == len(keys)
+    assert result(ball_tree.top_k(df, 5, 3)) == brute(rows, 5, 3)
+
+
 def test_odd_vectors(spark, saved):  # noqa: F811
     rows = [
         (0, [1.0, 2.0]), (50, None), (100, [1.0, None]), (150, [float("nan"), 1.0]),
