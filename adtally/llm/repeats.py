@@ -17,9 +17,10 @@ of the k-grams that cover them: texts that share ``LEAST`` words share a window,
 else stands around it. For other words to pass, they must agree with all but one of these
 k-grams and collide in its 64 bits.
 
-Sorting is a range shuffle, which also splits a k-gram that very many texts hold; what meets
-at the borders of tasks is compared afterwards, from the border rows alone, in one task for
-each k-gram.
+Sorting is a range shuffle, which also splits a k-gram that very many texts hold. What meets
+at the borders of tasks is compared afterwards, task by task: the first and the last text of
+each with the nearest row of another text in the tasks before and after it, which are found
+from four rows a task. So a k-gram of very many rows is no task of its own there either.
 
 Rows: words are bytes between ASCII white space, A-Z lower-cased. Texts that are equal as
 wholes are taken as one and as passages of each other, if they have ``LEAST`` words. Null,
@@ -206,52 +207,59 @@ def common_words(a: bytes, b: bytes) -> int:
     return low
 
 
+SPANS = "node BIGINT, low INT, high INT, partner BIGINT"
+SPAN_NAMES = ["node", "low", "high", "partner"]
+ROW = "gram BIGINT, right BINARY, left BINARY, node BIGINT, place INT"
 MARK = (
-    "node BIGINT, low INT, high INT, partner BIGINT, border INT, gram BIGINT, right BINARY, "
-    "left BINARY"
+    "node BIGINT, low INT, high INT, partner BIGINT, border INT, role INT, gram BIGINT, "
+    "right BINARY, left BINARY"
 )
+#: What a row at the edge of a task is: one of its first or its last text, or the very first
+#: row, the first one of the second text, the last row, the last one of the text before.
+FIRST_TEXT, LAST_TEXT, FIRST, SECOND, LAST, FORMER = range(6)
+
+
+def matched(x: tuple, y: tuple) -> list[tuple]:
+    """Marks in both texts of what two suffixes of a k-gram have in common around it."""
+    left = common_words(x[2], y[2])
+    length = left + GRAM + common_words(x[1], y[1])
+    if length < LEAST:
+        return []
+    return [
+        (one[3], one[4] - left, one[4] - left + length, other[3]) for one, other in ((x, y), (y, x))
+    ]
+
+
+def columns_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"BIGINT": pa.int64(), "INT": pa.int32(), "BINARY": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    cols = zip(*rows) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kinds[kind]) for c, (_, kind) in zip(cols, fields)],
+        names=[name for name, _ in fields],
+    )
 
 
-def neighbours(rows: DataFrame, borders: bool) -> DataFrame:
+def neighbours(rows: DataFrame) -> DataFrame:
     """Marks ``(node, low, high, partner)`` of sorted suffixes, compared with their neighbours.
 
     A row's neighbours are the nearest rows of other texts before and after it with the same
-    k-gram. With ``borders``, the rows of the first two and of the last two texts that each
-    task meets come out as well, under its number.
+    k-gram. Rows at the edges of each task come out as well, with its number and their role.
     """
     importable(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         out: list[tuple] = []
-        edge: list[tuple] = []
         own: list[tuple] = []  # the run: rows of one text and k-gram, one after another
         last: list[tuple] = []  # the run before it
         runs = 0
 
         def compare(x: tuple, y: tuple) -> None:
-            left = common_words(x[2], y[2])
-            length = left + GRAM + common_words(x[1], y[1])
-            if length >= LEAST:
-                for one, other in ((x, y), (y, x)):
-                    low = one[4] - left
-                    out.append((one[3], low, low + length, other[3], None, None, None, None))
-
-        def mark_edge(rows_: list[tuple]) -> None:
-            edge.extend((r[3], r[4], None, None, part, r[0], r[1], r[2]) for r in rows_)
-
-        def flush() -> pa.RecordBatch:
-            types = [
-                pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(),
-                pa.binary(), pa.binary(),
-            ]
-            cols = list(zip(*out)) or [[]] * len(types)
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, types)],
-                names=[c.split()[0] for c in MARK.split(", ")],
-            )
-            out.clear()
-            return made
+            out.extend((*m, *[None] * 5) for m in matched(x, y))
+
+        def mark_edge(rows_: list[tuple], role: int) -> None:
+            out.extend((r[3], r[4], None, None, part, role, r[0], r[1], r[2]) for r in rows_)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -260,23 +268,83 @@ def neighbours(rows: DataFrame, borders: bool) -> DataFrame:
                         for x in own:
                             compare(x, row)
                     runs += 1
-                    if borders and runs <= 2:
-                        mark_edge(own)
+                    if runs == 1:
+                        mark_edge(own, FIRST_TEXT)
+                        mark_edge(own[:1], FIRST)
+                        mark_edge([row], SECOND)
                     last, own = own, []
                 elif own and last and last[-1][0] == row[0]:
                     compare(last[-1], row)
                 own.append(row)
             if out:
-                yield flush()
-        if borders:
-            mark_edge([*last, *own])
-        out += edge
-        if out:
-            yield flush()
+                yield columns_of(out, MARK)
+                out.clear()
+        if runs == 0:
+            mark_edge(own, FIRST_TEXT)
+            mark_edge(own[:1], FIRST)
+        mark_edge(own, LAST_TEXT)
+        mark_edge(own[-1:], LAST)
+        mark_edge(last[-1:], FORMER)
+        yield columns_of(out, MARK)
 
     return rows.select("gram", "right", "left", "node", "place").mapInArrow(run, MARK)
 
 
+def nearest(ends: DataFrame, before: bool) -> DataFrame:
+    """``(border, role, seen)``: rows of the tasks before (or after) each one, nearest first.
+
+    They are the nearest row and the nearest one of another text with the same k-gram. The
+    only step over all tasks, of four rows for each.
+    """
+    roles = (LAST, FORMER) if before else (FIRST, SECOND)
+    role = FIRST_TEXT if before else LAST_TEXT
+    held = ends.where(F.col("role").isin(*roles)).select(
+        "border", "role", "gram", "right", "left", "node", F.col("low").alias("place")
+    )
+    order = F.col("border").asc() if before else F.col("border").desc()
+    schema = f"border INT, role INT, {', '.join('seen_' + c for c in ROW.split(', '))}"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, own, seen = None, [], []
+
+        def past(own: list[tuple], seen: list[tuple]) -> list[tuple]:
+            head, *rest = [*own, *seen]
+            other = [r for r in rest if r[0] == head[0] and r[3] != head[3]]
+            return [head, *other[:1]]
+
+        for batch in batches:
+            out = []
+            for border, _, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if border != task:
+                    seen = past(own, seen) if own else seen
+                    task, own = border, []
+                    out += [(border, role, *r) for r in seen]
+                own.append(tuple(row))
+            yield columns_of(out, schema)
+
+    return held.coalesce(1).sortWithinPartitions(order, "role").mapInArrow(scan, schema)
+
+
+def across(made: DataFrame) -> DataFrame:
+    """Marks between the first and last texts of tasks and the nearest rows beyond."""
+    ends = made.where(F.col("role") >= FIRST)
+    seen = nearest(ends, before=True).unionAll(nearest(ends, before=False))
+    edges = made.where(F.col("role") < FIRST).withColumnRenamed("low", "place")
+    names = [c.split()[0] for c in ROW.split(", ")]
+    meets = edges.join(stored(seen, "seen"), ["border", "role"]).where(
+        "gram = seen_gram AND node <> seen_node"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                out += matched(row[:5], row[5:])
+            yield columns_of(out, SPANS)
+
+    return meets.select(*names, *("seen_" + c for c in names)).mapInArrow(run, SPANS)
+
+
 def marks(suffixes: DataFrame) -> DataFrame:
     """Marks from both orders of the suffixes, borders of tasks included."""
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -284,19 +352,14 @@ def marks(suffixes: DataFrame) -> DataFrame:
     for order in (["gram", "right", "left"], ["gram", "left", "right"]):
         order = [*order, "node", "place"]
         ranged = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        made = stored(neighbours(ranged, borders=True), "marks")
-        # The rows of four texts for each task; neighbours have the same k-gram.
-        edges = made.where("border IS NOT NULL").withColumnRenamed("low", "place")
-        edges = edges.dropDuplicates(["gram", "node", "place"]).repartition(n, "gram")
-        met = neighbours(edges.sortWithinPartitions(*order), borders=False)
-        found += [made.where("border IS NULL"), met]
+        made = stored(neighbours(ranged), "marks")
+        found += [made.where("border IS NULL").select(*SPAN_NAMES), across(made)]
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionAll(more)
-    return whole.select("node", "low", "high", "partner")
+    return whole
 
 
-SPANS = "node BIGINT, low INT, high INT, partner BIGINT"
 
 
 def joined_marks(marked: DataFrame) -> DataFrame:
