@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from adtally.llm import ordered, sketches
 from adtally.llm.queries import QUERIES
@@ -54,6 +55,34 @@ def test_many_ranges(spark, documents, rows_per_range, monkeypatch):  # noqa: F8
     assert result(sketches.compare_edited(df)) == expected(rows)
 
 
+def test_ranges_grow_with_the_rows():
+    assert ordered.ranges_for(0, 2_000) == 1
+    assert ordered.ranges_for(256_410, 2_000) == 128
+    assert ordered.ranges_for(40_000_000, 2_000) == 1_024
+    assert ordered.ranges_for(40_000_000_000, 2_000) == 400_000
+
+
+@given(st.lists(st.integers(-50, 50), max_size=40), st.lists(st.integers(-60, 60), max_size=9))
+@settings(max_examples=8, deadline=None)
+def test_ranges_by_binary_search(spark, limits, places):
+    limits = sorted({float(x) for x in limits})
+    rows = [(float(p),) for p in places] + [(None,), (1e18,), (-1e18,)]
+    df = spark.createDataFrame(rows, "place DOUBLE")
+    got = df.select("place", ordered.limits_up_to(limits, df.place).alias("n")).collect()
+    for place, n in got:
+        assert n == (0 if place is None else sum(limit <= place for limit in limits))
+
+
+def test_many_limits_are_one_constant(spark):
+    """Thousands of limits: found by folding, so that no row parses them."""
+    limits = [float(x) for x in range(0, 40_000, 2)]
+    df = spark.range(0, 40_001, 13).select(F.col("id").cast("double").alias("place"))
+    found = df.select("place", ordered.limits_up_to(limits, df.place).alias("n"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "jsontostructs" not in plan.lower()
+    assert all(r.n == min(len(limits), int(r.place) // 2 + 1) for r in found.collect())
+
+
 def test_one_row_is_its_own_follower(spark, documents):  # noqa: F811
     (row,) = sketches.compare_edited(documents((5, "abcdef"))).collect()
     assert row.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and row.near_next == 1.0
