@@ -18,7 +18,10 @@ BUDGET = 0.5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifiers do not take as toxic."""
+    """Documents that the classifiers do not take as toxic.
+
+    Null and empty texts, null ids and repeated rows are scored as rows of their own.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -39,7 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their pieces, cut with dropout; the pieces decode to the texts."""
+    """All documents with their pieces, cut with dropout; the pieces decode to the texts.
+
+    Null and empty texts, null ids and repeated rows all stay.
+    """
     return merge_dropout.encode_documents(
         docs, merge_dropout.model_path(), merge_dropout.DROPOUT, merge_dropout.SEED
     )
