@@ -10,7 +10,8 @@ machine. Without dropout the ids are those of the model's own library.
 
 The hash of each candidate of each occurrence tells if it is skipped, in long words and short
 ones alike. How many candidates are merged before each skipped one decides what a word becomes,
-so tables by word, and by word and these numbers, serve occurrences that skip the same.
+so tables by word, and by word and these numbers, serve occurrences that skip the same. Words
+and ways that no table has are merged together, thousands a step.
 
 Decoding joins the pieces' bytes and gives back every text exactly: white space is kept,
 characters that the model does not know are spelled in bytes, and so is the model's own sign
@@ -30,6 +31,7 @@ import heapq
 import math
 import re
 import string
+import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -38,9 +40,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from adtally.llm.common import by_row, importable, mixed, new_name, table
+from adtally.llm.common import importable, mixed, new_name, table
 
 #: The model's sign for a space, and how a text's own such sign is told from it.
 SPACE, OWN_SIGN = "▁", "\0▁"
@@ -54,6 +57,12 @@ CUT = "\x01"
 BEFORE_SIGNS = "A-Za-z0-9À-ÖØ-öø-ÿ"
 #: Segmentations kept per worker and table, and the length up to which words are kept.
 WORD_CACHE, SHORT = 100_000, 48
+#: Characters of texts that are cut together, and words that are merged together.
+BLOCK_CHARS, BLOCK_WORDS = 400_000, 4096
+#: The meeting at which a word or way goes to its table.
+MEETINGS = 8
+#: The value of a place without a candidate, and the symbol of one that was merged away.
+NO_VALUE, GONE = np.iinfo(np.int32).max, -1
 MASK = 2**64 - 1
 #: The step between the hashes of a text's words (odd), and the factors of a candidate's hash.
 NEXT_WORD = np.uint64(0x9E3779B97F4A7C15)
@@ -92,6 +101,123 @@ class Pieces:
         after |= {b for piece in self.ids for a, b in zip(piece, piece[1:]) if a.isalpha()}
         signs = "".join(sorted(set(string.punctuation) - after))
         self.seam = re.compile(f"[{re.escape(signs)}](?<=[{BEFORE_SIGNS}].)") if signs else None
+        self._number_symbols()
+
+    def _number_symbols(self) -> None:
+        """Symbols as numbers, and the pairs of them that are pieces, in order.
+
+        A symbol's number is that of its piece, or of its character above all pieces; a space's
+        stands for the sign, and the sign's for a text's own one.
+        """
+        n = self.n_pieces = len(self.bytes_)
+        self.symbols = np.arange(n, n + sys.maxunicode + 1)
+        for piece, i in self.ids.items():
+            if len(piece) == 1 and piece != SPACE:
+                self.symbols[ord(piece)] = i
+        self.symbols[ord(" ")] = self.ids.get(SPACE, n + ord(" "))
+        self.border = n + sys.maxunicode + 1  # stands beside a word's ends; in no pair
+        ranks = np.unique([-score for score in self.score.values()], return_inverse=True)[1]
+        pairs = []
+        for (piece, i), rank in zip(self.ids.items(), ranks.tolist()):
+            for k in range(1, len(piece)):
+                a, b = self._symbol(piece[:k]), self._symbol(piece[k:])
+                if a is not None and b is not None:
+                    pairs.append((a * (self.border + 1) + b, rank, i))
+        pairs.append((np.iinfo(np.int64).max, 0, 0))  # so that every search ends at a pair
+        self.pair_keys, pair_ranks, self.pair_pieces = np.array(sorted(pairs)).T.copy()
+        self.pair_values = pair_ranks.astype(np.int32) << 6
+
+    def _symbol(self, text: str) -> int | None:
+        if len(text) == 1:
+            return int(self.symbols[ord(" " if text == SPACE else text)])
+        return self.ids.get(text)
+
+    def _candidates(
+        self, a: np.ndarray, b: np.ndarray, places: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the pairs, the least of which is merged first, and where the pairs are."""
+        keys = a * (self.border + 1) + b
+        at = np.searchsorted(self.pair_keys, keys)
+        found = self.pair_keys[at] == keys
+        return np.where(found, self.pair_values[at] | places.astype(np.int32), NO_VALUE), at
+
+    def merge_all(self, words: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
+        """The ids of each word under its own key: those of ``merge_keyed``, many at a time."""
+        out = [b""] * len(words)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(lens > SHORT).tolist():
+            out[i] = array("i", self.merge_keyed(words[i], dropout, int(keys[i]))).tobytes()
+        order = np.argsort(lens, kind="stable")
+        order = order[np.searchsorted(lens[order], 1) : np.searchsorted(lens[order], SHORT, "right")]
+        low = 0
+        while low < len(order):
+            longest = lens[order[low]] * 5 // 4 + 1  # like lengths, so that little is empty
+            high = low + np.searchsorted(lens[order[low : low + BLOCK_WORDS]], longest, "right")
+            some = order[low:high]
+            own = [words[i] for i in some.tolist()]
+            ids, counts = self._merge_block(own, lens[some], keys[some], int(dropout * 2**64))
+            data, ends = ids.astype("<i4").tobytes(), (np.cumsum(counts) * 4).tolist()
+            for i, start, end in zip(some.tolist(), [0, *ends], ends):
+                out[i] = data[start:end]
+            low = high
+        return out
+
+    def _merge_block(
+        self, words: list[str], lens: np.ndarray, keys: np.ndarray, limit: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each word has. Arrays hold a row a place, a column a word."""
+        width, height = len(words), int(lens.max())
+        ends = np.cumsum(lens)
+        cells = (np.arange(ends[-1]) - np.repeat(ends - lens, lens)) * width
+        cells += np.repeat(np.arange(width), lens)
+        symbols = np.full((height + 1) * width, self.border)
+        text = "".join(words).encode("utf-32-le", "surrogatepass")
+        symbols[cells] = self.symbols[np.frombuffer(text, "<u4")]
+        places = np.repeat(np.arange(height + 1), width)
+        after, before = places + 1, places - 1
+        before[:width] = height  # a border
+        values, pairs = self._candidates(symbols, np.roll(symbols, -width), places)
+        live = np.arange(width)
+        while True:
+            best = values.reshape(height + 1, width).take(live, axis=1).min(axis=0)
+            some = best != NO_VALUE
+            live, a = live[some], (best[some] & 63).astype(np.int64)
+            if not len(live):
+                break
+            here = a * width + live
+            b = after[here]
+            there = b * width + live
+            c = after[there]
+            skip = skips(keys[live], (a << 42 | b << 21 | c).view(np.uint64), limit)
+            values[here[skip]] = NO_VALUE
+            kept = ~skip
+            a, c, here, there, column = a[kept], c[kept], here[kept], there[kept], live[kept]
+            made = self.pair_pieces[pairs[here]]
+            symbols[here], symbols[there], values[there] = made, GONE, NO_VALUE
+            after[here] = c
+            beyond = c * width + column
+            before[beyond] = a
+            values[here], pairs[here] = self._candidates(made, symbols[beyond], a)
+            left = before[here]
+            at = left * width + column
+            values[at], pairs[at] = self._candidates(symbols[at], made, left)
+        by_word = symbols.reshape(height + 1, width).T
+        stays = (by_word != GONE) & (by_word != self.border)
+        return self._spelled(by_word[stays], stays.sum(axis=1))
+
+    def _spelled(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, in bytes if they are no pieces, and how many each word has."""
+        strange = symbols >= self.n_pieces
+        if not strange.any():
+            return symbols, counts
+        codes = (symbols[strange] - self.n_pieces).tolist()
+        spelled = [(SPACE if c == ord(" ") else chr(c)).encode("utf-8") for c in codes]
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[strange] = list(map(len, spelled))
+        owner = np.repeat(np.repeat(np.arange(len(counts)), counts), sizes)
+        ids = np.repeat(symbols, sizes)
+        ids[np.repeat(strange, sizes)] = [self.byte_ids[b] for b in b"".join(spelled)]
+        return ids, np.bincount(owner, minlength=len(counts))
 
     def merge(self, word: str, dropout: float, seed: int) -> list[int]:
         """The ids of one word, spaces first; a candidate's hash tells if it is skipped."""
@@ -258,8 +384,8 @@ class Encoder:
     """Encodes texts under one seed; most segmentations recur and come from bounded tables.
 
     There is one for words and one for their ways; when one is full it becomes the former one,
-    from which what is met again moves on. What is met for the first time is merged on its own,
-    with the same hashes and thus the same result, and goes to a table at the second time.
+    from which what is met again moves on. What is met for the first times is merged on its own,
+    with the same hashes and thus the same result, and goes to a table at the ``MEETINGS``th.
     """
 
     def __init__(self, model_path: str, dropout: float, seed: int):
@@ -269,7 +395,7 @@ class Encoder:
     def forget(self) -> None:
         self.words, self.ways = Segmentations(), Segmentations()
         self.old_words, self.old_ways = Segmentations(), Segmentations()
-        self.met: set[int] = set()  # hashes of what was met once
+        self.met: dict[int, int] = {}  # how often what is in no table was met, by its hash
 
     def _learn(self, now: Segmentations, old: Segmentations, key: str | tuple) -> int:
         """The key's number in a table, or ``ALONE`` if it is to be merged on its own."""
@@ -281,8 +407,9 @@ class Encoder:
             if len(word) > SHORT:
                 return ALONE
             mark = hash(key)
-            if mark not in self.met:
-                self.met.add(mark)
+            times = self.met.get(mark, 0) + 1
+            if times < MEETINGS:
+                self.met[mark] = times
                 return ALONE
         codes, ids = self.pieces.walk(word, gaps)
         return now.add(key, codes, array("i", ids).tobytes())
@@ -296,15 +423,33 @@ class Encoder:
 
     def __call__(self, text: str | None, doc_id: object = None) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
+        return self.many([text], [doc_id])[0]
+
+    def many(self, texts: list[str | None], doc_ids: list) -> list[bytes]:
+        """The ids of each text, by itself; texts are cut together up to a bounded length."""
+        out, low, chars = [], 0, 0
+        for high, text in enumerate(texts, 1):
+            chars += len(text or "")
+            if chars >= BLOCK_CHARS or high == len(texts):
+                out += self._block(texts[low:high], doc_ids[low:high])
+                low, chars = high, 0
+        return out
+
+    def _block(self, texts: list[str | None], doc_ids: list) -> list[bytes]:
         if len(self.words.ids) > WORD_CACHE:
             self.words, self.old_words = Segmentations(), self.words
         if len(self.ways.ids) > WORD_CACHE:
             self.ways, self.old_ways = Segmentations(), self.ways
         if len(self.met) > 4 * WORD_CACHE:
             self.met.clear()
-        words, known = self._words(text), self.words.number
+        words, ends, keys = [], [0], []
+        for text, doc_id in zip(texts, doc_ids):
+            if text:
+                words += self._words(text)
+                if self.dropout > 0:
+                    keys.append(self._keys(text, doc_id, len(words) - ends[-1]))
+            ends.append(len(words))
+        known = self.words.number
         numbers = list(map(known.get, words))
         if None in numbers:
             late = {
@@ -313,24 +458,25 @@ class Encoder:
             }
             numbers = [late[w] if k is None else k for w, k in zip(words, numbers)]
         out = list(map(self.words.ids.__getitem__, numbers))
-        if self.dropout > 0:
-            self._skip(text, doc_id, words, np.array(numbers), out)
-        return b"".join(out)
+        if keys:
+            self._skip(words, np.array(numbers), np.concatenate(keys), out)
+        return [b"".join(out[low:high]) for low, high in zip(ends, ends[1:])]
+
+    def _keys(self, text: str, doc_id, n_words: int) -> np.ndarray:
+        """A key for each word's place."""
+        key = self.seed & MASK
+        if doc_id is not None:
+            key = xxhash.xxh64_intdigest(str(doc_id), key)
+        key = np.uint64(xxhash.xxh64_intdigest(text, key))
+        return mixed(key + NEXT_WORD * np.arange(1, n_words + 1, dtype=np.uint64))
 
-    def _skip(self, text: str, doc_id, words: list[str], numbers: np.ndarray, out: list) -> None:
+    def _skip(self, words: list[str], numbers: np.ndarray, keys: np.ndarray, out: list) -> None:
         """Puts the segmentations into ``out`` of all words that skip some candidate.
 
         Every candidate of every occurrence is hashed. An occurrence's first one that is skipped
         leads to another way, whose further candidates are hashed in the next round.
         """
-        key = self.seed & MASK
-        if doc_id is not None:
-            key = xxhash.xxh64_intdigest(str(doc_id), key)
-        key = np.uint64(xxhash.xxh64_intdigest(text, key))
-        keys = mixed(key + NEXT_WORD * np.arange(1, len(words) + 1, dtype=np.uint64))
-        alone = self.pieces.merge_keyed
-        for i in np.flatnonzero(numbers == ALONE).tolist():
-            out[i] = array("i", alone(words[i], self.dropout, int(keys[i]))).tobytes()
+        all_keys, alone = keys, np.flatnonzero(numbers == ALONE).tolist()
         limit = int(self.dropout * 2**64)
         held, at, paths = self.words, np.arange(len(words)), words
         while len(at):
@@ -346,7 +492,7 @@ class Encoder:
             at, keys, further, numbers = at[some], keys[some], [], []
             known, ids = self.ways.number, self.ways.ids
             gaps = (hit - before[some]).tolist()
-            for i, j, gap, own_key in zip(at.tolist(), some.tolist(), gaps, keys.tolist()):
+            for i, j, gap in zip(at.tolist(), some.tolist(), gaps):
                 path = paths[j]
                 path = (path, gap) if type(path) is str else (*path, gap)
                 k = known.get(path)
@@ -354,11 +500,14 @@ class Encoder:
                     k = self._learn(self.ways, self.old_ways, path)
                 numbers.append(k)
                 if k == ALONE:
-                    out[i] = array("i", alone(path[0], self.dropout, own_key)).tobytes()
+                    alone.append(i)
                 else:
                     out[i] = ids[k]
                 further.append(path)
             held, paths, numbers = self.ways, further, np.array(numbers, np.int64)
+        made = self.pieces.merge_all([words[i] for i in alone], all_keys[alone], self.dropout)
+        for i, ids in zip(alone, made):
+            out[i] = ids
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -396,7 +545,7 @@ def encode_documents(
                 part = batch.slice(low, 256)
                 texts = part.column(text_at).to_pylist()
                 own = [None] * len(texts) if id_at is None else part.column(id_at).to_pylist()
-                ids = [encode(t, d) for t, d in zip(texts, own)]
+                ids = encode.many(texts, own)
                 ends = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
@@ -417,14 +566,29 @@ ROUND_TRIP = (
 def round_trip(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """What each text is cut into, and the digest of what its pieces decode to."""
 
-    def one(doc_id, text):
+    importable(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model_path, dropout, seed)
-        ids = encode(text)
-        back = encode.pieces.decode(np.frombuffer(ids, "<i4").tolist())
-        digest = hashlib.sha256(back.encode()).hexdigest()
-        return doc_id, len(ids) // 4, zlib.crc32(ids), digest, back == (text or "")
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                doc_ids, texts = (c.slice(low, 512) for c in batch.columns)
+                texts = texts.to_pylist()
+                made = encode.many(texts, [None] * len(texts))
+                back = [encode.pieces.decode(np.frombuffer(ids, "<i4").tolist()) for ids in made]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        doc_ids,
+                        pa.array([len(ids) // 4 for ids in made], pa.int64()),
+                        pa.array(map(zlib.crc32, made), pa.int64()),
+                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]),
+                        pa.array([x == (text or "") for x, text in zip(back, texts)]),
+                    ],
+                    names=["doc_id", "n_pieces", "pieces_crc32", "decoded_sha256", "lossless"],
+                )
 
-    return by_row(docs, one, ["doc_id", "text"], ROUND_TRIP)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, ROUND_TRIP)
 
 
 #: Rate and seed of the registered query and of the pipeline's stage.

@@ -202,3 +202,38 @@ def test_the_tables_are_bounded(monkeypatch):
         text = f"word{i} vowel{i} word"
         assert PIECES.decode(np.frombuffer(encode(text), "<i4").tolist()) == text
         assert len(encode.words.ids) < 10 and len(encode.ways.ids) < 30
+
+
+ANY_WORD = st.one_of(
+    st.text(alphabet="thean ingorledé", min_size=1, max_size=60),
+    st.text(alphabet=st.characters(codec="utf-8"), max_size=12),
+    st.text(alphabet=" ▁\0\x01a,.é😀\U0010ffff", max_size=8),
+)
+
+
+@given(st.lists(ANY_WORD, max_size=30), st.sampled_from([0.1, 0.5, 1.0]), st.integers(0, 2**32))
+@settings(max_examples=300, deadline=None)
+def test_words_merged_together_as_each_alone(words, dropout, seed):
+    keys = merge_dropout.mixed(np.arange(len(words), dtype=np.uint64) + np.uint64(seed))
+    made = [np.frombuffer(x, "<i4").tolist() for x in PIECES.merge_all(words, keys, dropout)]
+    want = [PIECES.merge_keyed(w, dropout, k) if w else [] for w, k in zip(words, keys.tolist())]
+    assert made == want
+
+
+def test_short_words_are_never_merged_alone(spark, monkeypatch):
+    """Texts cut together, in blocks of any length, are those cut one by one."""
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").limit(60).collect()
+    texts = [*(r.text for r in rows), None, "", "x" * 100, "é ▁ \n"]
+    one = Encoder(model_path(), DROPOUT, SEED)
+    want = [one(t, i) for i, t in enumerate(texts)]
+    alone = Pieces.merge_keyed
+
+    def long_only(self, word, dropout, key):
+        assert len(word) > merge_dropout.SHORT
+        return alone(self, word, dropout, key)
+
+    monkeypatch.setattr(Pieces, "merge_keyed", long_only)
+    for chars in (1, 5_000, 10**9):
+        monkeypatch.setattr(merge_dropout, "BLOCK_CHARS", chars)
+        encode = Encoder(model_path(), DROPOUT, SEED)
+        assert encode.many(texts, list(range(len(texts)))) == want
