@@ -44,6 +44,8 @@ PER_KEY = 2
 MISS = 1e-4
 #: Most hashes and nodes of a block.
 BLOCK_HASHES, BLOCK_NODES = 600_000, 768
+#: Keys that a task counts, about 100 bytes each.
+KEYS_A_TASK = 500_000
 #: Candidate ids up to which they are broadcast (8 bytes each); beyond, they are joined.
 BROADCAST_IDS = 1_000_000
 WEIGHTS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -120,13 +122,29 @@ def sketched(docs: DataFrame, percent: int) -> DataFrame:
 
 def table_keys(nodes: DataFrame) -> DataFrame:
     """``(key, node)``: a key for each pair of small hashes, one of either collection."""
-    keys = F.flatten(
-        F.transform(
-            "a",
-            lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i, j)),
-        )
+    firsts = nodes.select("node", "b", F.posexplode("a").alias("i", "x"))
+    both = firsts.select("node", "i", "x", F.posexplode("b").alias("j", "y"))
+    return both.select(F.xxhash64("x", "y", "i", "j").alias("key"), "node")
+
+
+def dealt(nodes: DataFrame, keys_each: int) -> DataFrame:
+    """``nodes`` in parts of about ``KEYS_A_TASK`` keys, if each node has ``keys_each``."""
+    return nodes.repartition(math.ceil(nodes.count() * keys_each / KEYS_A_TASK) or 1, "node")
+
+
+def shared_keys(nodes: DataFrame, keys_each: int) -> DataFrame:
+    """``(key, lead)`` of the keys that several nodes have, and the smallest of these.
+
+    Each task first combines its own keys, so that a key of very many nodes is few rows. Nearly
+    all other keys are alone and stay in the task's table, so the tasks are kept small.
+    """
+    return (
+        table_keys(dealt(nodes, keys_each))
+        .groupBy("key")
+        .agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+        .where("lead < last")
+        .select("key", "lead")
     )
-    return nodes.select(F.explode(keys).alias("key"), "node")
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -157,7 +175,9 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> Data
         .select("text")
         .mapInArrow(run, "digest BINARY, hashes ARRAY<BIGINT>")
     )
-    sets = texts.join(own.select("node", "digest"), "digest").dropDuplicates(["node"])
+    # Whole sets are dealt out and sorted once: equal ones go before they meet their nodes.
+    texts = texts.repartition("digest").dropDuplicates(["digest"])
+    sets = texts.join(own.select("node", "digest"), "digest")
     return stored(sets.select("node", F.size("hashes").cast("bigint").alias("n"), "hashes"), "sets")
 
 
@@ -371,13 +391,7 @@ def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         "nodes",
     )
     keys = table_keys(nodes)
-    leads = stored(
-        keys.groupBy("key")
-        .agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-        .where("lead < last")
-        .select("key", "lead"),
-        "leads",
-    )
+    leads = stored(shared_keys(nodes, small_hashes_needed(percent) ** 2), "leads")
     members = stored(keys.join(leads, "key"), "members")
     sets = candidate_sets(docs, nodes, members.select("node").distinct())
     pairs = members.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from adtally.llm import near_dedup
 from adtally.llm.graph import components
@@ -166,3 +167,23 @@ def test_components_of_random_graphs(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(df.where("false")).collect() == []
+
+
+def test_keys_are_counted_in_small_tasks(spark, documents, monkeypatch):  # noqa: F811
+    """Tasks of bounded tables, and the same shared keys in one task or in many."""
+    each = small_hashes_needed(85) ** 2
+    docs = documents(*families(np.random.default_rng(5)), (900, None))
+    nodes = near_dedup.sketched(docs, 85).where("digest IS NOT NULL").select(
+        "a", "b", F.monotonically_increasing_id().alias("node")
+    )
+    nodes = nodes.localCheckpoint()
+    whole = sorted(near_dedup.shared_keys(nodes, each).collect())
+    holders = {}
+    for row in near_dedup.table_keys(nodes).collect():
+        holders.setdefault(row.key, set()).add(row.node)
+    assert whole == sorted((k, min(own)) for k, own in holders.items() if len(own) > 1)
+    assert len(whole) > 0 and sum(r.n for r in nodes.selectExpr("size(a) * size(b) AS n").collect()) == each * 84
+    monkeypatch.setattr(near_dedup, "KEYS_A_TASK", 10 * each)
+    parts = near_dedup.dealt(nodes, each).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 3 and max(r["count"] for r in parts) < 40
+    assert sorted(near_dedup.shared_keys(nodes, each).collect()) == whole
