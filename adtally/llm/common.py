@@ -17,6 +17,10 @@ from adtally.session import shared_folder
 
 #: Words kept per worker with their hash; the table is emptied when it is full.
 WORD_CACHE = 400_000
+#: Rows of texts that a Python worker gets at once; the JVM and the worker hold several copies
+#: of them for each task.
+BATCH_ROWS = 1_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _word_hashes: dict[bytes, int] = {}
 
@@ -35,6 +39,15 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand rows to Python workers ``BATCH_ROWS`` at a time, or fewer if it does.
+
+    Spark reads the setting when a frame runs, so it stays set; the rows are the same.
+    """
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:  # below 1: no limit
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder, and read from there.
 
@@ -97,6 +110,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def forget_words() -> None:
+    """Empty the table, where the worker goes on to other work."""
+    _word_hashes.clear()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the entropy of 64-bit values over all their bits (a bijection)."""
     h = h ^ (h >> np.uint64(33))

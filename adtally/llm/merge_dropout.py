@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from adtally.llm.common import importable, mixed, new_name, table
+from adtally.llm.common import importable, mixed, new_name, small_batches, table
 
 #: The model's sign for a space, and how a text's own such sign is told from it.
 SPACE, OWN_SIGN = "▁", "\0▁"
@@ -532,6 +532,7 @@ def encode_documents(
     another one to see other segmentations.
     """
     importable(docs.sparkSession)
+    small_batches(docs.sparkSession)
     field = StructField(new_name(docs.columns, into), ArrayType(IntegerType()))
     schema = StructType([*docs.schema.fields, field])
     names = [c.lower() for c in docs.columns]

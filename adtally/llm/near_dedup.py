@@ -36,7 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from adtally.llm.common import importable, mixed, new_name, stored, table, word_hashes
+from adtally.llm.common import (
+    forget_words,
+    importable,
+    mixed,
+    new_name,
+    small_batches,
+    stored,
+    table,
+    word_hashes,
+)
 from adtally.llm.graph import components
 
 WORDS = 5
@@ -87,6 +96,7 @@ SKETCH = "doc_id BIGINT, n_shingles BIGINT, digest BINARY, a ARRAY<BIGINT>, b AR
 def sketched(docs: DataFrame, percent: int) -> DataFrame:
     """Per row: the set's size, its digest (null without words) and its small hashes."""
     importable(docs.sparkSession)
+    small_batches(docs.sparkSession)
     count = small_hashes_needed(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +125,7 @@ def sketched(docs: DataFrame, percent: int) -> DataFrame:
                 ],
                 names=["doc_id", "n_shingles", "digest", "a", "b"],
             )
+        forget_words()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, SKETCH)
@@ -155,6 +166,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> Data
     if own.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     importable(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,6 +180,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> Data
                     ],
                     names=["digest", "hashes"],
                 )
+        forget_words()
 
     texts = (
         docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
@@ -449,6 +462,7 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
 def with_digest(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with the digest of each text's set (null without words)."""
     importable(docs.sparkSession)
+    small_batches(docs.sparkSession)
     text_at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,6 +477,7 @@ def with_digest(docs: DataFrame, name: str) -> DataFrame:
                 [*batch.columns, pa.array(made, pa.binary())],
                 names=[*batch.schema.names, name],
             )
+        forget_words()
 
     return docs.mapInArrow(
         run, StructType([*docs.schema.fields, StructField(name, BinaryType())])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtally.llm.common import importable, table
+from adtally.llm.common import importable, small_batches, table
 
 # --- Fixed values: the kinds in their order, and their patterns ----------------------------
 KINDS = ("email", "ip", "card", "phone")
@@ -488,6 +488,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, field: Field | None) -> DataFrame:
     """``docs`` with all spans replaced by tags, and n_chars counted anew where present."""
     importable(docs.sparkSession)
+    small_batches(docs.sparkSession)
     names = [c.lower() for c in docs.columns]
     text_at = names.index("text")
     count_at = names.index("n_chars") if "n_chars" in names else None

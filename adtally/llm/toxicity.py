@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtally.llm.common import importable, stored, table
+from adtally.llm.common import importable, small_batches, stored, table
 
 MOST_TOXIC, MOST_UNLABELLED = 6_000, 12_000
 MOST_FEATURES = 6_000
@@ -342,6 +342,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model | None, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score below ``limit``, with all their columns."""
     importable(docs.sparkSession)
+    small_batches(docs.sparkSession)
     text_at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

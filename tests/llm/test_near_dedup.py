@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from adtally.llm import near_dedup
+from adtally.llm import common, merge_dropout, near_dedup, private_data, toxicity
 from adtally.llm.graph import components
 from adtally.llm.near_dedup import (
     common_counts, joining_links, keep_one, near_duplicates, shingles, small_hashes_needed,
@@ -187,3 +188,58 @@ def test_keys_are_counted_in_small_tasks(spark, documents, monkeypatch):  # noqa
     parts = near_dedup.dealt(nodes, each).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 3 and max(r["count"] for r in parts) < 40
     assert sorted(near_dedup.shared_keys(nodes, each).collect()) == whole
+
+
+@pytest.fixture
+def arrow_rows(spark):
+    """Sets the rows of a batch; the session's own number comes back after the test."""
+    before = spark.conf.get(common.ARROW_ROWS)
+    yield lambda n: spark.conf.set(common.ARROW_ROWS, str(n))
+    spark.conf.set(common.ARROW_ROWS, before)
+
+
+@pytest.mark.parametrize("given_rows, left", [(10_000, 1_000), (0, 1_000), (-1, 1_000), (50, 50)])
+def test_workers_get_few_rows_at_once(spark, documents, arrow_rows, given_rows, left):  # noqa: F811
+    """Each map over whole texts bounds its batches, and leaves smaller ones as they are."""
+    docs = documents(*((k, f"one two three four five {k}") for k in range(2_500))).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    for each in (
+        lambda: near_dedup.sketched(docs, 80),
+        lambda: near_dedup.with_digest(docs, "digest"),
+        lambda: toxicity.keep_clean(docs, None),
+        lambda: private_data.redact(docs, None),
+        lambda: merge_dropout.encode_documents(docs, merge_dropout.model_path()),
+    ):
+        arrow_rows(given_rows)
+        each()
+        got = [r.n for r in docs.mapInArrow(sizes, "n BIGINT").collect()]
+        assert max(got) == left and sum(got) == 2_500
+
+
+def test_rows_of_a_batch_change_nothing(spark, documents, arrow_rows):  # noqa: F811
+    """The same classes and documents, in batches of seven rows too; blocks span batches."""
+    docs = documents(*families(np.random.default_rng(11)), (900, None), (901, ""))
+    found = []
+    for n in (10_000, 7):
+        arrow_rows(n)
+        found.append((result(near_duplicates(docs, 80)), sorted(keep_one(docs).collect())))
+    assert found[0] == found[1]
+
+
+def test_a_task_leaves_no_words_behind(spark, documents):  # noqa: F811
+    """The table of words is empty when a task's rows are through."""
+    docs = documents(*((k, f"one two three four five {k}") for k in range(40))).coalesce(1)
+
+    def held(batches):
+        for batch in batches:
+            words = len(common._word_hashes)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([words], pa.int64())})
+
+    for df in (near_dedup.sketched(docs, 80), near_dedup.with_digest(docs, "digest")):
+        assert df.count() == 40
+        spread = spark.range(64).repartition(16).mapInArrow(held, "n BIGINT")
+        assert {r.n for r in spread.collect()} == {0}
